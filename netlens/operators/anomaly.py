@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netlens import tables as T
 from netlens.operators.features import scaling, standardise, to_long
@@ -146,7 +147,7 @@ class IsolationForest:
         scaled = standardise(clean, features, self.stats)
         limit = int(np.ceil(np.log2(max(min(sample, total), 2))))
 
-        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             x = pdf.sort_values("_row")[features].to_numpy(dtype=float)
             rng = np.random.default_rng([seed, int(key[0])])
             return pd.DataFrame([(key[0], *n) for n in _grow(x, rng, limit)],
@@ -189,7 +190,7 @@ class IsolationForest:
                 raw = -np.power(2.0, -(depth / max(len(trees), 1)) / max(norm, 1e-12))
                 yield pdf.assign(_raw=raw)
         scaled = standardise(df.withColumns({f"__{c}": F.col(c) for c in features}), features, self.stats)
-        schema = scaled.schema.add("_raw", "double")
+        schema = StructType(scaled.schema.fields + [StructField("_raw", DoubleType())])
         out = scaled.mapInPandas(score, schema)
         return out.drop(*features).withColumnsRenamed({f"__{c}": c for c in features})
 
