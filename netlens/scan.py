@@ -92,11 +92,8 @@ def _chunk_starts(chunks: DataFrame, keys, order, inputs, step) -> dict:
     ids = [*keys, CHUNK]
     state_schema = StructType([chunks.schema[k] for k in ids]).add("state", "string")
     known = {tuple(r) for r in chunks.select(*ids).distinct().collect()}
-    following = {}
-    for key in known:
-        later = [k[-1] for k in known if k[:-1] == key[:-1] and k[-1] > key[-1]]
-        if later:
-            following[key] = (*key[:-1], min(later))
+    in_order = sorted(known, key=lambda k: (str(k[:-1]), k[-1]))
+    following = {a: b for a, b in zip(in_order, in_order[1:]) if a[:-1] == b[:-1]}
     starts = {key: None for key in known}
     todo = set(known)
     while todo:
