@@ -213,7 +213,7 @@ def contributions(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame
 
 def margin(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
     """Raw additive score of every row: what contributions add up to."""
-    return _applied(model, df).select(row_id, (vector_to_array("rawPrediction")[1] / 2.0).alias("margin"))
+    return _applied(model, df).select(row_id, vector_to_array("rawPrediction")[1].alias("margin"))
 
 
 # --- retraining and experiments ---------------------------------------------

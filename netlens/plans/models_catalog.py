@@ -43,7 +43,6 @@ def _row_top_features(spark, sf):
   || 'KEY DECISION FACTORS (top contributing features):' || chr(10) || factors || chr(10) || chr(10) || 'RECOMMENDED ACTION: ' || advice AS body, advice AS recommended_action
   FROM ann JOIN nl ON nl.vec_id = ann.event_id JOIN ctx ON ctx.attack = attack_type JOIN rec ON rec.attack = attack_type"""))
 def _narration(spark, sf):
-    c = V.components(spark, sf).withColumn("contribution", F.round(F.col("contribution") * 1000) / 1000)
     full = V.components(spark, sf)
     top = X.top_features(full, "vec_id", 5).select(
         F.col("vec_id").alias("event_id"), "feature", (F.round(F.col("contribution") * 1000) / 1000).alias("contribution"), F.lit(0.0).alias("value"), "rank")
@@ -145,7 +144,7 @@ def _cross_dataset(spark, sf):
 def _retrain_gate(spark, sf):
     rows = learnable(spark, sf)
     train, holdout = rows.where("l_linenumber % 3 > 0"), rows.where("l_linenumber % 3 = 0")
-    weak = L.train_classifier(train, ["tax", "linenumber"], k=None, trees=2, depth=2)
+    weak = L.train_classifier(train, ["tax", "linenumber"], k=None, trees=2, depth=2, pos_weight=1.0)
     from netlens.operators.cleaning import mistakes
     found = mistakes(L.predict(weak, train, 0.5), "pred_binary", "label").select(*V.FEATURES, "corrected_label", "mistake_type")
     return L.retrain(found, train.select(*V.FEATURES, "label"), holdout, weak, V.FEATURES, threshold=0.5, **FAST)[1].drop("model_path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +13,20 @@ from netlens.operators.sampling import hash_sample
 IDENTITY = ("label_raw", "src_ip", "dst_ip", "Flow ID", "Source IP", "Destination IP", "Src IP", "Dst IP", "Timestamp")
 
 
-def _csv_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(paths)
-            .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
-
-
 def files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
     """CSV files (any depth, suffix in any case) grouped by their header line.
 
-    Only the first lines of files come to the driver: one short row per file.
+    One distributed pass finds the first line of every file: the first block of a
+    file is read in order by one task.  One short row per file comes to the driver.
     """
-    names = [r["file"] for r in _csv_lines(spark, paths).select("file").distinct().orderBy("file").collect()]
-    if not names:
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(paths)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")))
+    heads = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("header")).orderBy("file").collect()
+    if not heads:
         raise FileNotFoundError(f"no CSV files under {paths}")
     groups: dict[tuple[str, ...], list[str]] = {}
-    for name in names:
-        header = spark.read.option("header", True).option("inferSchema", False).csv(name).columns
-        groups.setdefault(tuple(header), []).append(name)
+    for row in heads:
+        groups.setdefault(tuple(next(csv.reader([row["header"]]))), []).append(row["file"])
     return groups
 
 
@@ -36,7 +35,7 @@ def _typed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in IDENTITY else F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns])
 
 
-def read_flows(spark: SparkSession, paths: str | list[str], sample_frac: float = 1.0, encoding: str = "windows-1252") -> DataFrame:
+def read_flows(spark: SparkSession, paths: str | list[str], sample_frac: float = 1.0, encoding: str = "iso-8859-1") -> DataFrame:
     """Cleaned, labelled and deduplicated flows from all files, one read per header.
 
     Malformed lines are dropped.  The older files are not UTF-8, hence the encoding.
