@@ -10,19 +10,36 @@ from pyspark.sql import functions as F
 from netlens import tables as T
 
 
-def literal(value) -> Column:
-    """A literal column from a scalar, list or tuple (tuple becomes a struct)."""
+def _sql(value) -> str:
+    """A fixed value as SQL text."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D"
     if isinstance(value, list):
-        return F.array(*[literal(v) for v in value]) if value else F.array().cast("array<string>")
+        return f"array({', '.join(map(_sql, value))})" if value else "cast(array() as array<string>)"
     if isinstance(value, tuple):
-        return F.struct(*[literal(v).alias(f"f{i}") for i, v in enumerate(value)])
-    return F.lit(value)
+        return "named_struct(" + ", ".join(f"'f{i}', {_sql(v)}" for i, v in enumerate(value)) + ")"
+    return str(value)
+
+
+def literal(value) -> Column:
+    """A literal column from a scalar, list or tuple (tuple becomes a struct)."""
+    return F.expr(_sql(value))
 
 
 def lookup(table: dict, key: Column, default=None) -> Column:
-    """Value of ``key`` in a fixed table, or ``default``."""
-    pairs = [part for k, v in table.items() for part in (F.lit(k), literal(v))]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    """Value of ``key`` in a fixed table, or ``default``.
+
+    The table is one parsed expression: building it entry by entry would cost a
+    call into the JVM for each.
+    """
+    pairs = F.expr("map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items()) + ")")
+    found = F.try_element_at(pairs, key)
     return found if default is None else F.coalesce(found, literal(default))
 
 

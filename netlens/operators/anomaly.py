@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netlens import tables as T
-from netlens.operators.features import scaling, standardise, to_long
-from netlens.operators.sampling import hash_order
+from netlens.operators.features import scaling, to_long
 from netlens.ordered import Ordered, Running, RowNumber
 
 
@@ -120,48 +119,57 @@ class IsolationForest:
     def __init__(self, features: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.01, seed: int = 42):
         self.features, self.trees, self.sample = features, trees, sample
         self.contamination, self.seed = contamination, seed
-        self.nodes = self.stats = None
+        self.nodes, self.means, self.spreads = None, [], []
         self.offset = -0.5
 
-    def _samples(self, scaled: DataFrame, total: int, row_id: str) -> DataFrame:
+    def _samples(self, rows: DataFrame, total: int) -> DataFrame:
         """A ``tree`` column over samples without replacement within a tree."""
         if total >= self.trees * self.sample:
-            # one pooled draw, dealt out to the trees
-            drawn = scaled.orderBy(hash_order(row_id, self.seed), row_id).limit(self.trees * self.sample)
-            dealt = Ordered(drawn.withColumn("_h", F.xxhash64(F.col(row_id), F.lit(self.seed))), [], ["_h", row_id]).add(
-                _n=RowNumber()).result()
+            # one pooled draw of trees * sample rows, dealt out to the trees
+            drawn = rows.withColumn("_h", F.xxhash64("_row", F.lit(self.seed))).orderBy("_h", "_row").limit(self.trees * self.sample)
+            dealt = Ordered(drawn, [], ["_h", "_row"]).add(_n=RowNumber()).result()
             return dealt.withColumn("tree", (F.col("_n") % self.trees).cast("int"))
         from pyspark.sql import Window
-        copies = scaled.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-        pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.col(row_id), F.col("tree"), F.lit(self.seed)), row_id)
+        copies = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
+        pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.col("_row"), F.col("tree"), F.lit(self.seed)), "_row")
         return copies.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= self.sample)
 
+    def _vector(self, df: DataFrame):
+        """The features as one array; absent and bad values are 0."""
+        have = set(df.columns)
+        return F.array(*[F.coalesce(_usable(c), F.lit(0.0)) if c in have else F.lit(0.0) for c in self.features])
+
     def fit(self, df: DataFrame, row_id: str) -> "IsolationForest":
         from netlens.session import materialise
-        features, sample, seed = self.features, self.sample, self.seed
-        clean = df.select(row_id, *[F.coalesce(_usable(c), F.lit(0.0)).alias(c) for c in features])
-        total = clean.count()
+        sample, seed = self.sample, self.seed
+        rows = df.select(F.col(row_id).alias("_row"), self._vector(df).alias("_x"))
+        wide = rows.select(*[F.col("_x")[i].alias(f"c{i}") for i in range(len(self.features))])
+        names = wide.columns
+        # two numbers per feature
+        stats = scaling(wide, names).crossJoin(wide.agg(F.count(F.lit(1)).alias("_total"))).first()
+        total = stats["_total"]
         if not total:
             raise ValueError("cannot fit on an empty frame")
-        self.stats = materialise(scaling(clean, features), "scaling")
-        scaled = standardise(clean, features, self.stats)
+        self.means, self.spreads = [stats[f"{c}__mean"] for c in names], [stats[f"{c}__std"] for c in names]
+        means, spreads = np.array(self.means), np.array(self.spreads)
         limit = int(np.ceil(np.log2(max(min(sample, total), 2))))
 
         def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            x = pdf.sort_values("_row")[features].to_numpy(dtype=float)
+            x = (np.vstack(pdf.sort_values("_row")["_x"].to_numpy()) - means) / spreads
             rng = np.random.default_rng([seed, int(key[0])])
             return pd.DataFrame([(key[0], *n) for n in _grow(x, rng, limit)],
                                 columns=["tree", "node", "feature", "threshold", "left_node", "right_node", "path"])
-        sampled = self._samples(scaled, total, row_id).select("tree", F.col(row_id).alias("_row"), *features)
-        self.nodes = materialise(sampled.groupBy("tree").applyInPandas(grow, TREE_SCHEMA), "forest")
+        grown = self._samples(rows, total).select("tree", "_row", "_x").groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
+        self.nodes = materialise(grown, "forest")
         self._norm = float(_average_path(min(sample, total)))
         if self.contamination:
-            raw = self._raw(clean)
+            raw = self._raw(rows.select("_x"))
             self.offset = raw.agg(F.percentile_approx("_raw", float(self.contamination), 100_000)).first()[0]
         return self
 
     def _raw(self, df: DataFrame) -> DataFrame:
-        features, norm = self.features, self._norm
+        """``_raw`` isolation score of the vectors in ``_x``, which is dropped."""
+        norm, means, spreads = self._norm, np.array(self.means), np.array(self.spreads)
         rows = self.nodes.orderBy("tree", "node").collect()  # trees * (2 * sample - 1) rows at most
         forest = {}
         for r in rows:
@@ -175,7 +183,9 @@ class IsolationForest:
         def score(batches):
             trees = shared.value
             for pdf in batches:
-                x = pdf[features].to_numpy(dtype=float)
+                if not len(pdf):
+                    continue
+                x = (np.vstack(pdf["_x"].to_numpy()) - means) / spreads
                 depth, at_row = np.zeros(len(x)), np.arange(len(x))
                 for feature, threshold, left, right, path in trees:
                     at = np.zeros(len(x), dtype=int)
@@ -188,33 +198,30 @@ class IsolationForest:
                         inner = feature[at] >= 0
                     depth += path[at]
                 raw = -np.power(2.0, -(depth / max(len(trees), 1)) / max(norm, 1e-12))
-                yield pdf.assign(_raw=raw)
-        scaled = standardise(df.withColumns({f"__{c}": F.col(c) for c in features}), features, self.stats)
-        schema = StructType(scaled.schema.fields + [StructField("_raw", DoubleType())])
-        out = scaled.mapInPandas(score, schema)
-        return out.drop(*features).withColumnsRenamed({f"__{c}": c for c in features})
+                yield pdf.drop(columns="_x").assign(_raw=raw)
+        schema = StructType([f for f in df.schema.fields if f.name != "_x"] + [StructField("_raw", DoubleType())])
+        return df.mapInPandas(score, schema)
 
     def score(self, df: DataFrame) -> DataFrame:
         """anomaly_score (negative is anomalous) and anomaly_detected."""
-        have = set(df.columns)
-        missing = {c: F.lit(0.0) for c in self.features if c not in have}
-        clean = df.withColumns({**missing, **{c: F.coalesce(_usable(c), F.lit(0.0)) for c in self.features if c in have}})
-        scored = self._raw(clean).withColumn("anomaly_score", F.col("_raw") - F.lit(self.offset)).drop("_raw", *missing)
-        return scored.withColumn("anomaly_detected", F.col("anomaly_score") < 0)
+        raw = self._raw(df.withColumn("_x", self._vector(df)))
+        return raw.withColumn("anomaly_score", F.col("_raw") - F.lit(self.offset)).drop("_raw").withColumn(
+            "anomaly_detected", F.col("anomaly_score") < 0)
 
     def save(self, path: str) -> None:
-        """Node table, scaling and settings as parquet."""
+        """Node table and settings as parquet."""
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        self.stats.write.mode("overwrite").parquet(f"{path}/scaling")
         self.nodes.sparkSession.createDataFrame(
-            [(self.features, self.trees, self.sample, self.contamination, self.seed, float(self.offset), self._norm)],
-            "features array<string>, trees int, sample int, contamination double, seed int, offset double, norm double",
+            [(self.features, self.means, self.spreads, self.trees, self.sample, self.contamination, self.seed, float(self.offset), self._norm)],
+            "features array<string>, means array<double>, spreads array<double>, trees int, sample int, contamination double, "
+            "seed int, offset double, norm double",
         ).write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, spark, path: str) -> "IsolationForest":
         s = spark.read.parquet(f"{path}/settings").first()
         forest = cls(list(s["features"]), s["trees"], s["sample"], s["contamination"], s["seed"])
+        forest.means, forest.spreads = list(s["means"]), list(s["spreads"])
         forest.offset, forest._norm = s["offset"], s["norm"]
-        forest.nodes, forest.stats = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/scaling")
+        forest.nodes = spark.read.parquet(f"{path}/nodes")
         return forest

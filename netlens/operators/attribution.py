@@ -63,7 +63,7 @@ def _tempo(count: Column, first: Column, last: Column) -> Column:
     return F.when(first == last, F.lit(0.0)).otherwise(rounded(count / span, 2))
 
 
-def _indicators() -> list[tuple[str, Column, Column]]:
+def _indicators(ports: Column) -> list[tuple[str, Column, Column]]:
     tactics = F.col("tactics_observed")
     return [
         ("multi_tactic", F.size(tactics) > 2, F.lit("multi-tactic attacker")),
@@ -72,8 +72,7 @@ def _indicators() -> list[tuple[str, Column, Column]]:
         ("defence_evasion", F.array_contains(tactics, "Defense Evasion"), F.lit("defence evasion observed")),
         ("slow_tempo", (F.col("events_per_hour") > 0) & (F.col("events_per_hour") < 10),
          F.format_string("slow tempo (%.1f events/hr)", F.col("events_per_hour"))),
-        ("high_target_diversity", F.size("dst_ports") > 10,
-         F.format_string("high port diversity (%d ports)", F.size("dst_ports"))),
+        ("high_target_diversity", ports > 10, F.format_string("high port diversity (%d ports)", ports)),
         ("repeated_attacker", F.col("event_count") > 5,
          F.format_string("repeat attacker (%d events)", F.col("event_count"))),
         ("vpn_or_proxy", F.col("is_vpn_or_proxy"), F.lit("using VPN/proxy anonymisation")),
@@ -83,12 +82,13 @@ def _indicators() -> list[tuple[str, Column, Column]]:
 def classify_actors(profiles: DataFrame) -> DataFrame:
     """Sophistication score (0-100), notes and actor class of each profile row.
 
-    Needs tactics_observed, dst_ports, events_per_hour, event_count,
-    auth_failures, is_vpn_or_proxy and src_ip.
+    Needs tactics_observed, dst_ports (or their number, n_ports), events_per_hour,
+    event_count, auth_failures, is_vpn_or_proxy and src_ip.
     """
-    indicators = _indicators()
+    ports = F.col("n_ports") if "n_ports" in profiles.columns else F.size("dst_ports")
+    indicators = _indicators(ports)
     score = sum((F.when(hit, T.ACTOR_POINTS[name]).otherwise(0) for name, hit, _ in indicators), F.lit(0))
-    insider = is_private(F.col("src_ip")) & (F.col("auth_failures") > 0) & (F.size("dst_ports") <= T.INSIDER_MAX_PORTS)
+    insider = is_private(F.col("src_ip")) & (F.col("auth_failures") > 0) & (ports <= T.INSIDER_MAX_PORTS)
     return profiles.withColumns({
         "sophistication_score": F.least(score, F.lit(100)),
         "notes": F.array_compact(F.array(*[F.when(hit, text) for _, hit, text in indicators])),
@@ -169,13 +169,9 @@ def running_profiles(df: DataFrame, max_group: int | None = None) -> DataFrame:
     )
     out = seq.result().withColumns({
         "is_vpn_or_proxy": F.col("_any_vpn") == 1,
-        # only the number of ports matters for the class
-        "dst_ports": F.sequence(F.lit(1), F.col("n_ports")),
         "events_per_hour": _tempo(F.col("event_count"), F.col("first_seen"), F.col("last_seen")),
     })
-    out = out.withColumn("dst_ports", F.when(F.col("n_ports") == 0, F.array().cast("array<long>"))
-                         .otherwise(F.col("dst_ports").cast("array<long>")))
-    return classify_actors(out).drop("dst_ports", "notes", "_port", "_new_port", "_auth", "_vpn", "_any_vpn", "is_vpn")
+    return classify_actors(out).drop("notes", "_port", "_new_port", "_auth", "_vpn", "_any_vpn", "is_vpn")
 
 
 def top_threats(profiles: DataFrame, n: int = 10) -> DataFrame:

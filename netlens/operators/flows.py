@@ -61,7 +61,7 @@ def assign_flows(packets: DataFrame, idle_timeout: float | None = T.IDLE_TIMEOUT
     from_a = (F.col("src_ip") == F.col("a_ip")) & (F.col("src_port") == F.col("a_port"))
     fins = seq.df.where(has_flag(flags, T.FLAG_FIN)).select(*KEY, "_segment", "pos", from_a.alias("from_a"))
     closings = fold_rows(fins, [*KEY, "_segment"], ["pos"], ["pos", "from_a"], fin_step,
-                         lambda state: None, "pos int", max_segment)
+                         lambda state: None, "pos int", max_segment, seq.largest)
     closings = closings.withColumn("_closes", F.lit(True))
     # (conversation, segment, position) meets at most one closing: nothing to skew
     joined = seq._like(seq.df.join(closings, [*KEY, "_segment", "pos"], "left"))

@@ -19,7 +19,7 @@ from netlens.operators.cleaning import align_features, mistakes_as_training, uni
 from netlens.operators.features import feature_columns
 from netlens.operators.fusion import decide, resolve_class
 from netlens.operators.sampling import balanced_weights, class_cap, hash_sample, stratified_split, undersample, class_weights
-from netlens.session import shared_folder
+from netlens.session import shared_folder, spread
 
 
 def train_classifier(df: DataFrame, features: list[str], label: str = "label", weight: str | None = None, k: int | None = T.K_BEST,
@@ -50,7 +50,12 @@ def train_classifier(df: DataFrame, features: list[str], label: str = "label", w
     else:
         stages.append(RandomForestClassifier(featuresCol=source, labelCol="label", weightCol="weight", numTrees=trees,
                                              maxDepth=depth, subsamplingRate=subsample, seed=seed))
-    return Pipeline(stages=stages).fit(data)
+    # every stage passes over the rows again
+    data = spread(data).persist()
+    try:
+        return Pipeline(stages=stages).fit(data)
+    finally:
+        data.unpersist()
 
 
 def train_lightweight(df: DataFrame, label: str = "label", **options) -> PipelineModel:

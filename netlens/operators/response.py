@@ -86,7 +86,7 @@ def token_bucket(df: DataFrame, key: str = "src_ip", max_group: int | None = Non
     seq = seq.with_columns({"_new": F.coalesce(gap, F.lit(True)).cast("int")}).add(_segment=Running("sum", "_new"))
     out = scan_rows(seq.result().drop("_prev", "_new"), [key, "_segment"], ["_us", "event_id"],
                     ["_us", "kind", "limit_rps"], bucket_step,
-                    "allowed boolean, tokens_remaining double, bucket_rps double, wait_s double", max_segment)
+                    "allowed boolean, tokens_remaining double, bucket_rps double, wait_s double", max_segment, seq.largest)
     return out.drop("_segment", "_us")
 
 
@@ -164,7 +164,7 @@ def block_ledger(df: DataFrame, own_ips: list[str] | None = None, max_group: int
     blocks = fold_rows(
         seq.result().select("src_ip", "_segment", "_us", "event_id", "kind", "seconds", "reason"),
         ["src_ip", "_segment"], ["_us", "event_id"], ["_us", "kind", "seconds", "reason"],
-        ledger_step, lambda state: state, "blocked_us long, expires_us long, reason string", max_segment)
+        ledger_step, lambda state: state, "blocked_us long, expires_us long, reason string", max_segment, seq.largest)
     return blocks.select("src_ip", F.timestamp_micros("blocked_us").alias("blocked_at"),
                          F.timestamp_micros("expires_us").alias("expires_at"), "reason")
 
@@ -246,7 +246,7 @@ def dedup_alerts(df: DataFrame, least: str = "LOW", max_group: int | None = None
     gap = F.col("_us") - F.col("_prev") >= T.ALERT_WINDOW_S * 1_000_000
     seq = seq.with_columns({"_new": F.coalesce(gap, F.lit(True)).cast("int")}).add(_segment=Running("sum", "_new"))
     out = scan_rows(seq.result().drop("_prev", "_new"), ["fingerprint", "_segment"], ["_us", "event_id"],
-                    ["_us"], dedup_step, "_sent boolean", max_segment)
+                    ["_us"], dedup_step, "_sent boolean", max_segment, seq.largest)
     return out.where("_sent").drop("_sent", "_segment", "_us")
 
 

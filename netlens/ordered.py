@@ -86,8 +86,8 @@ class Ordered:
                  max_group: int | None = None, chunk_rows: int | None = None):
         self.keys, self.order = list(keys), list(order)
         max_group = MAX_GROUP_ROWS if max_group is None else max_group
-        largest, total = group_sizes(df, self.keys)
-        self.chunked = largest > max_group
+        self.largest, total = group_sizes(df, self.keys)
+        self.chunked = self.largest > max_group
         if self.chunked:
             chunks = max(2, -(-total // (chunk_rows or min(CHUNK_ROWS, max_group))))
             ranged = df.repartitionByRange(chunks, *self.keys, *self.order)
@@ -104,6 +104,7 @@ class Ordered:
     def _like(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
         other.keys, other.order, other.chunked, other.df = self.keys, self.order, self.chunked, df
+        other.largest = self.largest
         return other
 
     def result(self) -> DataFrame:

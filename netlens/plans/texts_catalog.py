@@ -11,7 +11,8 @@ from netlens.operators import intel as I
 from netlens.operators import signatures as G
 from netlens.plans import views as V
 from netlens.plans.detections_catalog import REPORTS, url_reports
-from netlens.plans.registry import DET, MITRE, SEV, joined, lit, query, values, with_
+from netlens.session import spread
+from netlens.plans.registry import MITRE, SEV, joined, lit, query, values, with_
 
 TEXTS = """txt AS (SELECT 'page' AS src, page_id AS id, html AS t FROM pages UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations
   UNION ALL SELECT 'doc', doc_id, text FROM documents)"""
@@ -43,14 +44,14 @@ COLUMNS = ["detected", "attack_type", "pattern_matched", "severity", "mitre_tech
 @query("payload_signatures", with_(TEXTS, SEV, MITRE, f"hit AS (SELECT src, id, CASE {families('t', ALL)} {families('url_decode(t)', ALL)} END AS r FROM txt)",
                                    body=f"SELECT src, id, {DETECTION} FROM hit {DETECTION_FROM}"))
 def _payload_signatures(spark, sf):
-    return G.match_payload(texts(spark, sf), "t").select("src", "id", *COLUMNS)
+    return G.match_payload(spread(texts(spark, sf)), "t").select("src", "id", *COLUMNS)
 
 
 @query("payload_scan", with_(TEXTS, SEV, MITRE, "hit AS (" + " UNION ALL ".join(
     f"SELECT src, id, CASE {families('t', [n])} {families('url_decode(t)', [n])} END AS r FROM txt" for n in ALL) + ")",
     body=f"SELECT src, id, {DETECTION} FROM hit {DETECTION_FROM} WHERE r IS NOT NULL"))
 def _payload_scan(spark, sf):
-    return G.scan_payload(texts(spark, sf), "t").select("src", "id", *COLUMNS)
+    return G.scan_payload(spread(texts(spark, sf)), "t").select("src", "id", *COLUMNS)
 
 
 URLS = """urls AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'http://paypa1' || CAST(page_id AS VARCHAR) || '.tk/login' WHEN 2 THEN 'http://bit.ly/' || CAST(page_id AS VARCHAR)

@@ -123,12 +123,13 @@ def _thaw(state):
     return tuple(state) if isinstance(state, list) else state
 
 
-def _scan(df, keys, order, inputs, step, finish, schema, collector, max_segment):
+def _scan(df, keys, order, inputs, step, finish, schema, collector, max_segment, at_most):
     limit = MAX_SEGMENT_ROWS if max_segment is None else max_segment
-    sizes = df.groupBy(*keys).count()
-    total_hot = sizes.where(F.col("count") > limit)
-    hot_rows = int(total_hot.agg(F.sum("count")).first()[0] or 0)
     nothing = lambda key: None
+    hot_rows = 0
+    if at_most is None or at_most > limit:
+        total_hot = df.groupBy(*keys).count().where(F.col("count") > limit)
+        hot_rows = int(total_hot.agg(F.sum("count")).first()[0] or 0)
     if not hot_rows:
         return _run(df.repartition(*keys), keys, order, inputs, step, collector(keys), finish, nothing, schema)
     # at most rows / limit sequences are that long
@@ -156,20 +157,23 @@ def _scan(df, keys, order, inputs, step, finish, schema, collector, max_segment)
 
 
 def scan_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable,
-              out_schema: str, max_segment: int | None = None) -> DataFrame:
-    """Every row with the columns ``step`` returns for it."""
+              out_schema: str, max_segment: int | None = None, at_most: int | None = None) -> DataFrame:
+    """Every row with the columns ``step`` returns for it.
+
+    ``at_most`` is a known bound on the length of a sequence; it saves a count.
+    """
     out = _parse_datatype_string(out_schema)
     schema = StructType(df.schema.fields + out.fields)
     names = out.names
     return _scan(df, keys, order, inputs, step, lambda key, state: None, schema,
-                 lambda ids: _row_collector(names), max_segment)
+                 lambda ids: _row_collector(names), max_segment, at_most)
 
 
 def fold_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable,
-              finish: Callable, out_schema: str, max_segment: int | None = None) -> DataFrame:
+              finish: Callable, out_schema: str, max_segment: int | None = None, at_most: int | None = None) -> DataFrame:
     """The rows ``step`` and, at the end of a sequence, ``finish`` return."""
     out = _parse_datatype_string(out_schema)
     schema = StructType([df.schema[k] for k in keys] + out.fields)
     names = out.names
     return _scan(df, keys, order, inputs, step, lambda key, state: finish(state), schema,
-                 lambda ids: _fold_collector(ids, names), max_segment)
+                 lambda ids: _fold_collector(ids, names), max_segment, at_most)

@@ -49,3 +49,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/netlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for work that is heavy per row.
+
+    A large input already has more partitions and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -16,7 +16,6 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from netlens import tables as T
-from netlens.functions.lookup import severity_rank  # noqa: F401
 from netlens.operators.response import bucket_step, dedup_step, fingerprint, ledger_step, min_severity, rate_limit
 
 
@@ -128,6 +127,5 @@ def stream_profiles(annotated: DataFrame) -> DataFrame:
                       "event_count long, first_us long, last_us long, tactics_observed array<string>, n_ports long, auth_failures long")
     out = out.withColumns({"first_seen": F.timestamp_micros("first_us"), "last_seen": F.timestamp_micros("last_us"),
                            "is_vpn_or_proxy": F.lit(False)}).withColumns({
-        "events_per_hour": _tempo(F.col("event_count"), F.col("first_seen"), F.col("last_seen")),
-        "dst_ports": F.when(F.col("n_ports") == 0, F.array().cast("array<long>")).otherwise(F.sequence(F.lit(1).cast("long"), F.col("n_ports")))})
-    return classify_actors(out).drop("_us", "first_us", "last_us", "dst_ports", "notes")
+        "events_per_hour": _tempo(F.col("event_count"), F.col("first_seen"), F.col("last_seen"))})
+    return classify_actors(out).drop("_us", "first_us", "last_us", "notes")
