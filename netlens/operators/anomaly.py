@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netlens import tables as T
-from netlens.operators.features import scaling, to_long
-from netlens.ordered import Ordered, Running, RowNumber
+from netlens.operators.features import to_long
+from netlens.ordered import Ordered, RowNumber, Running
+from netlens.session import materialise, with_scalars
 
 
 def baseline_zscores(df: DataFrame, key: str, order: list[str], features: list[str], sigma: float = 3.0,
@@ -23,7 +26,7 @@ def baseline_zscores(df: DataFrame, key: str, order: list[str], features: list[s
     small; running minimum and maximum tell a constant history exactly.
     """
     stats = df.agg(*[F.coalesce(F.avg(_usable(f)), F.lit(0.0)).alias(f"{f}__c") for f in features])
-    base = df.crossJoin(F.broadcast(stats))
+    base = with_scalars(df, stats)
     base = base.withColumns({f"{f}__x": _usable(f) - F.col(f"{f}__c") for f in features}).withColumns(
         {f"{f}__q": F.col(f"{f}__x") * F.col(f"{f}__x") for f in features})
     specs = {}
@@ -140,17 +143,18 @@ class IsolationForest:
         return F.array(*[F.coalesce(_usable(c), F.lit(0.0)) if c in have else F.lit(0.0) for c in self.features])
 
     def fit(self, df: DataFrame, row_id: str) -> "IsolationForest":
-        from netlens.session import materialise
         sample, seed = self.sample, self.seed
         rows = df.select(F.col(row_id).alias("_row"), self._vector(df).alias("_x"))
-        wide = rows.select(*[F.col("_x")[i].alias(f"c{i}") for i in range(len(self.features))])
-        names = wide.columns
-        # two numbers per feature
-        stats = scaling(wide, names).crossJoin(wide.agg(F.count(F.lit(1)).alias("_total"))).first()
-        total = stats["_total"]
+        # one pass over one vector column; a few numbers per feature come back
+        summary = Summarizer.metrics("count", "mean", "variance", "min", "max").summary(array_to_vector("_x"))
+        stats = rows.agg(summary.alias("s")).first()["s"]
+        total = stats["count"] if stats else 0
         if not total:
             raise ValueError("cannot fit on an empty frame")
-        self.means, self.spreads = [stats[f"{c}__mean"] for c in names], [stats[f"{c}__std"] for c in names]
+        self.means = [float(v) for v in stats["mean"]]
+        population = np.sqrt(stats["variance"].toArray() * (total - 1) / total)
+        constant = stats["min"].toArray() == stats["max"].toArray()
+        self.spreads = [float(v) for v in np.where(constant | (population == 0), 1.0, population)]
         means, spreads = np.array(self.means), np.array(self.spreads)
         limit = int(np.ceil(np.log2(max(min(sample, total), 2))))
 

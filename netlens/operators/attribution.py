@@ -205,8 +205,8 @@ def campaigns(df: DataFrame, max_group: int | None = None) -> DataFrame:
     return numbered.withColumn("campaign_id", F.format_string("CAMP-%04d", F.col("_n"))).drop("_n", "_first_id")
 
 
-def linked_campaigns(df: DataFrame, window_hours: int = 24, max_group: int | None = None) -> DataFrame:
-    """Campaigns that also merge sources sharing a technique within a time window.
+def campaign_members(df: DataFrame, window_hours: int = 24, max_group: int | None = None) -> DataFrame:
+    """(src_ip, component): sources joined by a technique shared within a time window.
 
     Events of one technique are sorted by time; a gap of at least the window
     starts a new run, and all sources of a run belong together.  Sources and runs
@@ -214,28 +214,39 @@ def linked_campaigns(df: DataFrame, window_hours: int = 24, max_group: int | Non
     sources are ever produced.
     """
     from netlens.operators.mining import connected_components
+    from netlens.ordered import Lag
     known = df.where(F.col("mitre_technique_id") != "T0000")
     us = F.unix_micros("ts")
     seq = Ordered(known.select("src_ip", "mitre_technique_id", "ts", "event_id").withColumn("_us", us),
                   ["mitre_technique_id"], ["ts", "event_id"], max_group)
-    from netlens.ordered import Lag
     seq = seq.add(_prev=Lag("_us"))
     seq = seq.with_columns({"_new": F.when(
         F.col("_us") - F.col("_prev") < window_hours * 3_600_000_000, 0).otherwise(1)}).add(_run=Running("sum", "_new"))
     edges = seq.result().select(
         F.concat(F.lit("ip:"), "src_ip").alias("a"),
         F.concat(F.lit("run:"), "mitre_technique_id", F.lit("#"), F.col("_run").cast("string")).alias("b")).distinct()
-    members = connected_components(edges).where(F.col("node").startswith("ip:")).select(
+    linked = connected_components(edges).where(F.col("node").startswith("ip:")).select(
         F.substring("node", 4, 1_000).alias("src_ip"), "component")
-    joined = df.join(members, "src_ip", "left").withColumn(
+    return df.select("src_ip").distinct().join(linked, "src_ip", "left").withColumn(
         "component", F.coalesce("component", F.concat(F.lit("ip:"), "src_ip")))
-    grouped = joined.groupBy("component").agg(
-        F.array_sort(F.collect_set("src_ip")).alias("src_ips"),
-        F.array_sort(F.collect_set("mitre_technique_id")).alias("techniques"),
-        F.array_sort(F.collect_set("mitre_tactic")).alias("tactics"),
-        F.min(F.struct("ts", "event_id")).alias("_at"), F.max("ts").alias("last_seen"),
-        F.count(F.lit(1)).alias("event_count"),
-    ).withColumns({"first_seen": F.col("_at.ts"), "_first_id": F.col("_at.event_id")}).drop("_at", "component")
+
+
+def linked_campaigns(df: DataFrame, members: DataFrame | None = None, max_group: int | None = None) -> DataFrame:
+    """Campaigns over the components of ``campaign_members``, numbered by first appearance.
+
+    ``component`` leads back to the members, which may be any number of sources.
+    """
+    members = campaign_members(df, max_group=max_group) if members is None else members
+    per_source = df.groupBy("src_ip").agg(
+        F.collect_set("mitre_technique_id").alias("techniques"), F.collect_set("mitre_tactic").alias("tactics"),
+        F.min(F.struct("ts", "event_id")).alias("_at"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("event_count"))
+    techniques = per_source.join(members, "src_ip")
+    lists = {c: techniques.select("component", F.explode(c).alias("x")).groupBy("component").agg(
+        F.array_sort(F.collect_set("x")).alias(c)) for c in ("techniques", "tactics")}
+    grouped = techniques.groupBy("component").agg(
+        F.count(F.lit(1)).alias("n_sources"), F.min("_at").alias("_at"), F.max("last_seen").alias("last_seen"),
+        F.sum("event_count").alias("event_count")).join(lists["techniques"], "component").join(lists["tactics"], "component")
+    grouped = grouped.withColumns({"first_seen": F.col("_at.ts"), "_first_id": F.col("_at.event_id")}).drop("_at")
     numbered = Ordered(grouped, [], ["first_seen", "_first_id"], max_group or 100_000).add(_n=RowNumber()).result()
     return numbered.withColumn("campaign_id", F.format_string("CAMP-%04d", F.col("_n"))).drop("_n", "_first_id")
 
@@ -258,12 +269,12 @@ def ttp_fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def technique_heatmap(df: DataFrame) -> DataFrame:
     """Events per technique, with every known technique present."""
-    spark = df.sparkSession
-    known = spark.createDataFrame(sorted({(t, tid) for t, tid, _ in T.MITRE.values()}),
-                                  "tactic string, technique_id string")
+    pairs = literal(sorted({(t, tid) for t, tid, _ in T.MITRE.values()}))
+    known = df.sparkSession.range(1).select(F.explode(pairs).alias("e")).select(
+        F.col("e.f0").alias("tactic"), F.col("e.f1").alias("technique_id"))
     counts = df.groupBy(F.col("mitre_technique_id").alias("technique_id")).agg(F.count(F.lit(1)).alias("n"))
     # both sides hold at most one row per fixed technique
-    return known.join(F.broadcast(counts.where(F.col("technique_id") != "T0000")), "technique_id", "left").select(
+    return known.join(F.broadcast(counts.where(F.col("technique_id").isin([tid for _, tid, _ in T.MITRE.values()]))), "technique_id", "left").select(
         "tactic", "technique_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 

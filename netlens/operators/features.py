@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netlens import tables as T
 from netlens.operators.cleaning import finite, numeric_columns
+from netlens.session import with_scalars
 
 META_COLUMNS = ("label", "label_class", "label_raw")
 
@@ -57,7 +58,7 @@ def medians(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame
 
 def _with_one_row(df: DataFrame, row: DataFrame, suffix: str) -> DataFrame:
     """Attach a single-row frame to every row."""
-    return df.crossJoin(F.broadcast(row.toDF(*[f"{c}{suffix}" for c in row.columns])))
+    return with_scalars(df, row.toDF(*[f"{c}{suffix}" for c in row.columns]))
 
 
 def impute_median(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
@@ -81,7 +82,7 @@ def scaling(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def standardise(df: DataFrame, columns: list[str], stats: DataFrame | None = None) -> DataFrame:
     """Zero mean and unit population deviation."""
-    joined = df.crossJoin(F.broadcast(stats if stats is not None else scaling(df, columns)))
+    joined = with_scalars(df, stats if stats is not None else scaling(df, columns))
     scaled = {c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in columns}
     return joined.withColumns(scaled).select(*df.columns)
 

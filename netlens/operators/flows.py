@@ -10,6 +10,7 @@ from netlens.functions.lookup import ratio, rounded
 from netlens.functions.net import flow_key, has_flag, payload_text
 from netlens.ordered import Lag, Lead, Ordered, RowNumber, Running
 from netlens.scan import fold_rows
+from netlens.session import with_scalars
 
 KEY = ["a_ip", "a_port", "b_ip", "b_port", "protocol"]
 ORDER = ["ts_us", "packet_id"]
@@ -232,7 +233,7 @@ def flow_stats(packets: DataFrame, flows: DataFrame) -> DataFrame:
     done = flows.agg(
         F.count_if(F.col("closed_by") != "flush").alias("flows_completed"),
         F.count_if(F.col("closed_by") == "flush").alias("open_flows"))
-    return seen.crossJoin(done)  # one row each
+    return with_scalars(done, seen)
 
 
 def session_timeouts(df: DataFrame, key: str = "src_ip", timeout_s: int = 120, max_group: int | None = None) -> DataFrame:

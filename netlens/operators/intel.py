@@ -10,7 +10,7 @@ from netlens.functions.lookup import lookup, reputation_band, rounded
 from netlens.functions.net import ip_number, ip_version, is_loopback, is_private
 from netlens.functions.text import first_match, url_host
 from netlens.ordered import Ordered, RowNumber
-from netlens.session import shared_folder  # noqa: F401  (documented dependency of callers)
+from netlens.session import with_scalars
 
 BROADCAST_ROWS = 1_000_000
 
@@ -140,7 +140,7 @@ def honeypot_summary(hits: DataFrame) -> DataFrame:
     top = per_ip.select("src_ip", "n").orderBy(F.desc("n"), "src_ip").limit(1).select(F.col("src_ip").alias("top_attacker_ip"))
     totals = per_ip.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_hits"), F.count(F.lit(1)).alias("unique_attackers"),
                         F.array_sort(F.array_distinct(F.flatten(F.collect_set("services")))).alias("services_hit"))
-    return totals.join(F.broadcast(top), how="left")
+    return with_scalars(totals, top)
 
 
 def honeypot_detections(hits: DataFrame) -> DataFrame:

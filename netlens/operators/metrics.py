@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from netlens import tables as T
 from netlens.functions.lookup import literal, lookup, ratio, rounded
-from netlens.ordered import Ordered, Lag, Running
+from netlens.ordered import Lag, Ordered, Running
+from netlens.session import materialise, with_scalars
 
 
 def confusion(df: DataFrame, truth: str, score: str, threshold: float = 0.5) -> DataFrame:
@@ -56,13 +57,13 @@ def multiclass_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 def confusion_shares(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Counts and row shares of the confusion matrix over all class pairs."""
     cells = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    classes = cells.select(F.explode(F.array("t", "p")).alias("c")).distinct()
-    # classes are few: the grid has one row per pair of them
-    grid = classes.select(F.col("c").alias("t")).join(F.broadcast(classes.select(F.col("c").alias("p"))))
-    filled = grid.join(cells, ["t", "p"], "left").na.fill(0, ["n"])
-    rows = filled.groupBy("t").agg(F.greatest(F.sum("n"), F.lit(1)).alias("row_n"))
-    return filled.join(F.broadcast(rows), "t").select(
-        F.col("t").alias("truth"), F.col("p").alias("predicted"), "n", (F.col("n") / F.col("row_n")).alias("share"))
+    # every class gets a row and a column, then the pivot fills the gaps
+    diagonal = cells.select(F.explode(F.array("t", "p")).alias("t")).distinct().select("t", F.col("t").alias("p"), F.lit(0).cast("long").alias("n"))
+    wide = cells.unionByName(diagonal).groupBy("t").pivot("p").sum("n").na.fill(0)
+    names = [c for c in wide.columns if c != "t"]
+    total = F.greatest(sum((F.col(f"`{c}`") for c in names[1:]), F.col(f"`{names[0]}`")), F.lit(1))
+    return wide.withColumn("_row_n", total).unpivot(["t", "_row_n"], names, "predicted", "n").select(
+        F.col("t").alias("truth"), "predicted", "n", (F.col("n") / F.col("_row_n")).alias("share"))
 
 
 def _by_score(df: DataFrame, truth: str, score: str, max_group: int | None) -> DataFrame:
@@ -76,7 +77,7 @@ def _by_score(df: DataFrame, truth: str, score: str, max_group: int | None) -> D
     seq = Ordered(grouped, [], ["_desc"], max_group or 100_000).add(
         tp=Running("sum", "pos"), fp=Running("sum", "neg")).add(_tp0=Lag("tp"), _fp0=Lag("fp"))
     totals = df.agg(F.count_if(F.col(truth) == 1).alias("P"), F.count_if(F.col(truth) != 1).alias("N"))
-    return seq.result().crossJoin(F.broadcast(totals)).withColumns({
+    return with_scalars(seq.result(), totals).withColumns({
         "threshold": F.lit(0.0) - F.col("_desc"), "_tp0": F.coalesce("_tp0", F.lit(0)), "_fp0": F.coalesce("_fp0", F.lit(0))})
 
 
@@ -126,7 +127,6 @@ def evaluation(df: DataFrame, truth: str, score: str, experiment: str = "custom"
 
     Counts per distinct score are written once; every metric follows from them.
     """
-    from netlens.session import materialise
     per_score = materialise(df.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")), "scores")
     hit = F.col("s") >= threshold
@@ -142,7 +142,7 @@ def evaluation(df: DataFrame, truth: str, score: str, experiment: str = "custom"
     areas = seq.agg(
         F.try_divide(F.sum(F.col("neg") * (F.col("ctp") * 2 - F.col("pos")) / F.lit(2.0)), P.cast("double") * N).alias("roc_auc"),
         F.coalesce(F.try_divide(F.sum(F.col("pos") * ratio(F.col("ctp"), F.col("ctp") + F.col("cfp"))), P), F.lit(0.0)).alias("avg_precision"))
-    row = rates(counts).crossJoin(areas)  # one row each
+    row = with_scalars(rates(counts), areas)
     return row.select(F.lit(experiment).alias("experiment"), F.col("n").alias("n_samples"), F.lit(threshold).alias("threshold"),
                       *[rounded(m, 4).alias(m) for m in METRICS], "tp", "tn", "fp", "fn")
 
@@ -204,7 +204,7 @@ def report_text(row: DataFrame, checks: DataFrame | None = None) -> DataFrame:
                         F.when(F.col("passed"), "PASS").otherwise("FAIL"))
         # a handful of metrics
         table = checks.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("_t"), F.bool_and("passed").alias("_ok"))
-        out = out.crossJoin(F.broadcast(table)).withColumn("report", F.concat_ws(
+        out = with_scalars(out, table).withColumn("report", F.concat_ws(
             "\n", "report", F.lit(""), F.lit("TARGETS"), "_t",
             F.when(F.col("_ok"), "OVERALL: PASS").otherwise("OVERALL: FAIL"))).drop("_t", "_ok")
     return out.select("experiment", "report")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netlens import tables as T
 from netlens.functions.lookup import first_case, rounded
 from netlens.operators.features import impute_median, screen_columns, standardise, to_long
+from netlens.ordered import Ordered, RowNumber
 from netlens.session import materialise
 
 CELL_LIMIT = 2_000
@@ -118,8 +119,7 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, min_samples: int, row_
     across = pairs.join(c.withColumnRenamed("pid", "a"), "a").join(c.withColumnRenamed("pid", "b"), "b").select("a", "b")
     components = connected_components(within.unionByName(across)).select(F.col("node").alias("pid"), F.col("component").alias("root"))
     roots = components.select("root").distinct()
-    # one row per cluster
-    numbered = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
+    numbered = Ordered(roots, [], ["root"], 100_000).add(_n=RowNumber()).result().select("root", (F.col("_n") - 1).alias("cluster"))
     core_cluster = materialise(components.join(numbered, "root").select("pid", "cluster"), "clusters")
     by_fine = core.join(core_cluster, "pid").groupBy("fine").agg(F.min("cluster").alias("cluster"))
     loose = points.select("pid", "fine").join(c, "pid", "left_anti")

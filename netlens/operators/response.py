@@ -9,6 +9,7 @@ from netlens import tables as T
 from netlens.functions.lookup import lookup, rounded, severity_rank
 from netlens.ordered import Lag, Ordered, Running
 from netlens.scan import fold_rows, scan_rows
+from netlens.session import with_scalars
 
 
 def rate_limit(attack: Column) -> Column:
@@ -99,7 +100,7 @@ def bucket_status(buckets: DataFrame, at_us: int | None = None, key: str = "src_
     last = buckets.groupBy(key).agg(F.max_by(
         F.struct("kind", us.alias("us"), "tokens_remaining", "bucket_rps"), F.struct("ts", "event_id")).alias("b"))
     if at_us is None:
-        last = last.crossJoin(F.broadcast(buckets.agg(F.max(us).alias("_at"))))
+        last = with_scalars(last, buckets.agg(F.max(us).alias("_at")))
     else:
         last = last.withColumn("_at", F.lit(at_us))
     live = (F.col("b.kind") != "reset") & (F.col("_at") - F.col("b.us") <= T.RATE_IDLE_EVICT_S * 1_000_000)

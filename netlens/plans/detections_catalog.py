@@ -76,7 +76,7 @@ def _campaigns(spark, sf):
 def _linked_campaigns(spark, sf):
     # sources that share a technique within a day: checked against brute force in the tests
     return A.linked_campaigns(annotated(spark, sf)).select(
-        "campaign_id", joined("src_ips").alias("src_ips"), "event_count", micros("first_seen"), micros("last_seen"))
+        "campaign_id", "n_sources", "event_count", joined("techniques").alias("techniques"), micros("first_seen"), micros("last_seen"))
 
 
 @query("ttp_fingerprint", with_(*BASE, values("kc", "stage", [(s,) for s in T.KILL_CHAIN]), body="""SELECT src_ip, tactics_observed, techniques_observed, coverage_pct,

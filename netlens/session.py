@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "netlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -51,6 +52,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_scalars(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The columns of a one-row frame on every row, as a scalar subquery."""
+    value = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_scalars", value).select("*", "_scalars.*").drop("_scalars")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition per core, for work that is heavy per row.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netlens import tables as T
 from netlens.operators.flows import KEY, assign_flows, flow_features, packet_details
 from netlens.operators.intel import honeypot_detections
-from netlens.session import shared_folder
+from netlens.session import shared_folder, with_scalars
 
 WATERMARK = "120 seconds"
 
@@ -61,7 +61,7 @@ class FlowAssembler:
             *KEY, "flow_seq", F.col("ts_us").alias("_end_us"),
             (F.col("_next_cut").isNotNull() | F.coalesce("_closes", F.lit(False))
              | (F.col("tcp_flags").bitwiseAND(F.lit(T.FLAG_RST)) > 0)).alias("_closed"))
-        ends = ends.crossJoin(F.broadcast(newest)).withColumn(
+        ends = with_scalars(ends, newest).withColumn(
             "_done", F.lit(flush) | F.col("_closed") | (F.col("_newest") - F.col("_end_us") > int(self.idle_timeout * 1e6)))
         done = ends.select(*KEY, "flow_seq", "_done")
         marked = details.df.join(done, [*KEY, "flow_seq"])

@@ -93,8 +93,13 @@ def test_linked_campaigns_brute_force(spark):
     groups = {}
     for ip in parent:
         groups.setdefault(root(ip), set()).add(ip)
-    got = A.linked_campaigns(df).collect()
-    assert sorted(map(sorted, groups.values())) == sorted(sorted(r["src_ips"]) for r in got) and sum(r["event_count"] for r in got) == 45
+    members = A.campaign_members(df)
+    found = {}
+    for r in members.collect():
+        found.setdefault(r["component"], []).append(r["src_ip"])
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+    got = A.linked_campaigns(df, members).collect()
+    assert sum(r["event_count"] for r in got) == 45 and {r["component"]: r["n_sources"] for r in got} == {k: len(v) for k, v in found.items()}
 
 
 def test_reputation_stops_at_the_blacklist(spark):
