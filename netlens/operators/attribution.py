@@ -9,6 +9,7 @@ from netlens import tables as T
 from netlens.functions.lookup import first_case, literal, lookup, rounded, severity_of
 from netlens.functions.net import is_private
 from netlens.ordered import Ordered, RowNumber, Running
+from netlens.session import materialise
 
 
 def canonical_attack(raw: Column) -> Column:
@@ -240,7 +241,7 @@ def linked_campaigns(df: DataFrame, members: DataFrame | None = None, max_group:
     per_source = df.groupBy("src_ip").agg(
         F.collect_set("mitre_technique_id").alias("techniques"), F.collect_set("mitre_tactic").alias("tactics"),
         F.min(F.struct("ts", "event_id")).alias("_at"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("event_count"))
-    techniques = per_source.join(members, "src_ip")
+    techniques = materialise(per_source.join(members, "src_ip"), "sources")
     lists = {c: techniques.select("component", F.explode(c).alias("x")).groupBy("component").agg(
         F.array_sort(F.collect_set("x")).alias(c)) for c in ("techniques", "tactics")}
     grouped = techniques.groupBy("component").agg(

@@ -24,16 +24,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     grouped minimum and one join, and a hub is only ever linked to a minimum, so no
     step emits pairs of neighbours.  Every round is written to the shared folder.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(
+        "u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
     nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = materialise(both.where("u <> v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    links = both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
     for _ in range(max_rounds):
         both_ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both_ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both_ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return materialise(found, "components")
 
 
 def _cells(columns: list[str], width: float) -> list[Column]:
