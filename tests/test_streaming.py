@@ -14,13 +14,14 @@ from netlens.sources import sinks
 from netlens.streaming import jobs, stateful
 
 CUTS = [1, 2, 7]
+START = 1_704_067_200_000_000
 
 
 @pytest.fixture(scope="module")
 def busy(spark, sf):
     """Detections squeezed in time, so that limits, windows and suppression matter."""
     d = annotated(spark, sf)
-    squeezed = ((F.unix_micros("ts") - 1_704_067_200_000_000) / 400).cast("long") + 1_704_067_200_000_000
+    squeezed = ((F.unix_micros("ts") - START) / 400).cast("long") + START
     d = d.withColumn("ts", F.timestamp_micros(squeezed)).withColumn("src_ip", F.when(F.col("event_id") % 3 == 0, "45.142.0.1").otherwise(F.col("src_ip")))
     return d.withColumn("session_token", F.lit(None).cast("string")).cache()
 
@@ -57,13 +58,14 @@ def rows(df, *cols):
 
 @pytest.mark.parametrize("n", CUTS)
 def test_state_machines(spark, busy, tmp_path, n):
-    stream = in_files(busy, str(tmp_path / "in"), n)
-    batch = R.token_bucket(busy)
+    hurried = busy.withColumn("ts", F.timestamp_micros(((F.unix_micros("ts") - START) / 25).cast("long") + START))
+    stream = in_files(hurried, str(tmp_path / "in"), n)
+    batch = R.token_bucket(hurried)
     got = drained(stateful.stream_token_bucket(stream), tmp_path, "bucket")
     cols = ["event_id", "allowed", F.round("tokens_remaining", 6)]
     assert rows(got, *cols) == rows(batch, *cols)
     assert 0 < batch.where("NOT allowed").count()
-    assert rows(drained(stateful.stream_alerts(stream), tmp_path, "alerts"), "event_id") == rows(R.dedup_alerts(busy), "event_id")
+    assert rows(drained(stateful.stream_alerts(stream), tmp_path, "alerts"), "event_id") == rows(R.dedup_alerts(hurried), "event_id")
 
 
 @pytest.mark.parametrize("n", CUTS)
