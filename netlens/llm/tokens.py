@@ -18,9 +18,13 @@ from netlens.llm.common import filesystem, materialise, new_folder
 #: Sequences in a record batch; every batch of a file but the last has as many, so sequence k is in batch k // ROWS.
 ROWS = 256
 #: Remembered words per worker; forgotten all at once beyond it.
-MEMORY = 400_000
-#: Two blanks in a row, or one at an end: only then is a space not the start of a new word.
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
+MEMORY = 600_000
+#: Characters split into words at a time.
+CHARS = 1_000_000
+#: Fixed value: how the vocabulary of a byte-level BPE writes a space.
+SPACE = "\u0120"
+#: Blanks other than space and newline.
+RARE_BLANKS = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -41,28 +45,55 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         by_word = self.tokenizer.pre_tokenizer
         self.words = self.tokenizer.normalizer is None and isinstance(by_word, pre_tokenizers.ByteLevel) and not by_word.add_prefix_space
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(e.ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        """Encode new words, each after a space, as one text: a word begins at each id that begins with a space."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(words):
+            buffer, cuts = ids.tobytes(), (np.append(starts, len(ids)) * self.dtype.itemsize).tolist()
+            self.known.update(zip(words, (buffer[a:b] for a, b in zip(cuts, cuts[1:]))))
+        else:
+            self.known.update(zip(words, self._plain([" " + w for w in words])))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of one text after the other; a few texts are split into words at a time."""
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (chars < CHARS or end == at):
+                chars += len(texts[end])
+                end += 1
+            yield from self._encode(texts[at:end])
+            at = end
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.words:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        split = []
+            return self._plain(texts)
+        known = self.known
+        if len(known) > MEMORY:
+            known.clear()
+        first, rest = [], []
         for text in texts:
-            words = INNER_SPACE.split(text) if UNEVEN.search(text) else text.split(" ")
-            first, rest = words[0], words[1:]
-            split.append(([first] if first else [], rest))
-        new = {w for first, _ in split for w in first if w not in self.known}
-        new |= {s for _, rest in split for w in rest if (s := " " + w) not in self.known}
+            words = INNER_SPACE.split(text) if uneven(text) else text.split(" ")
+            first.append(words.pop(0))
+            rest.append(words)
+        new = set().union(*rest).difference(known)
         if new:
             self._learn(list(new))
-        known = self.known
-        return [b"".join([*[known[w] for w in first], *[known[" " + w] for w in rest]]) for first, rest in split]
+        return [b"".join([start, *map(known.__getitem__, words)]) for start, words in zip(self._plain(first), rest)]
+
+
+def uneven(text: str) -> bool:
+    """Whether a space may stand beside another blank or at an end: only there is it not the start of a word."""
+    return (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
+            or any(c in text for c in RARE_BLANKS))
 
 
 def schema_of(dtype: np.dtype, length: int) -> pa.Schema:
@@ -147,7 +178,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
                 sinks = [fs.open_output_stream(f"{path}/{n}") for n in names]
                 writer = ShardWriter(*sinks, encoder.dtype, length)
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            writer.add(batch.column(0), encoder.encode(texts), end_id)
+            writer.add(batch.column(0), list(encoder.encode(texts)), end_id)
         if writer is not None:
             writer.close()
             for s in sinks:
