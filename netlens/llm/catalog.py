@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import lines, tokens
+from netlens.llm import language, lines, mixing, neighbours, tokens
 from netlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,42 @@ FROM lines LEFT JOIN bad USING (key) GROUP BY doc_id"""
 def op10_line_dedup(spark, sf_dir):
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_nearest_neighbours")
+def op2_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def held_out(column: str = "doc_id"):
+    """Rows kept from training: crc32 of the id's digits is divisible by 5; a null id is not held out, nor trained on."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs, ~held_out())
+    return language.identify_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+OP6 = r"""WITH sized AS (SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2.0::DOUBLE AS top FROM src),
+o AS (SELECT *, top / weight AS ratio, coalesce(sum(top) OVER (ORDER BY top / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+  sum(weight) OVER (ORDER BY top / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, sum(source_size) OVER () AS total FROM w),
+lv AS (SELECT *, (total * 1.5::DOUBLE - given) / rest AS lev FROM o),
+x AS (SELECT lev AS x FROM lv WHERE lev <= ratio ORDER BY ratio, sid LIMIT 1),
+t AS (SELECT source, source_size, coalesce(least(top, weight * (SELECT x FROM x)), top) AS target FROM lv),
+p AS (SELECT doc_id, size, source_size, target, CAST(round(target) AS BIGINT) AS words,
+  CAST(sum(size) OVER (PARTITION BY sized.source ORDER BY h) AS BIGINT) - size AS start FROM sized JOIN t ON sized.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, words) - start)
+  + greatest(0, least(start + size, words - source_size) - start) AS BIGINT) AS taken FROM p"""
+
+
+@query("op6_source_mix", OP6)
+def op6_source_mix(spark, sf_dir):
+    sized = mixing.size_documents(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(sized, *mixing.mix_sources(sized))
