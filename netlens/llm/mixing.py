@@ -13,6 +13,8 @@ from netlens.llm.common import materialise
 STRIDES = (7_368_787, 9_999_991, 12_582_917, 15_485_863)
 #: Cuts are searched in steps of this many shards, then within a step.
 STEP = 256
+#: Cells in which the outcomes of a hypergeometric draw are listed.
+POINTS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -61,25 +63,52 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0 ** -53)
 
 
-def _hypergeometric(rest: Column, own: Column, want: Column, u: Column) -> Column:
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hypergeometric(rest: Column, own: Column, want: Column, u: Column, v: Column) -> Column:
     """How many of ``want`` draws without replacement from ``rest`` hit the ``own`` marked ones; the quantile u.
 
-    Only outcomes within eight deviations of the mode are listed, whose other mass is below 1e-14.
+    Outcomes within seven deviations of the mode stand in at most POINTS cells; a cell of
+    one outcome where they fit.  Wider cells, for which v picks the outcome in the cell,
+    are less than a fiftieth of a deviation wide.
     """
     low, high = F.greatest(F.lit(0), want - (rest - own)), F.least(own, want)
     p = own / F.greatest(rest, F.lit(1))
-    wide = F.ceil(8 * F.sqrt(want * p * (1 - p))) + 2
-    mode = F.least(high, F.greatest(low, F.floor((own + 1) * ((want + 1) / (rest + 2)))))
-    ks = F.sequence(F.greatest(low, mode - wide), F.least(high, mode + wide))
+    wide = F.ceil(7 * F.sqrt(want * p * (1 - p))) + 2
+    guess = F.floor((own + 1) * ((want + 1) / (rest + 2)))
     def log_mass(k: Column) -> Column:
         return _ln_choose(own, k) + _ln_choose(rest - own, want - k)
-    outcomes = F.transform(ks, lambda k: F.struct(k.alias("k"), F.exp(log_mass(k) - log_mass(mode)).alias("w")))
-    total = F.aggregate(outcomes, F.lit(0.0), lambda acc, o: acc + o["w"])
-    start = F.struct((u * total).alias("left"), F.lit(-1).cast("long").alias("k"))
-    walked = F.aggregate(outcomes, start, lambda acc, o: F.struct(
-        (acc["left"] - o["w"]).alias("left"), F.when(acc["left"] > 0, o["k"]).otherwise(acc["k"]).alias("k")))
-    # u * total > 0 always takes the first outcome, so k is never -1 but for u = 0
-    return F.when(walked["k"] < 0, F.greatest(low, mode - wide)).otherwise(walked["k"])
+    def bounded(x: Column) -> Column:
+        mode = F.least(x["high"], F.greatest(x["low"], x["guess"]))
+        a, b = F.greatest(x["low"], mode - x["wide"]), F.least(x["high"], mode + x["wide"])
+        step = F.floor((b - a) / POINTS) + 1
+        return _let(F.struct(a.alias("a"), b.alias("b"), step.alias("step"), log_mass(mode).alias("top")), picked)
+    def picked(x: Column) -> Column:
+        cells = F.transform(F.sequence(x["a"], x["b"], x["step"]), lambda k: F.exp(log_mass(k) - x["top"]))
+        return _let(cells, lambda w: walked(x, w))
+    def walked(x: Column, w: Column) -> Column:
+        total = F.aggregate(w, F.lit(0.0), lambda acc, y: acc + y)
+        start = F.struct((u * total).alias("left"), F.lit(-1).alias("n"))
+        last = F.aggregate(w, start, lambda acc, y: F.struct(
+            (acc["left"] - y).alias("left"), F.when(acc["left"] > 0, acc["n"] + 1).otherwise(acc["n"]).alias("n")), lambda acc: acc["n"])
+        return F.least(x["b"], x["a"] + F.greatest(last, F.lit(0)) * x["step"] + F.floor(v * x["step"]))
+    return _let(F.struct(low.alias("low"), high.alias("high"), wide.alias("wide"), guess.alias("guess")), bounded)
+
+
+def _taker(seed: int, level: int):
+    """The step of a node's split: how many of the next source's blocks go left, given those before."""
+    def take(acc: Column, item: Column) -> Column:
+        own = item["q"]
+        drawn = _hypergeometric(acc["rest"], own, acc["want"], *[
+            _uniform(F.lit(seed + n), F.lit(level), F.col("node"), item["i"]) for n in (0, 1)])
+        x = F.when((own == 0) | (acc["want"] == 0), F.lit(0)).otherwise(drawn).cast("long")
+        # the drawn number once, then the three results from it
+        return F.aggregate(F.array(x), acc, lambda a, v: F.struct(
+            (a["rest"] - own).alias("rest"), (a["want"] - v).alias("want"), F.concat(a["out"], F.array(v)).alias("out")))
+    return take
 
 
 def shard_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
@@ -98,20 +127,14 @@ def shard_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
         nodes = nodes.withColumn("size", size)
         start = F.struct(F.col("size").alias("rest"), F.ceil(F.col("size") / 2).cast("long").alias("want"),
                          F.array().cast("array<bigint>").alias("out"))
-        def take(acc: Column, item: Column, level: int = level) -> Column:
-            own = item["q"]
-            x = F.when((own == 0) | (acc["want"] == 0), F.lit(0).cast("long")).otherwise(_hypergeometric(
-                acc["rest"], own, acc["want"], _uniform(F.lit(seed), F.lit(level), F.col("node"), item["i"]))).cast("long")
-            # the drawn number once, then the three results from it
-            return F.aggregate(F.array(x), acc, lambda a, v: F.struct(
-                (a["rest"] - own).alias("rest"), (a["want"] - v).alias("want"), F.concat(a["out"], F.array(v)).alias("out")))
+        take = _taker(seed, level)
         items = F.transform("q", lambda x, i: F.struct(x.alias("q"), i.alias("i")))
         nodes = nodes.withColumn("left", F.aggregate(items, start, take, lambda acc: acc["out"]))
         right = F.zip_with("q", "left", lambda a, b: a - b)
         child = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")),
                                   F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("q"))))
         nodes = nodes.select("sids", child.alias("c")).select(F.col("c.node").alias("node"), "sids", F.col("c.q").alias("q"))
-        if level == 5:
+        if level >= 4:
             nodes = nodes.repartition("node")
     return nodes.select(F.col("node").alias("shard"), F.explode(F.arrays_zip("sids", "q")).alias("z")).select(
         F.col("z.sids").alias("sid"), "shard", F.col("z.q").alias("quota"))
