@@ -18,7 +18,7 @@ from netlens.llm.common import filesystem, materialise, new_folder
 #: Sequences in a record batch; every batch of a file but the last has as many, so sequence k is in batch k // ROWS.
 ROWS = 256
 #: Remembered words per worker; forgotten all at once beyond it.
-MEMORY = 600_000
+MEMORY = 1_500_000
 #: Characters split into words at a time.
 CHARS = 1_000_000
 #: Fixed value: how the vocabulary of a byte-level BPE writes a space.
