@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import language, lines, mixing, neighbours, tokens
+from netlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, tokens
 from netlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,7 +70,8 @@ def op4_language_id(spark, sf_dir):
 
 
 OP6 = r"""WITH sized AS (SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS size FROM documents),
+  CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM sized GROUP BY source),
 w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, source_size * 2.0::DOUBLE AS top FROM src),
 o AS (SELECT *, top / weight AS ratio, coalesce(sum(top) OVER (ORDER BY top / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
@@ -88,3 +89,15 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, w
 def op6_source_mix(spark, sf_dir):
     sized = mixing.size_documents(table(spark, sf_dir, "documents"))
     return mixing.taken_words(sized, *mixing.mix_sources(sized))
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "contaminated", "leaked_item", "coverage", "longest", F.size("leaks").alias("n_leaks"))
