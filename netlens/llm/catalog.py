@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, tokens
+from netlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, privacy, tokens
 from netlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,11 @@ def op9_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", "leaked_item", "coverage", "longest", F.size("leaks").alias("n_leaks"))
+
+
+@query("op7_private_spans")
+def op7_private_spans(spark, sf_dir):
+    found = privacy.protect(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(privacy.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(privacy.span_texts(F.col("base")), 256).alias("base_sha256"),
+                        privacy.span_texts(F.col("base"), F.col("terms")).alias("spans"))
