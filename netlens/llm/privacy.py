@@ -78,6 +78,19 @@ def _contexts(text: Column, spans: Column, width: int, reach: int) -> Column:
     return F.flatten(F.transform(spans, near))
 
 
+def _spans_of(number: int, kind: str) -> Column:
+    """The valid matches in column ``kind`` as (kind number, start, end, entity)."""
+    matches = F.coalesce(F.col(kind), F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    return F.transform(F.filter(matches, lambda s: valid(kind, s["text"])), lambda s: F.struct(
+        F.lit(number).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lit(number), F.lower(s["text"])).alias("entity")))
+
+
+def count_of(kind: str) -> Column:
+    """How many identifiers of a kind ``base`` holds."""
+    number = list(PATTERNS).index(kind)
+    return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+
+
 def find_identifiers(docs: DataFrame, width: int = 48, reach: int = 3, keep_text: bool = False) -> DataFrame:
     """(row, doc_id, base, context[, text]): a written row per document.
 
@@ -90,9 +103,7 @@ def find_identifiers(docs: DataFrame, width: int = 48, reach: int = 3, keep_text
     for kind, pattern in PATTERNS.items():
         t = F.col("text")
         rows = rows.withColumn(kind, F.when(POSSIBLE[kind](t), located(t, pattern, F.lit(0))))
-    spans = [F.transform(F.filter(F.coalesce(F.col(kind), F.array().cast("array<struct<start:int,end:int,text:string>>")), lambda s, kind=kind: valid(kind, s["text"])),
-                         lambda s, i=i: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lit(i), F.lower(s["text"])).alias("entity")))
-             for i, kind in enumerate(PATTERNS)]
+    spans = [_spans_of(i, kind) for i, kind in enumerate(PATTERNS)]
     rows = rows.withColumn("base", F.concat(*spans))
     around = F.filter(_contexts(F.col("text"), F.col("base"), width, reach),
                       lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
