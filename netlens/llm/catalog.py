@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, privacy, tokens
+from netlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, privacy, repeats, secrets, tokens
 from netlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,18 @@ def op7_private_spans(spark, sf_dir):
     counts = [privacy.count_of(kind).alias(f"n_{kind}") for kind in privacy.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(privacy.span_texts(F.col("base")), 256).alias("base_sha256"),
                         privacy.span_texts(F.col("base"), F.col("terms")).alias("spans"))
+
+
+@query("op3_repeated_strings")
+def op3_repeated_strings(spark, sf_dir):
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(docs, ~held_out())
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_secrets")],
+                                                                      F.coalesce("spans", F.lit("")).alias("spans"))
