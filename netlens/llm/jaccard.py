@@ -203,9 +203,9 @@ def _meet(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return x[:len(a)] @ x[len(a):].T > 0
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999999, small: int = 512,
+def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall: float = 0.999999, small: int = 512,
                     block: int = 1024, dense: float = 0.4, depth: int = 2) -> DataFrame:
-    """(doc_id, class_id, copy_id, n_links) for every row.
+    """(row, doc_id, th, component, class_id, copy_id, n_links) for every row; ``th`` is xxhash64 of the text.
 
     Rows with the same set of ``k``-word shingles are copies; ``copy_id`` is their
     smallest doc_id.  Two sets are linked if their Jaccard similarity is at least
@@ -248,9 +248,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, recall
     named = classes.join(parts.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").join(links, "rep", "left")
     named = named.withColumn("component", F.coalesce("component", "rep"))
     lowest = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-    by_set = named.join(lowest, "component").select("h1", "h2", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    empty = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("n > 0").join(by_set, ["h1", "h2"]).select("doc_id", "class_id", "copy_id", "n_links").unionByName(empty)
+    by_set = named.join(lowest, "component").select("h1", "h2", "component", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    empty = rows.where("n = 0").select("row", "doc_id", "th", F.col("row").alias("component"), F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.where("n > 0").join(by_set, ["h1", "h2"]).select("row", "doc_id", "th", "component", "class_id", "copy_id", "n_links").unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, copy_id, n_links) for every row, see ``duplicate_classes``."""
+    return duplicate_classes(docs, **options).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` but for all duplicates save one of each class: the one with the smallest doc_id (nulls last), then text hash.
+
+    Rows with the same doc_id and the same text are one document.
+    """
+    known = duplicate_classes(docs, **options).select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_doc"), F.col("th").alias("_th"), "component")
+    kept = known.groupBy("component").agg(F.min(F.struct("_doc", "_th")).alias("k")).select("k._doc", "k._th").distinct()
+    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    chosen = named.join(kept, ["_doc", "_th"], "left_semi")
+    first = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_th").orderBy(F.lit(0))))
+    return first.where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity: float) -> DataFrame:
