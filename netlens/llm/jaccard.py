@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from netlens.operators.mining import connected_components
 ROOT = 1.25
 #: The same below a root: 1 / 0.8 would keep a pair once on average, 2 keeps four pairs in five at every level.
 BRANCH = 2.0
+#: Bytes of a shingle where sets are compared.
+WIDTH = 5
 
 
 def _bar(expected: float, size: int) -> np.uint64:
@@ -68,6 +71,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _pressed(rows: DataFrame) -> DataFrame:
+    """Texts compressed before they are shuffled."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = [press.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(z, pa.binary())], ["doc_id", "th", "z"])
+    return rows.mapInArrow(run, "doc_id long, th long, z binary")
+
+
+def narrow(tokens: np.ndarray) -> bytes:
+    """Shingles as 40-bit numbers: two texts of a thousand shingles share one by chance in a million pairs."""
+    return np.unique(tokens >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def widen(data) -> np.ndarray:
+    cells = np.frombuffer(data, dtype=np.uint8).reshape(-1, WIDTH)
+    out = np.zeros((len(cells), 8), dtype=np.uint8)
+    out[:, :WIDTH] = cells
+    return out.view(np.uint64).ravel()
+
+
 # --- buckets -----------------------------------------------------------------
 
 def useful(members: DataFrame) -> DataFrame:
@@ -83,7 +108,7 @@ def grow(big: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             paths, parents, reps = [], [], []
             for rep, own, tokens in zip(batch.column("rep").to_pylist(), batch.column("paths").to_pylist(), batch.column("tokens")):
-                s = np.frombuffer(tokens.as_buffer(), dtype=np.uint64)
+                s = widen(tokens.as_buffer())
                 for p in own:
                     c = np.unique(child_paths(s, p)).view(np.int64)
                     paths.append(c)
@@ -171,7 +196,7 @@ def block_links(group: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndar
     group, rep = group.take(pa.array(first)), rep[first]
     side = group.column("side").to_numpy()
     weight = group.column("weight").to_numpy().astype(np.float64)
-    tokens = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in group.column("tokens").combine_chunks()]
+    tokens = [widen(t.as_buffer()) for t in group.column("tokens").combine_chunks()]
     a, b = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero((side == 1) | (side == 2))
     linked = compare([tokens[i] for i in a], [tokens[i] for i in b], similarity)
     linked &= rep[a][:, None] != rep[b][None, :]
@@ -234,11 +259,12 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     asked = found.select("rep").distinct().join(reps.select("rep", "doc_id", "th", "weight"), "rep")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
-            tokens = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
+            tokens = [narrow(shingle_set(press.decompress(z.as_buffer()).decode(), k)) for z in batch.column("z")]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array(tokens, pa.binary())], ["rep", "weight", "tokens"])
     same = F.expr("d.th = a.th AND d.doc_id <=> a.doc_id")
-    joined = keyed(docs).alias("d").join(asked.alias("a"), same).select("a.rep", "a.weight", "d.text")
+    joined = _pressed(keyed(docs)).alias("d").join(asked.alias("a"), same).select("a.rep", "a.weight", "d.z")
     sets = materialise(joined.mapInArrow(shingles, "rep long, weight long, tokens binary"), "sets")
 
     buckets = materialise(split_buckets(found, sets, small, dense, depth).distinct(), "compare")
