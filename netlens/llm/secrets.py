@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import materialise
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 #: Names that values are assigned to when they are secrets, and words beside placeholders.
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "private_key")
 PLACEHOLDERS = ("example", "sample", "dummy", "test", "changeme", "placeholder", "xxxx")

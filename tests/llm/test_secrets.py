@@ -9,7 +9,7 @@ from netlens.llm.catalog import held_out
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
 
 
 def test_held_out_findings(spark, docs):
