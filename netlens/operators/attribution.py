@@ -117,7 +117,7 @@ def attacker_profiles(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         F.collect_set(ports).alias("ports"),
-        F.max("mitre_tactic").alias("tactic"), F.max("mitre_technique_id").alias("technique"),
+        F.collect_set("mitre_tactic").alias("tactics"), F.collect_set("mitre_technique_id").alias("techniques"),
         F.bool_or(vpn).alias("vpn"),
         F.max(F.struct(seen.alias("seen"), country.alias("country"), city.alias("city"))).alias("place"),
     )
@@ -130,8 +130,8 @@ def attacker_profiles(df: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("attack_type", "n")))).alias("attack_types"),
         F.map_filter(F.create_map(*by_severity), lambda _, v: v > 0).alias("severity_counts"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("dst_ports"),
-        F.array_sort(F.collect_set("tactic")).alias("tactics_observed"),
-        F.array_sort(F.collect_set("technique")).alias("techniques_observed"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("tactics")))).alias("tactics_observed"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("techniques")))).alias("techniques_observed"),
         F.sum(F.when(F.col("attack_type").isin("BruteForce", "Infiltration"), F.col("n")).otherwise(0)).alias("auth_failures"),
         F.bool_or("vpn").alias("is_vpn_or_proxy"),
         F.max("place").alias("place"),
@@ -184,8 +184,8 @@ def actor_distribution(profiles: DataFrame) -> DataFrame:
 
 
 def profiler_summary(profiles: DataFrame) -> DataFrame:
-    """Total, APT count, highest score and the source that holds it."""
-    best = F.max_by("src_ip", F.struct("sophistication_score", (-F.xxhash64("src_ip")).alias("h")))
+    """Total, APT count, highest score and the smallest source address that holds it."""
+    best = F.min_by("src_ip", F.struct((-F.col("sophistication_score")).alias("s"), "src_ip"))
     return profiles.agg(
         F.count(F.lit(1)).alias("total_attackers"),
         F.sum(F.when(F.col("actor_class") == "APT", 1).otherwise(0)).alias("apt_count"),

@@ -277,9 +277,8 @@ def beacon_scores(starts: DataFrame, history: int = T.BEACON_HISTORY, min_conn:
 
 def mark_beacons(flows: DataFrame, scores: DataFrame) -> DataFrame:
     """beacon_detected on every flow of a beaconing pair."""
-    from netlens.operators.intel import lookup_side
     beacons = scores.where("is_beacon").select("src_ip", "dst_ip", F.lit(True).alias("beacon_detected"))
-    return flows.join(lookup_side(beacons), ["src_ip", "dst_ip"], "left").withColumn(
+    return flows.join(beacons, ["src_ip", "dst_ip"], "left").withColumn(
         "beacon_detected", F.coalesce("beacon_detected", F.lit(False)))
 
 

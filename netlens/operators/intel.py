@@ -12,23 +12,11 @@ from netlens.functions.text import first_match, url_host
 from netlens.ordered import Ordered, RowNumber
 from netlens.session import with_scalars
 
-BROADCAST_ROWS = 1_000_000
-
-
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when a side has at most ``limit`` rows; looks at no more than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def lookup_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup table only after its size is checked; else leave it to shuffle."""
-    return F.broadcast(df) if small_enough(df, limit) else df
-
 
 def match_list(df: DataFrame, listed: DataFrame, key: str, flag: str, list_key: str = "ip") -> DataFrame:
     """Flag rows whose key is on a list."""
     side = listed.select(F.col(list_key).alias(key)).distinct().withColumn(flag, F.lit(True))
-    return df.join(lookup_side(side), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df.join(side, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def _scores_by_ip(df: DataFrame, blacklist: DataFrame, tor: DataFrame, abuse: DataFrame, ip: str) -> DataFrame:
@@ -36,7 +24,7 @@ def _scores_by_ip(df: DataFrame, blacklist: DataFrame, tor: DataFrame, abuse: Da
     ips = df.select(ip).distinct()
     hits = match_list(match_list(ips, blacklist, ip, "_black"), tor, ip, "_tor")
     scores = abuse.groupBy(F.col("ip").alias(ip)).agg(F.max("abuse_score").alias("_abuse"))
-    return hits.join(lookup_side(scores), ip, "left").withColumn(
+    return hits.join(scores, ip, "left").withColumn(
         "_abuse", F.when(F.col("_abuse") >= T.ABUSE_MIN, F.col("_abuse")))
 
 
@@ -83,7 +71,7 @@ def url_verdict(df: DataFrame, reports: DataFrame, url: str = "url") -> DataFram
         F.max(F.struct("positives", "total")).alias("_r"))
     positives, total = F.col("_r.positives"), F.col("_r.total")
     threat = F.coalesce(positives > 0, F.lit(False))
-    return df.join(lookup_side(one), url, "left").withColumns({
+    return df.join(one, url, "left").withColumns({
         "is_threat": threat,
         "threat_confidence": F.when(threat, rounded(positives / F.greatest(total, F.lit(1)), 3)).otherwise(0.0),
         "threat_detail": F.when(threat, F.concat(positives.cast("string"), F.lit("/"), total.cast("string"),
@@ -106,7 +94,7 @@ def geolocate(df: DataFrame, ranges: DataFrame, ip: str = "src_ip", prefix_bits:
     ips = df.select(ip).distinct().withColumn("_num", ip_number(F.col(ip))).withColumn(
         "_p", F.floor(F.col("_num") / width))
     inside = (F.col("_num") >= F.col("start_num")) & (F.col("_num") <= F.col("end_num"))
-    found = ips.alias("i").join(lookup_side(listed).alias("r"), F.col("i._p") == F.col("r._p")).where(inside)
+    found = ips.alias("i").join(listed.alias("r"), F.col("i._p") == F.col("r._p")).where(inside)
     found = found.groupBy(F.col(f"i.{ip}").alias(ip)).agg(
         F.max(F.struct("start_num", *_GEO)).alias("_g")).select(ip, "_g.*").drop("start_num")
     located = df.join(found, ip, "left")
@@ -183,7 +171,7 @@ def domain_reputation(df: DataFrame, col: str, listed: DataFrame, reports: DataF
     if reports is not None:
         ambiguous = ~F.col("_listed") & (((F.col("confidence") > 0) & (F.col("confidence") < 1)) | (F.size("risk_factors") == 0))
         one = reports.groupBy(F.col("url").alias(col)).agg(F.max(F.struct("positives", "total")).alias("_r"))
-        out = out.join(lookup_side(one), col, "left")
+        out = out.join(one, col, "left")
         use = ambiguous & F.coalesce(F.col("_r.positives") > 0, F.lit(False))
         share = rounded(F.col("_r.positives") / F.greatest(F.col("_r.total"), F.lit(1)), 3)
         out = out.withColumn("_use", use).withColumns({

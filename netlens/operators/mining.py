@@ -165,16 +165,12 @@ def cluster_patterns(df: DataFrame, columns: list[str], cluster: str = "cluster"
 
 
 def mine_zero_days(df: DataFrame, columns: list[str], row_id: str, eps: float = 0.5, min_samples: int = 5,
-                   min_score: float = T.MINE_MIN_SCORE, max_candidates: int | None = None, run: int = 1) -> DataFrame:
+                   min_score: float = T.MINE_MIN_SCORE, run: int = 1) -> DataFrame:
     """Clusters among the anomalous rows.
 
-    All candidates are clustered; ``max_candidates`` is the optional sampling cap
-    of an interactive run.
+    All candidates are clustered.
     """
-    from netlens.operators.sampling import capped_sample
     rows = df.where(F.col("anomaly_score") <= -min_score) if "anomaly_score" in df.columns else df
-    if max_candidates:
-        rows = capped_sample(rows, row_id, max_candidates)
     keep = [row_id, *(["anomaly_score"] if "anomaly_score" in df.columns else [])]
     rows = materialise(rows.select(*keep, *columns), "candidates")
     usable = screen_columns(rows, columns)

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from netlens import tables as T
 from netlens.operators import metrics as M
 from netlens.operators.cleaning import align_features, mistakes_as_training, union_common
 from netlens.operators.features import feature_columns
+from netlens.operators.features import anova_scores
 from netlens.operators.fusion import decide, resolve_class
 from netlens.operators.sampling import balanced_weights, class_cap, hash_sample, stratified_split, undersample, class_weights
 from netlens.session import shared_folder, spread
@@ -41,8 +42,9 @@ def train_classifier(df: DataFrame, features: list[str], label: str = "label", w
     ]
     source = "scaled"
     if k is not None:
-        chooser = UnivariateFeatureSelector(featuresCol="scaled", outputCol="selected", labelCol="label", selectionMode="numTopFeatures")
-        stages.append(chooser.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(min(k, len(features))))
+        # by F itself: on many rows all p-values are 0 and would rank by position
+        best = anova_scores(data, features, "label").where(F.col("rank") <= k).select("feature").collect()
+        stages.append(VectorSlicer(inputCol="scaled", outputCol="selected", indices=sorted(features.index(r["feature"]) for r in best)))
         source = "selected"
     if mode == "binary":
         stages.append(GBTClassifier(featuresCol=source, labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
@@ -70,8 +72,8 @@ def model_features(model: PipelineModel) -> list[str]:
 def selected_features(model: PipelineModel) -> list[str]:
     """Names of the columns the classifier sees, in its order."""
     names = model_features(model)
-    chooser = [s for s in model.stages if hasattr(s, "selectedFeatures")]
-    return [names[i] for i in chooser[0].selectedFeatures] if chooser else names
+    chooser = [s for s in model.stages if isinstance(s, VectorSlicer)]
+    return [names[i] for i in chooser[0].getIndices()] if chooser else names
 
 
 _SCRATCH = ["assembled", "scaled", "selected", "rawPrediction", "probability", "prediction"]
@@ -196,7 +198,7 @@ def contributions(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame
     packed = [(w, list(_paths(nodes))) for w, nodes in trees]
     base = sum(w * _expected(nodes) for w, nodes in trees)
     shared = df.sparkSession.sparkContext.broadcast(packed)
-    vector = "selected" if any(hasattr(s, "selectedFeatures") for s in model.stages) else "scaled"
+    vector = "selected" if any(isinstance(s, VectorSlicer) for s in model.stages) else "scaled"
     prepared = _applied(model, df).select(
         F.col(row_id).alias("_row"), vector_to_array(vector).alias("x"),
         F.array(*[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in names]).alias("v"))

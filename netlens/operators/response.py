@@ -189,15 +189,18 @@ def _marked_by_interval(df: DataFrame, spans: DataFrame, key: str, flag: str, ma
 
     Interval starts and rows are merged into one time line per key and the latest
     end seen so far is carried along, so no row is paired with many intervals.
+    A row without a key is in no interval, and an interval without one holds no row.
     """
     forever = F.lit(2 ** 62)
-    rows = df.withColumns({"_us": F.unix_micros("ts"), "_side": F.lit(1), "_end": F.lit(None).cast("long")})
-    starts = spans.select(F.col(key), F.col("start_us").alias("_us"), F.lit(0).alias("_side"),
+    keyless = df.where(F.col(key).isNull()).withColumn(flag, F.lit(False))
+    rows = df.where(F.col(key).isNotNull()).withColumns({"_us": F.unix_micros("ts"), "_side": F.lit(1), "_end": F.lit(None).cast("long")})
+    starts = spans.where(F.col(key).isNotNull()).select(F.col(key), F.col("start_us").alias("_us"), F.lit(0).alias("_side"),
                           F.coalesce("end_us", forever).alias("_end"))
     line = rows.unionByName(starts, allowMissingColumns=True)
     seq = Ordered(line, [key], ["_us", "_side"], max_group).add(_until=Running("max", "_end"))
-    return seq.result().where("_side = 1").withColumn(
+    marked = seq.result().where("_side = 1").withColumn(
         flag, F.coalesce(F.col("_us") < F.col("_until"), F.lit(False))).drop("_us", "_side", "_end", "_until")
+    return marked.unionByName(keyless)
 
 
 def is_blocked(df: DataFrame, ledger: DataFrame, max_group: int | None = None) -> DataFrame:

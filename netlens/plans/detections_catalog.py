@@ -51,10 +51,11 @@ def _actor_distribution(spark, sf):
 
 
 @query("profiler_summary", with_(*BASE, PROFILE_RAW, PROFILE, body="""SELECT count(*) AS total_attackers,
-  CAST(sum(CASE WHEN actor_class = 'APT' THEN 1 ELSE 0 END) AS BIGINT) AS apt_count, CAST(max(score) AS BIGINT) AS max_sophistication FROM prof"""))
+  CAST(sum(CASE WHEN actor_class = 'APT' THEN 1 ELSE 0 END) AS BIGINT) AS apt_count, CAST(max(score) AS BIGINT) AS max_sophistication,
+  (SELECT src_ip FROM prof ORDER BY score DESC, src_ip LIMIT 1) AS top_attacker_ip FROM prof"""))
 def _profiler_summary(spark, sf):
     return A.profiler_summary(A.attacker_profiles(annotated(spark, sf))).select(
-        "total_attackers", "apt_count", F.col("max_sophistication").cast("long").alias("max_sophistication"))
+        "total_attackers", "apt_count", F.col("max_sophistication").cast("long").alias("max_sophistication"), "top_attacker_ip")
 
 
 @query("mitre_annotation", with_(*BASE, body="SELECT event_id, attack_type, tactic, technique, tname, mitre_severity, hint FROM ann"))
@@ -398,7 +399,7 @@ RISK_ALL = (*BASE, FEEDS, PROFILE_RAW, PROFILE, RTAC, RISK)
 def scored(spark, sf):
     a = I.ip_reputation(annotated(spark, sf), *feeds(spark, sf))
     actors = A.attacker_profiles(a).select("src_ip", "actor_class", "event_count")
-    return K.risk_score(a.join(I.lookup_side(actors), "src_ip", "left"))
+    return K.risk_score(a.join(actors, "src_ip", "left"))
 
 
 @query("risk_score", with_(*RISK_ALL, body=f"""SELECT event_id, risk_score, {RLABEL} AS risk_label, CASE greatest(0.25 * d1, 0.25 * d2, 0.2 * d3, 0.15 * d4, 0.1 * d5, 0.05 * d6)
@@ -582,9 +583,9 @@ def _recent_events(spark, sf):
     return MO.recent_events(V.detections(spark, sf)).select("event_id", "attack_type")
 
 
-@query("event_rows", with_(*BASE, body="SELECT event_id, strftime(ts, '%H:%M:%S') AS time, attack_type AS attack, src_ip, severity, tactic, '0.0' AS risk, 'log' AS action FROM ann"))
+@query("event_rows", with_(*BASE, body="SELECT event_id, strftime(ts, '%H:%M:%S') AS time, attack_type AS attack, src_ip, CAST(CAST(round(CAST(CAST(confidence * 100 AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DECIMAL(10, 1)) AS VARCHAR) || '%' AS confidence, severity, tactic, '0.0' AS risk, 'log' AS action FROM ann"))
 def _event_rows(spark, sf):
-    return MO.display_rows(annotated(spark, sf)).drop("confidence")
+    return MO.display_rows(annotated(spark, sf))
 
 
 @query("detection_stats", with_(DET, body="SELECT count(*) AS total_flows, sum(b)::BIGINT AS attacks_detected, (count(*) - sum(b))::BIGINT AS benign_flows, round(sum(b) * 100.0::DOUBLE / count(*), 2) AS attack_rate_pct FROM (SELECT CASE WHEN confidence >= 0.55 THEN 1 ELSE 0 END AS b FROM det)"))

@@ -131,9 +131,9 @@ def _signature_labels(spark, sf):
     return G.signature_labels(V.requests(spark, sf)).select("page_id", "sig_attack_type", "csrf_session_token")
 
 
-@query("url_decode", with_(TEXTS, body="SELECT src, id, md5(url_decode(t)) AS decoded FROM txt WHERE src <> 'doc' OR NOT contains(t, '%')"))
+@query("url_decode", with_(TEXTS, body="SELECT src, id, md5(url_decode(t)) AS decoded FROM txt"))
 def _url_decode(spark, sf):
-    return texts(spark, sf).where("src <> 'doc' OR NOT contains(t, '%')").select("src", "id", F.md5(percent_decode(F.col("t"))).alias("decoded"))
+    return texts(spark, sf).select("src", "id", F.md5(percent_decode(F.col("t"))).alias("decoded"))
 
 
 CUT = """ch AS (SELECT doc_id, i, substr(text, i, 1) AS c FROM documents, LATERAL (SELECT unnest(range(1, least(length(text), 2048) + 1)) AS i) s),
@@ -141,10 +141,10 @@ cum AS (SELECT doc_id, i, c, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i
 cut AS (SELECT doc_id, coalesce(string_agg(c, '' ORDER BY i) FILTER (b <= 2048), '') || CASE WHEN bool_or(b > 2048) AND max(CASE WHEN b <= 2048 THEN b ELSE 0 END) < 2048 THEN chr(65533) ELSE '' END AS s FROM cum GROUP BY doc_id)"""
 
 
-@query("payload_decode", with_(CUT, body="SELECT doc_id, length(s) AS n, md5(s) AS digest FROM cut"))
+@query("payload_decode", with_(CUT, body="SELECT doc_id, length(coalesce(s, '')) AS n, md5(coalesce(s, '')) AS digest FROM documents LEFT JOIN cut USING (doc_id)"))
 def _payload_decode(spark, sf):
     d = V.load(spark, sf, "documents")
-    s = d.select("doc_id", payload_text(F.col("text").cast("binary")).alias("s")).where(F.length("s") > 0)
+    s = d.select("doc_id", payload_text(F.col("text").cast("binary")).alias("s"))
     return s.select("doc_id", F.length("s").cast("long").alias("n"), F.md5("s").alias("digest"))
 
 

@@ -110,10 +110,26 @@ def test_reputation_stops_at_the_blacklist(spark):
     assert got == {"a": (100, ["local_blacklist"], "CRITICAL"), "b": (100, ["tor_exit_node", "abuseipdb"], "CRITICAL"), "c": (0, [], "CLEAN"), "d": (0, [], "CLEAN")}
 
 
-def test_lookup_side_beyond_the_limit_is_not_broadcast(spark):
-    big = spark.range(50)
-    assert I.small_enough(big, 50) and not I.small_enough(big, 49)
-    assert I.lookup_side(big, 10) is big
+def test_lookups_start_no_job(spark):
+    df = spark.createDataFrame([("1.1.1.1",)], "ip string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lookups", "none expected")
+    I.match_list(df, df, "ip", "listed")
+    assert list(tracker.getJobIdsForGroup("lookups")) == []
+    spark.sparkContext.setJobGroup("rest", "")
+
+
+def test_every_tactic_of_an_attack_type_is_observed(spark):
+    rows = [("a", "Bot", "Persistence", "T1"), ("a", "Bot", "Command and Control", "T2")]
+    df = spark.createDataFrame(rows, "src_ip string, attack_type string, mitre_tactic string, mitre_technique_id string").selectExpr(
+        "*", "1L AS event_id", "timestamp'2024-01-01' AS ts", "80 AS dst_port")
+    r = A.attacker_profiles(df).first()
+    assert r["tactics_observed"] == ["Command and Control", "Persistence"] and r["techniques_observed"] == ["T1", "T2"]
+
+
+def test_top_attacker_is_the_smallest_address(spark):
+    df = spark.createDataFrame([("b", 5, "APT"), ("a", 5, "APT"), ("c", 1, "APT")], "src_ip string, sophistication_score int, actor_class string")
+    assert A.profiler_summary(df).first()["top_attacker_ip"] == "a"
 
 
 def test_tls(spark):
