@@ -16,8 +16,8 @@ LEAST_SHARE = 0.5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; ``lang`` stays as it was given."""
     model = language.fit_languages(docs, ~held_out())
-    found = language.identify_languages(docs, model, prefix="_found_")
-    return found.where((F.col("_found_lang_pred") != language.UNDETERMINED) & (F.col("_found_score") >= LEAST_SHARE)).select(docs.columns)
+    found = language.identify_languages(docs, model, prefix="__found_")
+    return found.where((F.col("__found_lang_pred") != language.UNDETERMINED) & (F.col("__found_score") >= LEAST_SHARE)).select(docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item is half covered by."""
-    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), prefix="__").where(~F.col("__contaminated")).select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

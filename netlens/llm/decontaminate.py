@@ -132,7 +132,7 @@ def _load(folder: str, file: str, seed_words: int) -> ItemIndex:
     return ItemIndex(held.column("item_id").to_numpy(), [np.array(w, dtype=np.uint64) for w in held.column("words").to_pylist()], seed_words)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, threshold: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, threshold: float = 0.5, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with contaminated, leaked_item, coverage, longest and the array leaks.
 
     A row is contaminated by an item if tiles of at least ``seed_words`` words cover
@@ -143,15 +143,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, seed_words: int = 5, thres
     Words are lower-cased runs between ASCII blanks.  Null or empty text, and items
     that are null or shorter than ``seed_words`` words, never match.  Repeated rows get
     equal results.  All columns of ``docs`` pass through; one with the name of a result
-    gives way.  Documents stream past the benchmark's files; nothing is shuffled.
+    (``prefix`` goes before these) gives way.  Documents stream past the benchmark's files; nothing is shuffled.
     """
-    names = ["contaminated", "leaked_item", "coverage", "longest", "leaks"]
+    names = [f"{prefix}{c}" for c in ("contaminated", "leaked_item", "coverage", "longest", "leaks")]
     parts = [(r["folder"], r["file"]) for r in index_benchmark(benchmark).collect()]  # a row per two million words
     keep = docs.drop(*names)
     leak = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()),
                          T.StructField("tiles", T.IntegerType()), T.StructField("longest", T.IntegerType())])
-    schema = T.StructType([*keep.schema.fields, T.StructField("contaminated", T.BooleanType()), T.StructField("leaked_item", T.LongType()),
-                           T.StructField("coverage", T.DoubleType()), T.StructField("longest", T.IntegerType()), T.StructField("leaks", T.ArrayType(leak))])
+    kinds = (T.BooleanType(), T.LongType(), T.DoubleType(), T.IntegerType(), T.ArrayType(leak))
+    schema = T.StructType([*keep.schema.fields, *map(T.StructField, names, kinds)])
     arrow_leak = pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -287,14 +287,15 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` but for all duplicates save one of each class: the one with the smallest doc_id (nulls last), then text hash.
 
-    Rows with the same doc_id and the same text are one document.
+    Rows with the same doc_id and the same text are one document.  Columns whose names
+    begin with two underscores are the operator's own.
     """
-    known = duplicate_classes(docs, **options).select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("_doc"), F.col("th").alias("_th"), "component")
-    kept = known.groupBy("component").agg(F.min(F.struct("_doc", "_th")).alias("k")).select("k._doc", "k._th").distinct()
-    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    chosen = named.join(kept, ["_doc", "_th"], "left_semi")
-    first = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_th").orderBy(F.lit(0))))
-    return first.where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    known = duplicate_classes(docs, **options).select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("__doc"), F.col("th").alias("__th"), "component")
+    kept = known.groupBy("component").agg(F.min(F.struct("__doc", "__th")).alias("k")).select("k.__doc", "k.__th").distinct()
+    named = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
+    chosen = named.join(kept, ["__doc", "__th"], "left_semi")
+    first = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__doc", "__th").orderBy(F.lit(0))))
+    return first.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity: float) -> DataFrame:

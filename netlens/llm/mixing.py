@@ -222,11 +222,12 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     """Whole documents in the mix: each row as often as a pass of its source's stream takes its first word.
 
     For streams that may not cut a document.  Same order, targets and tree as
-    ``mix_sources``; every column of ``docs`` is kept.
+    ``mix_sources``; every column of ``docs`` is kept.  Columns whose names begin with two
+    underscores are the operator's own.
     """
-    named = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")  # so that ids stay
-    sized = size_documents(named, seed, "_row")
+    named = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")  # so that ids stay
+    sized = size_documents(named, seed, "__row")
     targets, mix = mix_sources(sized, weights, share, cap, seed=seed)
-    times = mix.where("first_word = 0").groupBy(F.col("row").alias("_row")).agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    drawn = named.join(times, "_row").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    times = mix.where("first_word = 0").groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).cast("int").alias("__times"))
+    drawn = named.join(times, "__row").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])

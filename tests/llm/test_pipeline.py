@@ -84,3 +84,20 @@ def test_mix_and_tokens(stages):
 def test_run(spark, sf, stages):
     key = lambda rows: sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows)
     assert key(P.run(spark, sf).collect()) == key(stages[-1].collect())
+
+
+def test_odd_rows_and_clashing_columns(spark, sf):
+    """Nulls, empty and repeated rows, and columns named like results go through all stages."""
+    rows = [(1, None, "en", "a", 0, 1.0, "x"), (2, "", "en", None, 0, None, None), (3, "the and of to in is that for " * 9, None, "a", 1, 2.0, "y"),
+            (3, "the and of to in is that for " * 9, None, "a", 1, 2.0, "y"), (None, "with by on this are from the be was it as at not " * 7, "en", "b", None, 0.0, "z"),
+            (5, "der die und das nicht von mit ist des sich auf ein " * 5, "de", None, 3, 0.0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, coverage string")
+    kept = docs
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} <= {3, None, 5}
+    assert P.STAGES[-1][1](spark, kept, sf).count() == kept.count()
+    empty = docs.limit(0)
+    for name, stage in P.STAGES:
+        assert stage(spark, empty, sf).collect() == []
