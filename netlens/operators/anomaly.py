@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from netlens import tables as T
 from netlens.operators.features import to_long
 from netlens.ordered import Ordered, RowNumber, Running
-from netlens.session import materialise, with_scalars
+from netlens.session import materialise
 
 
 def baseline_zscores(df: DataFrame, key: str, order: list[str], features: list[str], sigma: float = 3.0,
@@ -22,11 +22,14 @@ def baseline_zscores(df: DataFrame, key: str, order: list[str], features: list[s
 
     Adds per feature ``<f>__z`` and the row-level ``max_z`` and ``is_anomalous``.
     The earlier mean and sample deviation come from running count, sum and sum of
-    squares of values shifted by the feature's overall mean, which keeps the sums
-    small; running minimum and maximum tell a constant history exactly.
+    squares of values shifted by the device's first value: the history of a device
+    that stays near one level keeps all its digits, however far that level is from 0
+    and from other devices.  Running minimum and maximum tell a constant history exactly.
     """
-    stats = df.agg(*[F.coalesce(F.avg(_usable(f)), F.lit(0.0)).alias(f"{f}__c") for f in features])
-    base = with_scalars(df, stats)
+    def first(f: str) -> Column:
+        return F.min_by(_usable(f), F.when(_usable(f).isNotNull(), F.struct(*order)))
+    starts = df.groupBy(F.col(key).alias("_device")).agg(*[first(f).alias(f"{f}__c") for f in features])
+    base = df.join(starts, F.col(key).eqNullSafe(F.col("_device")), "left").drop("_device")
     base = base.withColumns({f"{f}__x": _usable(f) - F.col(f"{f}__c") for f in features}).withColumns(
         {f"{f}__q": F.col(f"{f}__x") * F.col(f"{f}__x") for f in features})
     specs = {}

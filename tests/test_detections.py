@@ -215,3 +215,14 @@ def test_anova_constant_feature_ranks_last(spark):
 def test_lab_ground_truth(spark):
     df = spark.createDataFrame([("a", 2, 1, 0), ("a", 2, 1, 1), ("b", 9, 9, 3), ("c", 1, 1, 0)], "src_ip string, total_fwd_packets int, total_backward_packets int, psh_flag_count int")
     assert [r["truth_class"] for r in C.label_by_source(df, "a", "b").collect()] == ["PortScan", "WebAttack", "BENIGN"]
+
+
+@pytest.mark.parametrize("level", [0.0, 1e7, 2e9])
+@pytest.mark.parametrize("max_group", [None, 20])
+def test_baseline_far_from_the_other_devices(spark, level, max_group):
+    from netlens.operators.anomaly import baseline_zscores
+    rows = [("a", i, level + 0.05 * (-1) ** i + (5.0 if i == 60 else 0.0)) for i in range(61)] + [("b", i, float(i % 7)) for i in range(61)]
+    df = spark.createDataFrame(rows, "device string, t long, v double")
+    got = {r.t: r for r in baseline_zscores(df, "device", ["t"], ["v"], max_group=max_group).where("device = 'a'").collect()}
+    assert 95 < got[60].max_z < 105 and got[60].is_anomalous
+    assert all(r.max_z < 2 for t, r in got.items() if t < 60)
