@@ -98,14 +98,19 @@ def _zero_day_mining(spark, sf):
         "cluster_id", "size", "anomaly_score_mean", "anomaly_score_max", "ioc_hint")
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || CAST(l_partkey AS VARCHAR) AS a, 's' || CAST(l_suppkey AS VARCHAR) || '-' || CAST(l_partkey % 97 AS VARCHAR) AS b FROM lineitem WHERE l_quantity > 48),
-  k AS (SELECT a, b FROM e UNION SELECT b, a FROM e), l AS (SELECT a AS node, least(a, min(b)) AS m FROM k GROUP BY a)
-  SELECT count(*) AS nodes, count(DISTINCT node) AS distinct_nodes FROM l""")
+@query("connected_components", """WITH RECURSIVE e AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS a, 'o' || CAST(o_orderkey AS VARCHAR) AS b FROM orders
+    UNION SELECT 'o' || CAST(l_orderkey AS VARCHAR), 'l' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) FROM lineitem),
+  k AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  lowest AS (SELECT a AS node FROM k GROUP BY a HAVING a < min(b)),
+  reach AS (SELECT node AS root, node FROM lowest UNION SELECT reach.root, k.b FROM reach JOIN k ON k.a = reach.node)
+  SELECT node, min(root) AS component FROM reach GROUP BY node""")
 def _connected_components(spark, sf):
-    li = V.load(spark, sf, "lineitem").where("l_quantity > 48")
-    edges = li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"),
-                      F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("-"), (F.col("l_partkey") % 97).cast("string")).alias("b")).distinct()
-    return N.connected_components(edges).agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("node").alias("distinct_nodes"))
+    o, li = V.load(spark, sf, "orders"), V.load(spark, sf, "lineitem")
+    order = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    placed = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), order.alias("b"))
+    line = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    held = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("a"), line.alias("b"))
+    return N.connected_components(placed.unionByName(held))
 
 
 # --- training ---------------------------------------------------------------
