@@ -227,7 +227,7 @@ def campaign_members(df: DataFrame, window_hours: int = 24, max_group: int | Non
         F.concat(F.lit("ip:"), "src_ip").alias("a"),
         F.concat(F.lit("run:"), "mitre_technique_id", F.lit("#"), F.col("_run").cast("string")).alias("b")).distinct()
     linked = connected_components(edges).where(F.col("node").startswith("ip:")).select(
-        F.substring("node", 4, 1_000).alias("src_ip"), "component")
+        F.expr("substr(node, 4)").alias("src_ip"), "component")
     return df.select("src_ip").distinct().join(linked, "src_ip", "left").withColumn(
         "component", F.coalesce("component", F.concat(F.lit("ip:"), "src_ip")))
 

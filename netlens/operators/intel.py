@@ -190,6 +190,8 @@ def tls_indicators(df: DataFrame) -> DataFrame:
 
     Inputs: ja3_fingerprint, cipher_suite, connection_frequency,
     packet_size_variance, certificate_validity_days, byte_distribution_entropy.
+    Weak suites are looked for in the upper-cased name, in the case the list has
+    them: "anon" is listed in lower case and so marks nothing.
     """
     ja3 = F.trim(F.lower(F.coalesce("ja3_fingerprint", F.lit(""))))
     known = F.lit(False)
@@ -197,7 +199,7 @@ def tls_indicators(df: DataFrame) -> DataFrame:
         known = known | ja3.startswith(prefix)
     ja3_risk = F.when(known, 1.0).when(F.length(ja3) == 32, 0.1).otherwise(0.0)
     cipher = F.upper(F.coalesce("cipher_suite", F.lit("")))
-    weak = cipher.rlike("|".join(c.upper() for c in T.WEAK_CIPHERS))
+    weak = cipher.rlike("|".join(T.WEAK_CIPHERS))
     freq = F.coalesce(F.col("connection_frequency").cast("double"), F.lit(0.0))
     variance = F.coalesce(F.col("packet_size_variance").cast("double"), F.lit(1.0))
     beacon = (freq >= T.TLS_BEACON_FREQUENCY) & (variance <= T.TLS_BEACON_VARIANCE)

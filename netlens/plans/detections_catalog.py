@@ -611,7 +611,7 @@ def _baseline_rows(spark, sf):
 
 TLS = f"""tls AS (SELECT event_id, CASE WHEN k % 10 = 0 THEN 'e7d705' || md5(src_ip) ELSE md5(src_ip) END AS ja3, CASE WHEN k % 7 = 0 THEN 'TLS_RSA_WITH_RC4_128_MD5' WHEN k % 7 = 1 THEN 'TLS_DH_ANON_WITH_AES' ELSE 'TLS_AES_256_GCM_SHA384' END AS cipher,
   k AS freq, floor(value * 10) / 10000 AS var, CAST(floor(value * 10) AS INTEGER) - 200 AS days, (k % 80) / 10.0::DOUBLE AS ent FROM det),
-tq AS (SELECT *, CASE WHEN left(ja3, 6) = 'e7d705' THEN 1.0 WHEN length(ja3) = 32 THEN 0.1 ELSE 0.0 END AS jr, regexp_matches(cipher, 'RC4|NULL|EXPORT|DES|MD5|ANON') AS weak, freq >= 20 AND var <= 0.05 AS beacon FROM tls)"""
+tq AS (SELECT *, CASE WHEN left(ja3, 6) = 'e7d705' THEN 1.0 WHEN length(ja3) = 32 THEN 0.1 ELSE 0.0 END AS jr, regexp_matches(cipher, 'RC4|NULL|EXPORT|DES|MD5') AS weak, freq >= 20 AND var <= 0.05 AS beacon FROM tls)"""
 
 
 @query("tls_indicators", with_(DET, TLS, body="""SELECT event_id, CAST(jr AS DOUBLE) AS ja3_risk_score, beacon AS beaconing_detected, weak AS suspicious_cipher, round(least(1.0::DOUBLE, jr + CASE WHEN weak THEN 0.3 ELSE 0 END + CASE WHEN beacon THEN 0.4 ELSE 0 END), 4) AS aggregate_risk,

@@ -133,12 +133,14 @@ def test_top_attacker_is_the_smallest_address(spark):
 
 
 def test_tls(spark):
-    df = spark.createDataFrame([(None, None, 100.0, 0.001, None, None), ("E7D705abcdef00", "TLS_DH_anon_X", 1.0, 1.0, 3, 7.9)],
+    df = spark.createDataFrame([(None, None, 100.0, 0.001, None, None), ("E7D705abcdef00", "TLS_DH_anon_RC4", 1.0, 1.0, 3, 7.9)],
                                "ja3_fingerprint string, cipher_suite string, connection_frequency double, packet_size_variance double, certificate_validity_days int, byte_distribution_entropy double")
     a, b = I.tls_indicators(df).collect()
+    plain = df.withColumn("cipher_suite", F.lit("TLS_DH_anon_WITH_AES"))
+    assert not any(r["suspicious_cipher"] for r in I.tls_indicators(plain).collect())
     assert a["beaconing_detected"] and a["aggregate_risk"] == 0.4
     assert b["ja3_risk_score"] == 1.0 and b["suspicious_cipher"] and b["aggregate_risk"] == 1.0
-    assert b["anomaly_indicators"] == ["known_malicious_ja3:e7d705abcdef", "weak_cipher_suite:TLS_DH_ANON_X", "certificate_expiring_soon:3d", "high_entropy_payload:7.90"]
+    assert b["anomaly_indicators"] == ["known_malicious_ja3:e7d705abcdef", "weak_cipher_suite:TLS_DH_ANON_RC4", "certificate_expiring_soon:3d", "high_entropy_payload:7.90"]
 
 
 def test_baseline_spike(spark):
