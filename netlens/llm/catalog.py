@@ -91,7 +91,20 @@ def op6_source_mix(spark, sf_dir):
     return mixing.taken_words(sized, *mixing.mix_sources(sized))
 
 
-@query("op8_jaccard_join")
+OP8 = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y, c = nx AND c = ny AS same FROM p WHERE c >= 0.8 * (nx + ny - c) - 1e-9),
+reach AS (SELECT doc_id AS root, doc_id AS node FROM s UNION SELECT reach.root, link.y FROM reach JOIN link ON link.x = reach.node),
+class AS (SELECT node AS doc_id, min(root) AS class_id FROM reach GROUP BY node),
+own AS (SELECT x AS doc_id, count(*) AS n_links, min(CASE WHEN same THEN y END) AS twin FROM link GROUP BY x)
+SELECT s.doc_id, class_id, CASE WHEN len(grams) > 0 THEN least(s.doc_id, coalesce(twin, s.doc_id)) END AS copy_id, coalesce(n_links, 0) AS n_links
+FROM s JOIN class USING (doc_id) LEFT JOIN own USING (doc_id)"""
+
+
+@query("op8_jaccard_join", OP8)
 def op8_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,7 +124,18 @@ def op7_private_spans(spark, sf_dir):
                         privacy.span_texts(F.col("base"), F.col("terms")).alias("spans"))
 
 
-@query("op3_repeated_strings")
+OP3 = r"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY k) > 1 AS again
+  FROM (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, hx, unnest(range(0, n - 199)) AS i FROM h))),
+b AS (SELECT p.doc_id, p.i, p.c, max(CASE WHEN again THEN p.i END) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS latest
+  FROM (SELECT doc_id, i, substr(hx, 2 * i + 1, 2) AS c FROM (SELECT doc_id, hx, unnest(range(0, n)) AS i FROM h)) p LEFT JOIN win ON win.doc_id = p.doc_id AND win.i = p.i),
+m AS (SELECT *, coalesce(i - latest < 200, false) AS gone FROM b),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM m),
+r AS (SELECT doc_id, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(opens AS INT)) AS BIGINT) AS n_spans, string_agg(CASE WHEN NOT gone THEN c END, '' ORDER BY i) AS kept FROM e GROUP BY doc_id)
+SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN r USING (doc_id)"""
+
+
+@query("op3_repeated_strings", OP3)
 def op3_repeated_strings(spark, sf_dir):
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
