@@ -15,6 +15,8 @@ from netlens.llm.common import materialise
 
 #: Hash places for n-grams: the model has this many numbers per language, whatever the corpus.
 PLACES = 1 << 16
+#: Characters of a text that are counted at a time.
+PIECE = 1 << 20
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 
@@ -28,7 +30,19 @@ def _letter_table() -> np.ndarray:
 
 def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(place, count) of the letter trigrams of a text; other characters are word ends."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), dtype=np.uint32)
+    low = f" {text.lower()} "
+    if len(low) <= PIECE + 2:
+        return _ngrams(low)
+    counts = np.zeros(PLACES)
+    for a in range(0, len(low) - 2, PIECE):  # a piece begins with the last two characters of the one before
+        place, n = _ngrams(low[a:a + PIECE + 2])
+        counts[place] += n
+    place = np.flatnonzero(counts)
+    return place.astype(np.uint16), counts[place]
+
+
+def _ngrams(low: str) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32)
     letter = _letter_table()[points]
     x = np.where(letter, points, 32).astype(np.uint32)
     # at least two of the three are letters, or one between two word ends

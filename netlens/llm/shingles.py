@@ -8,6 +8,8 @@ from netlens.llm.common import mixed
 
 #: Bytes of a word that have a row of their own in the table of random numbers.
 PLACES = 64
+#: Bytes of a text that are hashed at a time.
+PIECE = 1 << 20
 _tables: list[np.ndarray] = []
 
 
@@ -21,6 +23,21 @@ def _table() -> np.ndarray:
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words between ASCII blanks, in order."""
     data = np.frombuffer((text or "").lower().encode(), dtype=np.uint8)
+    if len(data) <= PIECE:
+        return _word_hashes(data)
+    cuts = [0]
+    while len(data) - cuts[-1] > PIECE:  # long texts go in pieces that end at a blank
+        ahead = data[cuts[-1] + PIECE:]
+        at = np.flatnonzero((ahead[:PIECE] == 32) | (ahead[:PIECE] == 10))
+        if not len(at):
+            at = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+        if not len(at):
+            break
+        cuts.append(cuts[-1] + PIECE + int(at[0]))
+    return np.concatenate([_word_hashes(data[a:b]) for a, b in zip(cuts, [*cuts[1:], len(data)])])
+
+
+def _word_hashes(data: np.ndarray) -> np.ndarray:
     blank = (data == 32) | ((data >= 9) & (data <= 13))
     inside = np.concatenate([[False], ~blank, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])

@@ -66,14 +66,19 @@ class Encoder:
         """The ids of one text after the other; a few texts are split into words at a time."""
         at = 0
         while at < len(texts):
+            if self.words and len(texts[at]) > 2 * CHARS:
+                yield b"".join(self._encode([piece], k > 0)[0] for k, piece in enumerate(pieces(texts[at])))
+                at += 1
+                continue
             end, chars = at, 0
-            while end < len(texts) and (chars < CHARS or end == at):
+            while end < len(texts) and (chars < CHARS or end == at) and not (self.words and len(texts[end]) > 2 * CHARS):
                 chars += len(texts[end])
                 end += 1
             yield from self._encode(texts[at:end])
             at = end
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str], after_space: bool = False) -> list[bytes]:
+        """``after_space``: the texts go on after a space that parted words."""
         if not self.words:
             return self._plain(texts)
         known = self.known
@@ -82,7 +87,7 @@ class Encoder:
         first, rest = [], []
         for text in texts:
             words = INNER_SPACE.split(text) if uneven(text) else text.split(" ")
-            first.append(words.pop(0))
+            first.append("" if after_space else words.pop(0))
             rest.append(words)
         new = set().union(*rest).difference(known)
         if new:
@@ -90,6 +95,20 @@ class Encoder:
         return [b"".join([start, *map(known.__getitem__, words)]) for start, words in zip(self._plain(first), rest)]
 
 
+def pieces(text: str) -> Iterator[str]:
+    """A long text cut at spaces between two words; the spaces are left out."""
+    at = 0
+    while len(text) - at > 2 * CHARS:
+        cut = text.find(" ", at + CHARS)
+        while cut != -1 and cut + 1 < len(text) and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.find(" ", cut + 1)
+        if cut == -1 or cut + 1 >= len(text):
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
+
+
 def uneven(text: str) -> bool:
     """Whether a space may stand beside another blank or at an end: only there is it not the start of a word."""
     return (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text

@@ -44,3 +44,11 @@ def test_no_labels(spark):
     model = language.fit_languages(df, F.lit(True))
     assert language.identify_languages(df, model).first().lang_pred == "und"
     assert language.identify_languages(df.limit(0), model).collect() == []
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "Ça va, très bien? 12 ÄÖ x " * 200
+    whole = language.ngrams(text)
+    monkeypatch.setattr(language, "PIECE", 37)
+    cut = language.ngrams(text)
+    assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()

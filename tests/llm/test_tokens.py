@@ -53,3 +53,12 @@ def test_table(spark, sf):
 def test_empty(spark):
     files = tokens.write_token_files(spark.createDataFrame([], "doc_id long, text string"), tokenizer_file())
     assert tokens.read_token_files(spark, files).collect() == []
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "CHARS", 50)
+    t = Tokenizer.from_file(tokenizer_file())
+    for text in ("a word, and  another\n line of it. " * 40, "x" * 500, " lead " + "it's 12 o'clock \t now " * 30, "  ".join(["w"] * 200), "ends with space " * 20):
+        got = list(tokens.Encoder(tokenizer_file()).encode(["short", text, "b c"]))
+        for g, s in zip(got, ("short", text, "b c")):
+            assert np.frombuffer(g, "<u2").tolist() == t.encode(s, add_special_tokens=False).ids
