@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +44,40 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or folder
 
 
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside go to a folder of the shared folder that is deleted at the end."""
+    folder = f"{shared_folder(spark)}/netlens-scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of ``build``; all tables written on the way are deleted."""
+    outside = _scratch.get() or shared_folder(spark)
+    with scratch(spark):
+        result = build()
+        path = f"{outside}/netlens-{name}-{uuid.uuid4().hex}"
+        result.write.parquet(path)
+        schema = result.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors, and pins columns
     such as partition ids that must not change when a plan is run twice.
     """
-    path = f"{shared_folder(df.sparkSession)}/netlens-{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_folder(df.sparkSession)}/netlens-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
