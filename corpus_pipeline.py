@@ -9,8 +9,8 @@ from netlens.llm import decontaminate, jaccard, language, mixing, tokens
 from netlens.llm.catalog import held_out, tokenizer_file
 from netlens.llm.common import materialise, table
 
-#: A document goes if no language has at least this share of its text.
-LEAST_SHARE = 0.5
+#: A document goes if it has no letter, or if no language has at least this share of its text.
+LEAST_SHARE = 0.34
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

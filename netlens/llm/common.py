@@ -11,9 +11,9 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.session import materialise, shared_folder
+from netlens.session import materialise, settled, shared_folder
 
-__all__ = ["bytes_of", "filesystem", "in_batches", "materialise", "mixed", "new_folder", "shared_folder", "table",
+__all__ = ["bytes_of", "filesystem", "in_batches", "materialise", "mixed", "new_folder", "settled", "shared_folder", "table",
            "texts_of"]
 
 #: Odd constants of a 64-bit finaliser (splitmix64).

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import grouped, materialise, mixed, runs
+from netlens.llm.common import grouped, materialise, mixed, runs, settled
 from netlens.llm.shingles import shingle_set
 from netlens.operators.mining import connected_components
 
@@ -281,7 +281,8 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, copy_id, n_links) for every row, see ``duplicate_classes``."""
-    return duplicate_classes(docs, **options).select("doc_id", "class_id", "copy_id", "n_links")
+    return settled(docs.sparkSession, "near-duplicates", lambda: duplicate_classes(docs, **options).select(
+        "doc_id", "class_id", "copy_id", "n_links"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -290,8 +291,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows with the same doc_id and the same text are one document.  Columns whose names
     begin with two underscores are the operator's own.
     """
-    known = duplicate_classes(docs, **options).select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("__doc"), F.col("th").alias("__th"), "component")
-    kept = known.groupBy("component").agg(F.min(F.struct("__doc", "__th")).alias("k")).select("k.__doc", "k.__th").distinct()
+    def chosen_keys() -> DataFrame:
+        known = duplicate_classes(docs, **options).select(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("__doc"), F.col("th").alias("__th"), "component")
+        return known.groupBy("component").agg(F.min(F.struct("__doc", "__th")).alias("k")).select("k.__doc", "k.__th").distinct()
+    kept = settled(docs.sparkSession, "kept", chosen_keys)
     named = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1))).withColumn("__th", F.xxhash64(F.col("text").cast("string")))
     chosen = named.join(kept, ["__doc", "__th"], "left_semi")
     first = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__doc", "__th").orderBy(F.lit(0))))

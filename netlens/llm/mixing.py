@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import materialise
+from netlens.llm.common import materialise, settled
 
 #: Primes that step through a source's draws; no number of draws below their product is divisible by all.
 STRIDES = (7_368_787, 9_999_991, 12_582_917, 15_485_863)
@@ -142,13 +142,17 @@ def shard_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
 
 # --- the mix -----------------------------------------------------------------
 
-def size_documents(docs: DataFrame, seed: int = 0, row: str | None = None) -> DataFrame:
+def size_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(row, doc_id, source, skey, size, order): one written row per document, without its text."""
-    doc_id = F.col("doc_id").cast("long")
-    return materialise(docs.select(
-        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("skey"), word_count(F.col("text").cast("string")).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")).alias("order")), "sizes")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                       word_count(F.col("text").cast("string")).alias("size"))
+    return materialise(sized_rows(rows, seed), "sizes")
+
+
+def sized_rows(rows: DataFrame, seed: int) -> DataFrame:
+    """The same from written (row, doc_id, source, size)."""
+    return rows.select("row", "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"), "size",
+                       F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("order"))
 
 
 def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0,
@@ -225,9 +229,22 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
     ``mix_sources``; every column of ``docs`` is kept.  Columns whose names begin with two
     underscores are the operator's own.
     """
-    named = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")  # so that ids stay
-    sized = size_documents(named, seed, "__row")
-    targets, mix = mix_sources(sized, weights, share, cap, seed=seed)
-    times = mix.where("first_word = 0").groupBy(F.col("row").alias("__row")).agg(F.count(F.lit(1)).cast("int").alias("__times"))
-    drawn = named.join(times, "__row").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns])
+    def key(df: DataFrame) -> list[Column]:
+        return [F.coalesce(df["doc_id"].cast("long"), F.lit(2 ** 63 - 1)).alias("__doc"), F.xxhash64(df["text"].cast("string")).alias("__th")]
+
+    def times() -> DataFrame:
+        named = materialise(docs.select(*key(docs), "doc_id", "text", "source").select(
+            "__doc", "__th", F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+            word_count(F.col("text").cast("string")).alias("size")), "mix-rows")
+        sized = sized_rows(named, seed)
+        _, mix = mix_sources(sized, weights, share, cap, seed=seed)
+        starts = mix.where("first_word = 0").groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+        return named.join(starts, "row").groupBy("__doc", "__th").agg(F.sum("n").alias("__times"))
+    drawn = settled(docs.sparkSession, "mix-times", times)
+    # equal rows share what their key takes
+    same = Window.partitionBy("__doc", "__th")
+    keyed = docs.select("*", *key(docs)).join(drawn, ["__doc", "__th"]).withColumns({
+        "__n": F.count(F.lit(1)).over(same), "__k": F.row_number().over(same.orderBy(F.lit(0)))})
+    copies = F.expr("__times div __n") + (F.col("__k") <= F.col("__times") % F.col("__n")).cast("long")
+    out = keyed.withColumn("__copies", copies.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
