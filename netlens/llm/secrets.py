@@ -16,32 +16,38 @@ from pyspark.sql import functions as F
 
 from netlens.llm.common import materialise
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: Three dotted parts (a signed token), a run of 16 characters or more, or a whole word of 8 to 15 with a letter and a digit.
+CANDIDATE = re.compile(r"[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]{8,}+|[A-Za-z0-9+/_\-]{16,}={0,2}"
+                       r"|(?<![^\s\"'`=:,;()<>\[\]{}])(?=\S{0,14}[0-9])(?=\S{0,14}[A-Za-z])[A-Za-z0-9+/_\-!#$%&*@^~.]{7,14}[A-Za-z0-9+/_\-!#$%&*@^~]"
+                       r"(?=\.?(?:[\s\"'`,;()<>\[\]{}]|$))")
 #: Names that values are assigned to when they are secrets, and words beside placeholders.
 SECRET_NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "auth", "credential", "private_key")
 PLACEHOLDERS = ("example", "sample", "dummy", "test", "changeme", "placeholder", "xxxx")
-ASSIGNED = re.compile(r"([A-Za-z_\-]+)[\"']?\s{0,3}[=:]\s{0,3}[\"']?$")
+ASSIGNED = re.compile(r"([A-Za-z_\-]+)[\"']?\s*[=:]\s*[\"']?(?:(?i:bearer|basic|token)\s+)?$")
 WORD = re.compile(r"[^\W\d_]+")
 #: Characters of a candidate's surroundings that are looked at on either side.
 AROUND = 64
 FEATURES = ["length", "transition", "digits", "uppers", "symbols", "entropy", "switches", "hex_like", "coverage", "in_path", "assigned",
             "secret_name", "quoted", "placeholder", "words_before", "words_after"]
-CLASSES = 40  # letters, digits, four symbols
+#: Features that follow from an assignment; a model whose labels come from the assigned name must not see them.
+TELLING = ("assigned", "secret_name", "quoted")
+CLASSES = 41  # letters, digits, four symbols, the other symbols of candidates
 
 
 def _classes(data: np.ndarray) -> np.ndarray:
-    """Letters without case 0-25, digits 26-35, symbols 36-39; anything else -1."""
+    """Letters without case 0-25, digits 26-35, symbols 36-39, other symbols of candidates 40; anything else -1."""
     table = np.full(256, -1, dtype=np.int64)
     table[97:123] = table[65:91] = np.arange(26)
     table[48:58] = np.arange(26, 36)
     for i, c in enumerate(b"+/=_"):
         table[c] = 36 + i
     table[ord("-")] = 39
+    table[list(b"!#$%&*@^~.")] = 40
     return table[data]
 
 
 def character_transitions(docs: DataFrame, smoothing: float = 1.0) -> np.ndarray:
-    """log P(next class | class) over all texts, as a CLASSES x CLASSES array; the driver gets its 1,600 counts."""
+    """log P(next class | class) over all texts, as a CLASSES x CLASSES array; the driver gets its 1,681 counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CLASSES * CLASSES, dtype=np.int64)
         for batch in batches:
@@ -85,8 +91,8 @@ def covered(token: str, words: set[str], longest: int = 16) -> float:
     return hit / len(low)
 
 
-def features(token: str, before: str, after: str, transitions: np.ndarray, words: set[str]) -> tuple[list[float], str]:
-    """Values of FEATURES, and the name the token is assigned to."""
+def features(token: str, before: str, after: str, transitions: np.ndarray, words: set[str]) -> tuple[list[float], str, bool]:
+    """Values of FEATURES, the name the token is assigned to, and whether the token itself reads like a placeholder."""
     c = _classes(np.frombuffer(token.encode(), np.uint8))
     counts = np.bincount(c, minlength=CLASSES)
     p = counts[counts > 0] / len(token)
@@ -95,47 +101,54 @@ def features(token: str, before: str, after: str, transitions: np.ndarray, words
     m = ASSIGNED.search(before)
     name = m.group(1).lower() if m else ""
     low = (before + token + after).lower()
+    coverage = covered(token, words)
+    dummy = any(s in token.lower() for s in PLACEHOLDERS) or coverage >= 0.5 or len(set(token)) < 4
     return [float(len(token)), float(transitions[c[:-1], c[1:]].mean()), float(digits), uppers, float(counts[36:].sum() / len(token)),
-            float(-(p * np.log2(p)).sum()), float((kind[1:] != kind[:-1]).mean()), float(np.isin(c, [*range(6), *range(26, 36)]).mean()), covered(token, words),
+            float(-(p * np.log2(p)).sum()), float((kind[1:] != kind[:-1]).mean()), float(np.isin(c, [*range(6), *range(26, 36)]).mean()), coverage,
             float("/" in token or "\\" in before[-8:] or "://" in before or before[-1:] in ("/", ".")), float(m is not None),
             float(any(s in name for s in SECRET_NAMES)), float(before[-1:] in "\"'" and before != ""), float(any(s in low for s in PLACEHOLDERS)),
-            float(len(WORD.findall(before))), float(len(WORD.findall(after)))], name
+            float(len(WORD.findall(before[:m.start()] if m else before))), float(len(WORD.findall(after)))], name, dummy
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, name, features...): a written row per token of 16 characters or more.
+    """(doc_id, start, end, name, dummy, features...): a written row per token that CANDIDATE matches.
 
-    ``start`` and ``end`` are code points; ``name`` is what the token is assigned to, or empty.
+    ``start`` and ``end`` are code points; ``name`` is what the token is assigned to, or empty;
+    ``dummy`` tells that the token itself is a placeholder or made of common words.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((character_transitions(docs), common_words(docs)))  # 1,600 numbers; see common_words
+    model = spark.sparkContext.broadcast((character_transitions(docs), common_words(docs)))  # 1,681 numbers; see common_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transitions, words = model.value
         for batch in batches:
-            owner, start, end, names, rows = [], [], [], [], []
+            owner, start, end, names, dummies, rows = [], [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 for m in CANDIDATE.finditer(text or ""):
                     a, b = m.span()
-                    values, name = features(m.group(), text[max(0, a - AROUND):a].rpartition("\n")[2], text[b:b + AROUND].partition("\n")[0], transitions, words)
+                    values, name, dummy = features(m.group(), text[max(0, a - AROUND):a].rpartition("\n")[2], text[b:b + AROUND].partition("\n")[0], transitions, words)
                     owner.append(k)
                     start.append(a)
                     end.append(b)
                     names.append(name)
+                    dummies.append(dummy)
                     rows.append(values)
             x = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                                              pa.array(names, pa.string()), *[pa.array(np.ascontiguousarray(v)) for v in x.T]], ["doc_id", "start", "end", "name", *FEATURES])
-    schema = "doc_id long, start long, end long, name string, " + ", ".join(f"{f} double" for f in FEATURES)
+                                              pa.array(names, pa.string()), pa.array(dummies, pa.bool_()), *[pa.array(np.ascontiguousarray(v)) for v in x.T]], ["doc_id", "start", "end", "name", "dummy", *FEATURES])
+    schema = "doc_id long, start long, end long, name string, dummy boolean, " + ", ".join(f"{f} double" for f in FEATURES)
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "candidates")
 
 
-def fit_secrets(labelled: DataFrame, per_class: int = 20_000, trees: int = 30, depth: int = 8, seed: int = 7) -> PipelineModel:
-    """A forest over FEATURES from findings with a column ``label`` (1 a secret, 0 a false alarm).
+def fit_secrets(labelled: DataFrame, per_class: int = 20_000, trees: int = 30, depth: int = 8, seed: int = 7, without: tuple[str, ...] = (),
+                noisy: bool = False) -> PipelineModel:
+    """A forest over FEATURES, but for those in ``without``, from findings with a column ``label`` (1 a secret, 0 a false alarm).
 
     The model learns from at most ``per_class`` findings of each label, chosen by a hash
     of their place, so that the rare class counts as much; that is the only sample.
-    With findings of one label alone the forest always says that label.
+    With findings of one label alone the forest always says that label.  ``noisy``: some
+    of label 0 are secrets, so leaves hold at least a fiftieth of the findings, 20 at
+    most, and single findings are not learnt by heart.
     """
     place = F.xxhash64(F.lit(seed), "doc_id", "start", "end")
     known = labelled.where(F.col("label").isNotNull()).select("label", place.alias("h"), *FEATURES)
@@ -143,8 +156,9 @@ def fit_secrets(labelled: DataFrame, per_class: int = 20_000, trees: int = 30, d
     sample = materialise(parts[0].unionByName(parts[1]).withColumn("label", F.col("label").cast("double")), "labelled")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = F.when(F.col("label") == 1, 1 / max(1, n.get(1.0, 0))).otherwise(1 / max(1, n.get(0.0, 0)))
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", featureSubsetStrategy="sqrt")
+    assembler = VectorAssembler(inputCols=[f for f in FEATURES if f not in without], outputCol="features")
+    leaf = max(1, min(20, sum(n.values()) // 50)) if noisy else 1
+    forest = RandomForestClassifier(minInstancesPerNode=leaf, numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", featureSubsetStrategy="sqrt")
     trained = forest.fit(assembler.transform(sample.withColumn("weight", weight)))
     return PipelineModel([assembler, trained])
 
@@ -160,21 +174,32 @@ def named_secret(name: str = "name") -> Column:
     return F.coalesce(F.col(name).rlike("(?i)" + "|".join(map(re.escape, SECRET_NAMES))), F.lit(False)).cast("int")
 
 
+def presumed_secret() -> Column:
+    """``named_secret``, but a placeholder behind such a name is a false alarm.
+
+    Secrets without a name are false alarms by this label; a model that does not see
+    the name (``TELLING``) finds them all the same while secrets with a name are as
+    common among the named findings as they are rare among the others.
+    """
+    return F.when(F.col("dummy"), F.lit(0)).otherwise(named_secret())
+
+
 def scan_secrets(docs: DataFrame, train: Column, label: Column | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, n_candidates, n_secrets, spans) per row of ``docs`` with a candidate.
 
     The forest learns from candidates of rows where ``train`` (of doc_id) holds, labelled by
-    ``label`` or else by the name they are assigned to.  ``spans`` lists the secrets as
+    ``label`` or else by the name they are assigned to (``presumed_secret``), which it then
+    does not see.  ``spans`` lists the secrets as
     start:end in code points.  Null or empty text and text without long tokens have no
     row; rows that share a doc_id are reported together; without any labelled finding
     nothing is a secret.  Other columns are ignored.
     """
     candidates = find_candidates(docs)
-    labelled = candidates.where(train).withColumn("label", named_secret() if label is None else label)
+    labelled = candidates.where(train).withColumn("label", presumed_secret() if label is None else label)
     if labelled.where(F.col("label").isNotNull()).isEmpty():
         scored = candidates.withColumn("secret", F.lit(False))
     else:
-        scored = score_candidates(candidates, fit_secrets(labelled), threshold)
+        scored = score_candidates(candidates, fit_secrets(labelled, without=TELLING if label is None else (), noisy=label is None), threshold)
     span = F.when(F.col("secret"), F.struct("start", "end"))
     found = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.array_sort(F.collect_list(span)).alias("s"))  # one document's
     return found.select("doc_id", "n_candidates", F.size("s").cast("long").alias("n_secrets"),

@@ -1,5 +1,7 @@
 """The secret scan: held-out findings, placeholders, odd rows."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,31 @@ def test_odd_rows(spark):
     assert set(got) == {None, 4} and got[4].n_candidates == 3
     assert secrets.scan_secrets(df.limit(0), F.lit(True)).collect() == []
     assert all(r.n_secrets == 0 for r in secrets.scan_secrets(df, F.lit(False)).collect())
+
+
+def test_secrets_without_a_telling_name(spark):
+    def key(*seed):
+        return hashlib.sha1(repr(seed).encode()).hexdigest()
+
+    words = ["averylongordinaryword", "thingsthatarewrittentogether", "bundesverfassungsgericht", "anticonstitutionnellement"]
+    kinds = {
+        "named": lambda i: f'token = "{key(i, 0)}"',
+        "bare": lambda i: key(i, 1),
+        "bearer": lambda i: f"Authorization: Bearer {key(i, 2)}",
+        "far": lambda i: f"api_key =          {key(i, 3)}",
+        "placeholder": lambda i: f'token = "your-example-{words[i % 4]}-{i}"',
+        "word": lambda i: f"{words[i % 4]}{'abcdefghij'[i % 10]}s"}
+    counts = {"named": 200, "bare": 12, "bearer": 12, "far": 12, "placeholder": 40, "word": 400}
+    rows = [(k, i, "then it came " * (i % 4) + kinds[k](i) + " and more" * (i % 3)) for k, n in counts.items() for i in range(n)]
+    df = spark.createDataFrame([(j, text) for j, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.n_secrets for r in secrets.scan_secrets(df, ~held_out()).collect()}
+    share = {k: sum(got[j] for j, r in enumerate(rows) if r[0] == k) / n for k, n in counts.items()}
+    assert all(share[k] >= 0.9 for k in ("named", "bare", "bearer", "far")), share
+    assert all(share[k] <= 0.1 for k in ("placeholder", "word")), share
+
+
+@pytest.mark.parametrize("text,tokens", [
+    ("jwt eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmN is", ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmN"]),
+    ("the password=Tr0ub4dor&3 works", ["Tr0ub4dor&3"]), ('"k8Xq2Lm9."', ["k8Xq2Lm9"]), ("use hunter2hunter2.", ["hunter2hunter2"]), ("no wordshere 12345678", [])])
+def test_candidates(text, tokens):
+    assert [m.group() for m in secrets.CANDIDATE.finditer(text)] == tokens
