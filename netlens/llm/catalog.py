@@ -144,7 +144,4 @@ def op3_repeated_strings(spark, sf_dir):
 
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = secrets.scan_secrets(docs, ~held_out())
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_candidates", "n_secrets")],
-                                                                      F.coalesce("spans", F.lit("")).alias("spans"))
+    return secrets.scan_rows(table(spark, sf_dir, "documents"), ~held_out())

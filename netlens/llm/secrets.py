@@ -111,7 +111,15 @@ def features(token: str, before: str, after: str, transitions: np.ndarray, words
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, name, dummy, features...): a written row per token that CANDIDATE matches.
+    """The rows of ``candidate_rows`` that hold a candidate."""
+    return candidate_rows(docs).where(F.col("start").isNotNull())
+
+
+def candidate_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, start, end, name, dummy, features...): a written row per token that CANDIDATE matches.
+
+    ``row`` numbers the rows of ``docs``; one without a candidate has a single row here, with
+    a null ``start``.
 
     ``start`` and ``end`` are code points; ``name`` is what the token is assigned to, or empty;
     ``dummy`` tells that the token itself is a placeholder or made of common words.
@@ -124,7 +132,9 @@ def find_candidates(docs: DataFrame) -> DataFrame:
         for batch in batches:
             owner, start, end, names, dummies, rows = [], [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
+                found = False
                 for m in CANDIDATE.finditer(text or ""):
+                    found = True
                     a, b = m.span()
                     values, name, dummy = features(m.group(), text[max(0, a - AROUND):a].rpartition("\n")[2], text[b:b + AROUND].partition("\n")[0], transitions, words)
                     owner.append(k)
@@ -133,11 +143,16 @@ def find_candidates(docs: DataFrame) -> DataFrame:
                     names.append(name)
                     dummies.append(dummy)
                     rows.append(values)
+                if not found:
+                    for column, nothing in ((owner, k), (start, None), (end, None), (names, None), (dummies, None), (rows, [0.0] * len(FEATURES))):
+                        column.append(nothing)
             x = np.array(rows, dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
-                                              pa.array(names, pa.string()), pa.array(dummies, pa.bool_()), *[pa.array(np.ascontiguousarray(v)) for v in x.T]], ["doc_id", "start", "end", "name", "dummy", *FEATURES])
-    schema = "doc_id long, start long, end long, name string, dummy boolean, " + ", ".join(f"{f} double" for f in FEATURES)
-    return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "candidates")
+            at = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("doc_id").take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+                                              pa.array(names, pa.string()), pa.array(dummies, pa.bool_()), *[pa.array(np.ascontiguousarray(v)) for v in x.T]], ["row", "doc_id", "start", "end", "name", "dummy", *FEATURES])
+    schema = "row long, doc_id long, start long, end long, name string, dummy boolean, " + ", ".join(f"{f} double" for f in FEATURES)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return materialise(rows.mapInArrow(run, schema), "candidates")
 
 
 def fit_secrets(labelled: DataFrame, per_class: int = 20_000, trees: int = 30, depth: int = 8, seed: int = 7, without: tuple[str, ...] = (),
@@ -164,9 +179,9 @@ def fit_secrets(labelled: DataFrame, per_class: int = 20_000, trees: int = 30, d
 
 
 def score_candidates(candidates: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, name, probability, secret) of every candidate."""
+    """(row, doc_id, start, end, name, probability, secret) of every candidate."""
     scored = model.transform(candidates).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select("doc_id", "start", "end", "name", "probability", (F.col("probability") >= threshold).alias("secret"))
+    return scored.select("row", "doc_id", "start", "end", "name", "probability", (F.col("probability") >= threshold).alias("secret"))
 
 
 def named_secret(name: str = "name") -> Column:
@@ -194,14 +209,31 @@ def scan_secrets(docs: DataFrame, train: Column, label: Column | None = None, th
     row; rows that share a doc_id are reported together; without any labelled finding
     nothing is a secret.  Other columns are ignored.
     """
-    candidates = find_candidates(docs)
+    return _reported(_scored(candidate_rows(docs), train, label, threshold).where(F.col("start").isNotNull()), "doc_id")
+
+
+def scan_rows(docs: DataFrame, train: Column, label: Column | None = None, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, n_candidates, n_secrets, spans) of every row of ``docs``, as ``scan_secrets``.
+
+    Rows that share a doc_id, or have none, are reported one by one.
+    """
+    return _reported(_scored(candidate_rows(docs), train, label, threshold), "row", "doc_id").drop("row")
+
+
+def _scored(rows: DataFrame, train: Column, label: Column | None, threshold: float) -> DataFrame:
+    """(row, doc_id, start, end, secret) of ``candidate_rows``."""
+    candidates = rows.where(F.col("start").isNotNull())
     labelled = candidates.where(train).withColumn("label", presumed_secret() if label is None else label)
     if labelled.where(F.col("label").isNotNull()).isEmpty():
-        scored = candidates.withColumn("secret", F.lit(False))
-    else:
-        scored = score_candidates(candidates, fit_secrets(labelled, without=TELLING if label is None else (), noisy=label is None), threshold)
+        return rows.select("row", "doc_id", "start", "end", F.lit(False).alias("secret"))
+    model = fit_secrets(labelled, without=TELLING if label is None else (), noisy=label is None)
+    scored = score_candidates(candidates, model, threshold).select("row", "doc_id", "start", "end", "secret")
+    return scored.unionByName(rows.where(F.col("start").isNull()).select("row", "doc_id", "start", "end", F.lit(False).alias("secret")))
+
+
+def _reported(scored: DataFrame, *by: str) -> DataFrame:
+    """(by..., n_candidates, n_secrets, spans); the spans are those of one document."""
     span = F.when(F.col("secret"), F.struct("start", "end"))
-    found = scored.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_candidates"), F.array_sort(F.collect_list(span)).alias("s"))  # one document's
-    return found.select("doc_id", "n_candidates", F.size("s").cast("long").alias("n_secrets"),
+    found = scored.groupBy(*by).agg(F.count("start").alias("n_candidates"), F.array_sort(F.collect_list(span)).alias("s"))
+    return found.select(*by, "n_candidates", F.size("s").cast("long").alias("n_secrets"),
                         F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"))
-

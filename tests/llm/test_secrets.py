@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlens.llm import secrets
-from netlens.llm.catalog import held_out
+from netlens.llm.catalog import QUERIES, held_out
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,17 @@ def test_secrets_without_a_telling_name(spark):
     ("the password=Tr0ub4dor&3 works", ["Tr0ub4dor&3"]), ('"k8Xq2Lm9."', ["k8Xq2Lm9"]), ("use hunter2hunter2.", ["hunter2hunter2"]), ("no wordshere 12345678", [])])
 def test_candidates(text, tokens):
     assert [m.group() for m in secrets.CANDIDATE.finditer(text)] == tokens
+
+
+def test_query_reports_rows_without_or_with_repeated_ids_alone(spark, tmp_path):
+    key = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(60)]
+    rows = [(i, f'it has token = "{key[i]}" and more') for i in range(40)] + [(100 + i, "then averylongordinaryword" + "ab" * (i % 3) + " came") for i in range(40)]
+    odd = [(None, f'token = "{key[40]}"'), (None, f'xx token = "{key[41]}" and token = "{key[42]}"'), (None, None), (1, f'abc token = "{key[43]}"'), (1, "nothing"), (7, None)]
+    spark.createDataFrame(rows + odd, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_secret_scan"](spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("n_candidates", "bigint"), ("n_secrets", "bigint"), ("spans", "string")]
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(rows + odd)
+    assert sorted(r[1:] for r in got if r[0] is None) == [(0, 0, ""), (1, 1, "9:49"), (2, 2, "12:52,67:107")]
+    assert sorted(r[1:] for r in got if r[0] == 1) == [(0, 0, ""), (1, 1, "13:53"), (1, 1, "16:56")]
+    assert sorted(r[1:] for r in got if r[0] == 7) == [(0, 0, ""), (1, 1, "16:56")]
