@@ -79,3 +79,24 @@ def test_table(spark, sf):
 
 def test_empty(spark):
     assert privacy.protect(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_terms_anywhere_and_of_recurring_levels(spark):
+    far = "filler words " * 20
+    rows = [(i, f"Zorblax\n{far}\nwrites from u{'abcdef'[i]}@corp.org and +1 (234) 555-812{i} zorblax") for i in range(6)]
+    rows += [(10 + i, "filler words and writes from home") for i in range(40)]
+    rows += [(60 + i, f"filler words writes from v{'abcdef'[i]}@else.net") for i in range(6)]
+    got = {r.doc_id: r for r in privacy.protect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:6]:  # no identifier is seen twice, and the name is lines away from them
+        assert [(t.start, t.end, t.removed) for t in got[i].terms] == [(m.start(), m.end(), True) for m in re.finditer("(?i)zorblax", text)]
+    assert all(got[i].terms == [] for i, _ in rows[6:])
+
+
+def test_places_of_all_terms(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    found = privacy.find_identifiers(df).cache()
+    got = {(r.doc_id, r.start, r.end) for r in privacy.placed_terms(found).join(found.select("row", "doc_id"), "row").collect()}
+    for i, t in enumerate(TEXTS):
+        mails = [(a, b) for k, a, b in base(t) if k == "email"]
+        want = {(i, m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t or "") if base(t) and not any(a < m.end() and m.start() < b for a, b in mails)}
+        assert {g for g in got if g[0] == i} == want, t
