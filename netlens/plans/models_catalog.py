@@ -115,7 +115,8 @@ def _connected_components(spark, sf):
 
 # --- training ---------------------------------------------------------------
 
-# the label is noise in these tables, so one feature gets a signal worth learning
+# the label is noise in these tables, so one feature gets a signal worth learning; queries train with the operators'
+# defaults (500 trees of depth 8, step 0.05), the small model is for tests alone
 FAST = {"trees": 8, "depth": 4, "step": 0.3}
 
 
@@ -128,21 +129,21 @@ def learnable(spark, sf):
 @query("train_predict")
 def _train_predict(spark, sf):
     rows = learnable(spark, sf)
-    model = L.train_classifier(rows, V.FEATURES, k=4, **FAST)
-    classes = L.train_classifier(rows, V.FEATURES, "class_id", mode="multiclass", k=4, trees=8, depth=6)
+    model = L.train_classifier(rows, V.FEATURES, k=4)
+    classes = L.train_classifier(rows, V.FEATURES, "class_id", mode="multiclass", k=4)
     return L.predict(model, rows, class_model=classes).select("rid", "pred_binary", rounded("confidence", 6).alias("confidence"), "attack_class")
 
 
 @query("train_report")
 def _train_report(spark, sf):
-    _, row, checks = L.train_report(learnable(spark, sf), V.FEATURES, "rid", "2017_binary", k=4, **FAST)
+    _, row, checks = L.train_report(learnable(spark, sf), V.FEATURES, "rid", "2017_binary", k=4)
     return checks
 
 
 @query("cross_dataset")
 def _cross_dataset(spark, sf):
     rows = learnable(spark, sf)
-    return L.cross_dataset(rows.where("l_suppkey % 2 = 0"), rows.where("l_suppkey % 2 = 1"), V.FEATURES, "rid", k=4, **FAST)
+    return L.cross_dataset(rows.where("l_suppkey % 2 = 0"), rows.where("l_suppkey % 2 = 1"), V.FEATURES, "rid", k=4)
 
 
 @query("retrain_gate")
@@ -152,12 +153,12 @@ def _retrain_gate(spark, sf):
     weak = L.train_classifier(train, ["tax", "linenumber"], k=None, trees=2, depth=2, pos_weight=1.0)
     from netlens.operators.cleaning import mistakes
     found = mistakes(L.predict(weak, train, 0.5), "pred_binary", "label").select(*V.FEATURES, "corrected_label", "mistake_type")
-    return L.retrain(found, train.select(*V.FEATURES, "label"), holdout, weak, V.FEATURES, threshold=0.5, **FAST)[1].drop("model_path")
+    return L.retrain(found, train.select(*V.FEATURES, "label"), holdout, weak, V.FEATURES, threshold=0.5)[1].drop("model_path")
 
 
 @query("contributions")
 def _contributions(spark, sf):
     rows = learnable(spark, sf)
-    model = L.train_classifier(rows, V.FEATURES, k=4, trees=4, depth=3, step=0.3)
+    model = L.train_classifier(rows, V.FEATURES, k=4)
     c = L.contributions(model, rows, "rid")
     return X.global_importance(c)

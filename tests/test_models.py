@@ -1,5 +1,6 @@
 """Forests, clusters, components, classifiers and contributions."""
 
+import inspect
 import itertools
 import random
 
@@ -13,6 +14,7 @@ from netlens.operators.anomaly import IsolationForest
 from netlens.operators.explain import global_importance
 from netlens.plans import views as V
 from netlens.plans.models_catalog import FAST, learnable
+from netlens.plans.registry import QUERIES
 
 
 def brute_components(edges):
@@ -149,3 +151,17 @@ def test_experiments(spark, fitted):
     assert L.combined_training_rows([rows, rows], "rid", 1000).count() < 1400
     light = L.train_lightweight(rows.withColumnsRenamed({"quantity": "psh_flag_count", "discount": "bytes_per_pkt"}), **FAST)
     assert L.selected_features(light) == ["bytes_per_pkt", "psh_flag_count"]
+
+
+@pytest.mark.parametrize("query", ["train_predict", "train_report", "cross_dataset", "retrain_gate", "contributions"])
+def test_queries_train_with_the_defaults(spark, sf, monkeypatch, query):
+    asked, small, wanted = [], L.train_classifier, inspect.signature(L.train_classifier)
+    def train(*args, **options):
+        bound = wanted.bind(*args, **options)
+        bound.apply_defaults()
+        asked.append(bound.arguments)
+        return small(*args, **{**options, "trees": 2, "depth": 2})
+    monkeypatch.setattr(L, "train_classifier", train)
+    QUERIES[query](spark, sf)
+    ours = [a for a in asked if a["features"] == V.FEATURES]  # the gate's old model is weak on purpose
+    assert ours and all((a["trees"], a["depth"], a["step"]) == (500, 8, 0.05) for a in ours)
