@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from netlens import tables as T
 from netlens.operators.features import to_long
-from netlens.ordered import Ordered, RowNumber, Running
+from netlens.ordered import Ordered, Running
 from netlens.session import materialise
 
 
@@ -129,14 +129,13 @@ class IsolationForest:
         self.offset = -0.5
 
     def _samples(self, rows: DataFrame, total: int) -> DataFrame:
-        """A ``tree`` column over samples without replacement within a tree."""
-        if total >= self.trees * self.sample:
-            # one pooled draw of trees * sample rows, dealt out to the trees
-            drawn = rows.withColumn("_h", F.xxhash64("_row", F.lit(self.seed))).orderBy("_h", "_row").limit(self.trees * self.sample)
-            dealt = Ordered(drawn, [], ["_h", "_row"]).add(_n=RowNumber()).result()
-            return dealt.withColumn("tree", (F.col("_n") % self.trees).cast("int"))
+        """A ``tree`` column over samples without replacement within a tree: the rows of lowest hash for that tree, at every size."""
         from pyspark.sql import Window
-        copies = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
+        # rows above the bar are not among the lowest: it lets 8 deviations more than the sample through
+        share = min(1.0, (self.sample + 8 * np.sqrt(self.sample) + 16) / total)
+        bar = min(2 ** 63 - 1, int(share * 2 ** 64) - 2 ** 63)
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.xxhash64(F.col("_row"), t, F.lit(self.seed)) <= F.lit(bar).cast("long"))
+        copies = rows.withColumn("tree", F.explode(drawn))
         pick = Window.partitionBy("tree").orderBy(F.xxhash64(F.col("_row"), F.col("tree"), F.lit(self.seed)), "_row")
         return copies.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= self.sample)
 

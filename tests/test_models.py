@@ -165,3 +165,13 @@ def test_queries_train_with_the_defaults(spark, sf, monkeypatch, query):
     QUERIES[query](spark, sf)
     ours = [a for a in asked if a["features"] == V.FEATURES]  # the gate's old model is weak on purpose
     assert ours and all((a["trees"], a["depth"], a["step"]) == (500, 8, 0.05) for a in ours)
+
+
+@pytest.mark.parametrize("total", [100, 3000])
+def test_each_tree_draws_on_its_own_at_every_size(spark, total):
+    forest = IsolationForest(["x"], trees=10, sample=64)
+    rows = spark.range(total).select(F.col("id").alias("_row"))
+    got = {(r.tree, r._row) for r in forest._samples(rows, total).select("tree", "_row").collect()}
+    copies = spark.range(total).crossJoin(spark.range(10).select(F.col("id").cast("int").alias("tree"))).select("id", "tree", F.xxhash64("id", "tree", F.lit(42)).alias("h")).collect()
+    want = {(t, r.id) for t in range(10) for r in sorted((c for c in copies if c.tree == t), key=lambda c: (c.h, c.id))[:64]}
+    assert got == want
