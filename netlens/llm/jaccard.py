@@ -242,7 +242,10 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     too; large buckets are split again (``split_buckets``) or compared block by block.
     Every met pair is verified on whole sets, and only its first bucket counts it, so
     no pair is written: a bucket gives a row per member.  Two different texts of the
-    given similarity are missed with a probability of 1 - ``recall``.
+    given similarity fail to meet at a root with a probability of 1 - ``recall``.  A pair
+    whose roots are all large and sparse can also part at a split (it survives two levels
+    in about 0.72 of the cases, and roots of equal members are split once), so such a pair
+    is missed more often.
 
     Words are lower-cased runs between ASCII blanks; a text of fewer than ``k`` words
     is one shingle.  A row without words (null, empty, blank) is its own class, has
