@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netlens.llm import decontaminate, jaccard, language, lines, mixing, neighbours, privacy, repeats, secrets, tokens
+from netlens.llm import decontaminate, digest, importance, jaccard, language, lines, mixing, neighbours, privacy, repeats, search, secrets, tokens
 from netlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,52 @@ def op3_repeated_strings(spark, sf_dir):
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf_dir):
     return secrets.scan_rows(table(spark, sf_dir, "documents"), ~held_out())
+
+
+WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+OP11 = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS ws FROM documents),
+dw AS (SELECT r, unnest(ws) AS word FROM d), bw AS (SELECT unnest({WORDS}) AS word FROM benchmark),
+v AS (SELECT word, hex(encode(word)) AS hx, strlen(word) AS n FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+entry AS (SELECT list(x ORDER BY i) AS crcs FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS x FROM range(0, 256) t(i))),
+b AS (SELECT word, xor(list_reduce(list_transform(range(0, n), lambda i: 16 * (instr('0123456789ABCDEF', substr(hx, 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hx, 2 * i + 2, 1)) - 1),
+  lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)]), 4294967295), 4294967295) % 10000 AS bucket FROM v, entry),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000)
+  / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+w AS (SELECT r, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY r),
+z AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+  (CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM p"""
+
+
+@query("op11_importance_resampling", OP11)
+def op11_importance_resampling(spark, sf_dir):
+    """A tenth of the documents, drawn to resemble the benchmark; nulls, ties and empty tables as in ``resample``."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_document_digests")
+def op12_document_digests(spark, sf_dir):
+    """Every document's digest beside those of its edited text and of the next document, as in ``compare_with_next``."""
+    return digest.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+OP13 = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS ws FROM documents), i AS (SELECT item_id, row_number() OVER () AS q, {WORDS} AS ws FROM benchmark),
+size AS (SELECT r, doc_id, len(ws) AS n FROM d WHERE len(ws) > 0),
+total AS (SELECT count(*) AS nd, sum(n)::HUGEINT AS nt FROM size),
+p AS (SELECT r, word, count(*) AS tf FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY r, word),
+w AS (SELECT word, CAST(floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, total GROUP BY word),
+iw AS (SELECT q, word, count(*) AS times FROM (SELECT q, unnest(ws) AS word FROM i) GROUP BY q, word),
+hit AS (SELECT q, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // nt)))) AS BIGINT) AS score
+  FROM iw JOIN p USING (word) JOIN w USING (word) JOIN size USING (r), total GROUP BY q, r)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+  FROM hit JOIN size USING (r) JOIN i USING (q) WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op13_lexical_search", OP13)
+def op13_lexical_search(spark, sf_dir):
+    """The ten best documents of every benchmark item; nulls, ties and empty tables as in ``search``."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,4 +12,4 @@ def test_equals_sql(spark, sf, duck, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in QUERIES) == list(range(1, 14))
