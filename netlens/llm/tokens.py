@@ -13,19 +13,104 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import filesystem, materialise, new_folder
+from netlens.llm.common import filesystem, materialise, mixed, new_folder
 
 #: Sequences in a record batch; every batch of a file but the last has as many, so sequence k is in batch k // ROWS.
 ROWS = 256
-#: Remembered words per worker; forgotten all at once beyond it.
-MEMORY = 1_500_000
+#: Places of a worker's table of remembered words (a power of two), and ids that they may have; all are forgotten beyond.
+PLACES, IDS = 1 << 21, 12_000_000
+#: Bytes of the longest word that is remembered.
+LONGEST = 64
+#: New words encoded at a time.
+LEARNT = 20_000
+#: Tasks that read files back, at most.
+READERS = 10_000
 #: Characters split into words at a time.
 CHARS = 1_000_000
 #: Fixed value: how the vocabulary of a byte-level BPE writes a space.
 SPACE = "\u0120"
-#: Blanks other than space and newline.
-RARE_BLANKS = [chr(c) for c in range(0x110000) if chr(c).isspace() and chr(c) not in " \n"]
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Blanks that are not one byte.
+RARE_BLANKS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isspace()) + "]")
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file: its words are remembered from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+class Words:
+    """Remembered words: ids by the 128-bit hash of a word's bytes, in flat arrays of a bounded size.
+
+    A place holds both halves of the hash and where the ids are; a word is looked for
+    from its own place on until it or an empty place is found.
+    """
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        numbers = mixed(np.arange(2 * LONGEST * 256, dtype=np.uint64), 61)
+        self.tables = numbers[:LONGEST * 256], numbers[LONGEST * 256:]
+        self.forget()
+
+    def forget(self) -> None:
+        self.first, self.second = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.uint64)
+        self.at, self.count = np.zeros(PLACES, dtype=np.int32), np.zeros(PLACES, dtype=np.uint16)
+        self.ids = np.zeros(1 << 16, dtype=self.dtype)
+        self.n_words = self.n_ids = 0
+
+    def hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves for words of at most LONGEST bytes that lie one after the other; never zero."""
+        place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
+        cells = (place << 8) + data
+        with np.errstate(over="ignore"):
+            return tuple(mixed(np.add.reduceat(t[cells], starts) + sizes.astype(np.uint64), 7 + k) | np.uint64(1) for k, t in enumerate(self.tables))
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids begin or -1, how many) of every word."""
+        at, count = np.full(len(first), -1, dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+        place = (first >> np.uint64(20)).astype(np.int64) & (PLACES - 1)
+        left = np.arange(len(first))
+        while len(left):
+            here, p = self.first[place], place
+            hit = (here == first[left]) & (self.second[p] == second[left])
+            at[left[hit]], count[left[hit]] = self.at[p[hit]], self.count[p[hit]]
+            on = ~hit & (here != 0)
+            left, place = left[on], (place[on] + 1) & (PLACES - 1)
+        return at, count
+
+    def keep(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Add ids to the flat array; (where they begin, how many)."""
+        new = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        count = np.array([len(x) for x in ids], dtype=np.int64) // self.dtype.itemsize
+        if self.n_ids + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.n_ids], np.zeros(max(len(new), self.n_ids), dtype=self.dtype)])
+        self.ids[self.n_ids:self.n_ids + len(new)] = new
+        at = self.n_ids + np.cumsum(count) - count
+        self.n_ids += len(new)
+        return at, count
+
+    def add(self, first: np.ndarray, second: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        """Remember distinct new words; too many of them for the table are not, and then all are forgotten soon."""
+        self.n_words += len(first)
+        if self.n_words > PLACES * 9 // 10:
+            return
+        place = (first >> np.uint64(20)).astype(np.int64) & (PLACES - 1)
+        left = np.arange(len(first))
+        while len(left):
+            free = np.flatnonzero(self.first[place] == 0)
+            _, one = np.unique(place[free], return_index=True)
+            put = free[one]
+            p, w = place[put], left[put]
+            self.first[p], self.second[p], self.at[p], self.count[p] = first[w], second[w], at[w], count[w]
+            on = np.ones(len(left), dtype=bool)
+            on[put] = False
+            left, place = left[on], (place[on] + 1) & (PLACES - 1)
+
+    def full(self) -> bool:
+        return self.n_words > PLACES * 7 // 10 or self.n_ids > IDS
 
 
 class Encoder:
@@ -44,30 +129,43 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         by_word = self.tokenizer.pre_tokenizer
-        self.words = self.tokenizer.normalizer is None and isinstance(by_word, pre_tokenizers.ByteLevel) and not by_word.add_prefix_space
+        if self.tokenizer.normalizer is None and isinstance(by_word, pre_tokenizers.ByteLevel) and not by_word.add_prefix_space:
+            self.words: Words | None = Words(self.dtype)
+        else:
+            self.words = None
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, each after a space, as one text: a word begins at each id that begins with a space."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) == len(words):
-            buffer, cuts = ids.tobytes(), (np.append(starts, len(ids)) * self.dtype.itemsize).tolist()
-            self.known.update(zip(words, (buffer[a:b] for a, b in zip(cuts, cuts[1:]))))
-        else:
-            self.known.update(zip(words, self._plain([" " + w for w in words])))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit; those of a space and a word go as one text, in which a unit begins at each id that begins with a space."""
+        out: list[bytes] = [b""] * len(units)
+        single = [k for k, u in enumerate(units) if u.rfind(" ") == 0 and not u.isspace()]
+        for low in range(0, len(single), LEARNT):
+            part = single[low:low + LEARNT]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([units[k] for k in part])], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(part):
+                buffer, cuts = ids.tobytes(), (np.append(starts, len(ids)) * self.dtype.itemsize).tolist()
+                found = [buffer[a:b] for a, b in zip(cuts, cuts[1:])]
+            else:
+                found = self._plain([units[k] for k in part])
+            for k, x in zip(part, found):
+                out[k] = x
+        done = set(single)
+        others = [k for k in range(len(units)) if k not in done]
+        for k, x in zip(others, self._plain([units[k] for k in others])):
+            out[k] = x
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of one text after the other; a few texts are split into words at a time."""
         at = 0
         while at < len(texts):
             if self.words and len(texts[at]) > 2 * CHARS:
-                yield b"".join(self._encode([piece], k > 0)[0] for k, piece in enumerate(pieces(texts[at])))
+                yield b"".join(self._encode([" " + piece if k else piece])[0] for k, piece in enumerate(pieces(texts[at])))
                 at += 1
                 continue
             end, chars = at, 0
@@ -77,22 +175,51 @@ class Encoder:
             yield from self._encode(texts[at:end])
             at = end
 
-    def _encode(self, texts: list[str], after_space: bool = False) -> list[bytes]:
-        """``after_space``: the texts go on after a space that parted words."""
-        if not self.words:
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if self.words is None:
             return self._plain(texts)
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        first, rest = [], []
-        for text in texts:
-            words = INNER_SPACE.split(text) if uneven(text) else text.split(" ")
-            first.append("" if after_space else words.pop(0))
-            rest.append(words)
-        new = set().union(*rest).difference(known)
-        if new:
-            self._learn(list(new))
-        return [b"".join([start, *map(known.__getitem__, words)]) for start, words in zip(self._plain(first), rest)]
+        whole = [k for k, t in enumerate(texts) if not t or (not t.isascii() and RARE_BLANKS.search(t))]
+        if whole:  # blanks of several bytes are not looked for below
+            out: list[bytes] = [b""] * len(texts)
+            rest = sorted(set(range(len(texts))).difference(whole))
+            for k, x in [*zip(whole, self._plain([texts[k] for k in whole])), *zip(rest, self._encode([texts[k] for k in rest]) if rest else ())]:
+                out[k] = x
+            return out
+        words = self.words
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        opens = np.cumsum([0, *map(len, raw)])[:-1]
+        blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)) | ((data >= 28) & (data <= 31)), [True]])
+        splits = (data == 32) & ~blank[:-2] & ~blank[2:]
+        splits[opens[1:] - 1] = False  # a space at the end of a text
+        splits[opens] = True
+        starts = np.flatnonzero(splits)
+        sizes = np.diff(starts, append=len(data))
+        short = sizes <= LONGEST
+        at, count = np.full(len(starts), -1, dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        if short.all():
+            first, second = words.hashes(data, starts, sizes)
+        else:
+            own = np.cumsum(sizes[short]) - sizes[short]
+            first, second = words.hashes(data[np.repeat(short, sizes)], own, sizes[short]) if len(own) else (np.zeros(0, np.uint64),) * 2
+        at[short], count[short] = words.find(first, second)
+        missing = np.flatnonzero(at[short] < 0)
+        _, one = np.unique(first[missing], return_index=True)
+        new = np.flatnonzero(short)[missing[one]]
+        long = np.flatnonzero(~short)
+        buffer, ends = data.tobytes(), starts + sizes
+        ids = self._units([buffer[a:b].decode() for a, b in zip(starts[new].tolist() + starts[long].tolist(), ends[new].tolist() + ends[long].tolist())])
+        where, n = words.keep(ids)
+        words.add(first[missing[one]], second[missing[one]], where[:len(new)], n[:len(new)])
+        found = np.searchsorted(first[missing[one]], first[missing])
+        at[np.flatnonzero(short)[missing]], count[np.flatnonzero(short)[missing]] = where[:len(new)][found], n[:len(new)][found]
+        at[long], count[long] = where[len(new):], n[len(new):]
+        before = np.cumsum(count) - count
+        out_ids = words.ids[np.repeat(at - before, count) + np.arange(int(count.sum()))].tobytes()
+        cuts = np.append(before[np.searchsorted(starts, opens)], count.sum()) * self.dtype.itemsize
+        if words.full():
+            words.forget()
+        return [out_ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -109,12 +236,6 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:]
 
 
-def uneven(text: str) -> bool:
-    """Whether a space may stand beside another blank or at an end: only there is it not the start of a word."""
-    return (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text
-            or any(c in text for c in RARE_BLANKS))
-
-
 def schema_of(dtype: np.dtype, length: int) -> pa.Schema:
     """ids, whether a place holds an id (else it is padding), and whether a document ends there."""
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length)),
@@ -175,7 +296,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     number of ids in all files before.
 
     Null text is the empty text (just the end id).  Rows with a null doc_id come
-    first; ties of doc_id are ordered by their text.  An empty input gives no files.
+    first; ties of doc_id are ordered by their text, repeated rows follow each other.  An
+    empty input gives no files.  Long texts are encoded in pieces that end between two words.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -189,19 +312,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer_path)
+                encode = encoder(tokenizer_path)
                 fs, path = filesystem(folder)
                 fs.create_dir(path, recursive=True)
                 shard = TaskContext.get().partitionId()
                 names = [f"{kind}-{shard:06d}-{uuid.uuid4().hex}.arrow" for kind in ("ids", "docs")]
                 sinks = [fs.open_output_stream(f"{path}/{n}") for n in names]
-                writer = ShardWriter(*sinks, encoder.dtype, length)
+                writer = ShardWriter(*sinks, encode.dtype, length)
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            writer.add(batch.column(0), list(encoder.encode(texts)), end_id)
+            writer.add(batch.column(0), list(encode.encode(texts)), end_id)
         if writer is not None:
             writer.close()
             for s in sinks:
                 s.close()
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [names[0]], "index_file": [names[1]],
                                               "n_docs": [writer.docs], "n_ids": [writer.total]},
                                              schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("index_file", pa.string()),
@@ -252,7 +376,8 @@ def documents_of(folder: str, file: str, index_file: str) -> Iterator[tuple[int
 def read_token_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard) of every document in the files of ``write_token_files``.
 
-    A task reads a file batch by batch; ``start`` counts the ids of all documents before.
+    A task reads its files batch by batch; ``start`` counts the ids of all documents before.
+    There are as many tasks as files, up to ``READERS``.  No files give no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,4 +389,5 @@ def read_token_files(spark: SparkSession, files: DataFrame) -> DataFrame:
                      pa.array(crc, pa.int64()), pa.array([r["shard"]] * len(rows), pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
     columns = files.select("shard", "folder", "file", "index_file", "base")
-    return columns.repartition(F.col("shard")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    readers = min(READERS, max(1, 1 + (files.agg(F.max("shard")).first()[0] or 0)))
+    return columns.repartitionById(readers, F.pmod("shard", F.lit(readers)).cast("int")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")

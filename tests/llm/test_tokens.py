@@ -55,6 +55,38 @@ def test_empty(spark):
     assert tokens.read_token_files(spark, files).collect() == []
 
 
+def test_remembered_words_stay_exact_and_bounded(monkeypatch):
+    """Tiny tables: words share places, are forgotten, and come back; blanks of all kinds stand between them."""
+    monkeypatch.setattr(tokens, "PLACES", 256)
+    monkeypatch.setattr(tokens, "IDS", 300)
+    monkeypatch.setattr(tokens, "CHARS", 900)
+    monkeypatch.setattr(tokens, "LEARNT", 7)
+    rng = np.random.default_rng(4)
+    parts = ["a", "the", "word", "don't", "12", "ñandú", "漢字", "\U0001F600", "x" * 63, "x" * 64, "é" * 40, ".", "...", "a.b,c", "$$$"]
+    gaps = [" "] * 12 + ["  ", "\n", " \n", "\n ", "\t", "\u00a0", " \u3000 ", "\x1c", "\x85", "\r\n", "\n\n\n"]
+    texts = ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.integers(0, 60))) for _ in range(300)]
+    texts += [" " + t for t in texts[:50]] + ["  ", " ", "\n", ""] + [f"new{k} word{k}" for k in range(400)]
+    t = Tokenizer.from_file(tokenizer_file())
+    encoder = tokens.Encoder(tokenizer_file())
+    got = list(encoder.encode(texts))
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.words.first) == 256 and encoder.words.n_words <= 256
+
+
+def test_one_encoder_for_each_worker():
+    assert tokens.encoder(tokenizer_file()) is tokens.encoder(tokenizer_file())
+
+
+def test_files_are_read_by_many_tasks(spark):
+    df = spark.createDataFrame([(i, f"text number {i} " * 50) for i in range(200)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = tokens.write_token_files(df, tokenizer_file())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1 and tokens.read_token_files(spark, files).rdd.getNumPartitions() >= files.count()
+
+
 def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(tokens, "CHARS", 50)
     t = Tokenizer.from_file(tokenizer_file())
