@@ -28,16 +28,32 @@ def _bar(expected: float, size: int) -> np.uint64:
     return np.uint64(min(2 ** 64 - 1, int(expected / max(1, size) * 2 ** 64)))
 
 
-def runs_for(recall: float, similarity: float) -> int:
-    """Runs after which a pair of the given similarity has met at a root with this probability."""
-    return math.ceil(-math.log(1 - recall) / (ROOT * similarity))
+def survival(similarity: float, depth: int) -> float:
+    """How often a pair that met in a bucket still shares one after it was split ``depth`` times."""
+    kept = 1.0
+    for _ in range(depth):
+        kept = 1 - math.exp(-BRANCH * similarity * kept)
+    return kept
+
+
+def runs_for(recall: float, similarity: float, depth: int = 2) -> int:
+    """Runs after which a pair of the given similarity has met with this probability, even if all its roots are split ``depth`` times."""
+    return math.ceil(-math.log(1 - recall) / (ROOT * similarity * survival(similarity, depth)))
 
 
 def root_paths(tokens: np.ndarray, n_runs: int) -> np.ndarray:
-    """The paths a set starts: in each run the shingles whose hash for that run is below ROOT / size."""
-    bar = _bar(ROOT, len(tokens))
-    chosen = [mixed(tokens[mixed(tokens, 100 + r) <= bar], 200 + r) for r in range(n_runs)]
-    return np.concatenate(chosen) if chosen else tokens[:0]
+    """The paths a set starts, ROOT of them in each run.
+
+    One hash of a shingle says in how many runs it is chosen: once if the hash is in the
+    upper n_runs * ROOT / size of its range, more often in a set with fewer shingles than that.
+    What the larger of two sets chooses of their common shingles, the smaller one chooses too.
+    """
+    u = (mixed(tokens, 100) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+    times = np.floor(n_runs * ROOT / max(1, len(tokens)) + u).astype(np.int64)
+    chosen = np.repeat(tokens, times)
+    nth = np.arange(len(chosen)) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(over="ignore"):
+        return mixed(mixed(chosen, 200) + nth.astype(np.uint64), 201)
 
 
 def child_paths(tokens: np.ndarray, path: int) -> np.ndarray:
@@ -95,11 +111,19 @@ def widen(data) -> np.ndarray:
 
 # --- buckets -----------------------------------------------------------------
 
-def useful(members: DataFrame) -> DataFrame:
-    """(path, rep, size): buckets of two or more sets, each set of members once (paths with the same members are one)."""
+def useful(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """Buckets of two or more sets as (path, rep, size), and (path, twin).
+
+    Paths with the same members are one bucket, under the smallest path.  Of a bucket
+    of more than ``small`` sets ``twin`` names the others: each is a try of its own if the bucket
+    has to be split.
+    """
     sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("who")).where("size > 1")
-    kept = sizes.groupBy("size", "who").agg(F.min("path").alias("path")).select("path", "size")
-    return members.join(kept, "path").select("path", "rep", "size")
+    sizes = materialise(sizes, "sizes")
+    kept = sizes.groupBy("size", "who").agg(F.min("path").alias("path"))
+    large = sizes.where(F.col("size") > small).withColumnRenamed("path", "twin")
+    twins = large.join(kept.where(F.col("size") > small), ["size", "who"]).where("twin <> path").select("path", "twin")
+    return materialise(members.join(kept.select("path", "size"), "path").select("path", "rep", "size"), "buckets"), materialise(twins, "twins")
 
 
 def grow(big: DataFrame, sets: DataFrame) -> DataFrame:
@@ -120,15 +144,15 @@ def grow(big: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(sets, "rep").select("rep", "paths", "tokens").mapInArrow(run, "path long, parent long, rep long")
 
 
-def split_buckets(members: DataFrame, sets: DataFrame, small: int, dense: float, depth: int) -> DataFrame:
+def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, small: int, dense: float, depth: int) -> DataFrame:
     """(path, rep, size): the buckets to compare.
 
     A bucket of more than ``small`` sets is split by its children, unless two of its
     sets share so many children that their mean overlap is at least ``dense``; then
     most pairs are similar, no split can part them, and the bucket is compared in
-    blocks.  So is what is left after ``depth`` levels: nothing is dropped.
+    blocks.  So is what is left after ``depth`` levels: nothing is dropped.  A bucket that
+    is split is split once for each of its paths, as every path is a try of its own.
     """
-    level = materialise(members, "buckets")
     done = level.where(F.col("size") <= small)
     for _ in range(depth):
         big = level.where(F.col("size") > small)
@@ -140,8 +164,10 @@ def split_buckets(members: DataFrame, sets: DataFrame, small: int, dense: float,
         overlap = F.coalesce(F.col("cc"), F.lit(0.0)) / (F.col("size") * F.col("size") * F.lit(BRANCH))
         judged = materialise(judged.withColumn("dense", overlap >= dense), "judged")
         done = done.unionByName(big.join(judged.where("dense").select("path"), "path", "left_semi"))
-        open_ = children.join(judged.where("NOT dense").select(F.col("path").alias("parent")), "parent", "left_semi")
-        level = materialise(useful(open_.select("path", "rep")), "buckets")
+        sparse = judged.where("NOT dense").select("path")
+        again = materialise(grow(big.join(sparse, "path", "left_semi").join(twins, "path").select(F.col("twin").alias("path"), "rep"), sets), "children")
+        open_ = children.join(sparse.select(F.col("path").alias("parent")), "parent", "left_semi").select("path", "rep").unionByName(again.select("path", "rep"))
+        level, twins = useful(open_, small)
         done = done.unionByName(level.where(F.col("size") <= small))
     return done.unionByName(level.where(F.col("size") > small))
 
@@ -242,10 +268,9 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     too; large buckets are split again (``split_buckets``) or compared block by block.
     Every met pair is verified on whole sets, and only its first bucket counts it, so
     no pair is written: a bucket gives a row per member.  Two different texts of the
-    given similarity fail to meet at a root with a probability of 1 - ``recall``.  A pair
-    whose roots are all large and sparse can also part at a split (it survives two levels
-    in about 0.72 of the cases, and roots of equal members are split once), so such a pair
-    is missed more often.
+    given similarity fail to meet with a probability of 1 - ``recall`` at most: the runs are so
+    many that it holds for pairs all whose buckets are large and sparse, and are split
+    ``depth`` times.
 
     Words are lower-cased runs between ASCII blanks; a text of fewer than ``k`` words
     is one shingle.  A row without words (null, empty, blank) is its own class, has
@@ -253,12 +278,12 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     null doc_id never names a class unless all its members have none.  Other columns
     are ignored.
     """
-    n_runs = runs_for(recall, similarity)
+    n_runs = runs_for(recall, similarity, depth)
     rows = profiles(docs, k, n_runs)
     sets_of = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("weight"))
     classes = materialise(sets_of, "classes")
     reps = rows.join(classes.select(F.col("rep").alias("row"), "weight"), "row").select(F.col("row").alias("rep"), "doc_id", "th", "weight", "roots")
-    found = materialise(useful(reps.select("rep", F.explode("roots").alias("path"))), "root-buckets")
+    found, twins = useful(reps.select("rep", F.explode("roots").alias("path")), small)
     asked = found.select("rep").distinct().join(reps.select("rep", "doc_id", "th", "weight"), "rep")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +295,7 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     joined = _pressed(keyed(docs)).alias("d").join(asked.alias("a"), same).select("a.rep", "a.weight", "d.z")
     sets = materialise(joined.mapInArrow(shingles, "rep long, weight long, tokens binary"), "sets")
 
-    buckets = materialise(split_buckets(found, sets, small, dense, depth).distinct(), "compare")
+    buckets = materialise(split_buckets(found, twins, sets, small, dense, depth).distinct(), "compare")
     results = materialise(_compare_buckets(buckets, sets, block, similarity), "links")
     links = results.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(results.select(F.col("rep").alias("a"), F.col("low").alias("b")))
