@@ -183,8 +183,11 @@ def flow_features(seq: Ordered) -> DataFrame:
                 _zero(F.avg(F.when(mine, F.col("run_packets")))).alias(f"{side}_avg_packets_per_bulk"),
                 ratio(F.sum(F.when(mine, F.col("run_bytes"))) * 1e6,
                       F.sum(F.when(mine, F.col("run_us")))).alias(f"{side}_avg_bulk_rate")]
-    flows = seq.df.groupBy(*KEY, "flow_seq").agg(*agg)
+    return finished_flows(seq.df.groupBy(*KEY, "flow_seq").agg(*agg))
 
+
+def finished_flows(flows: DataFrame) -> DataFrame:
+    """The features that follow from the sums of a flow's packets, under their final names."""
     seconds = (F.col("_last_us") - F.col("_first_us")) / F.lit(1e6)
     nf, nb = F.col("total_fwd_packets"), F.col("total_backward_packets")
     bf, bb = F.col("total_length_of_fwd_packets"), F.col("total_length_of_bwd_packets")

@@ -1,4 +1,4 @@
-"""Streaming wiring: flow assembly, windows, triggers and side outputs."""
+"""Streaming wiring: windows, triggers and side outputs."""
 
 from __future__ import annotations
 
@@ -8,83 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netlens import tables as T
-from netlens.operators.flows import KEY, assign_flows, flow_features, packet_details
 from netlens.operators.intel import honeypot_detections
-from netlens.session import shared_folder, with_scalars
 
 WATERMARK = "120 seconds"
 
 
-class FlowAssembler:
-    """``foreachBatch`` handler that turns arriving packets into finished flows.
-
-    Packets of flows that are still open are kept in a table in the shared folder,
-    one version per micro-batch, so a batch that is run again starts from the same
-    version.  Each batch joins them with the new packets and runs the batch
-    operators; a flow is finished when it was closed or when the newest packet is
-    more than ``idle_timeout`` past its last one.
-    """
-
-    def __init__(self, spark, sink: Callable[[DataFrame, int], None], idle_timeout: float = T.IDLE_TIMEOUT_S,
-                 name: str = "flows", folder: str | None = None):
-        self.sink, self.idle_timeout = sink, idle_timeout
-        self.folder = folder or f"{shared_folder(spark)}/open-{name}"
-
-    def _open(self, spark, batch_id: int) -> DataFrame | None:
-        if batch_id < 0:
-            return None
-        try:
-            return spark.read.parquet(f"{self.folder}/batch={batch_id}")
-        except Exception as error:  # the first batch has nothing before it
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = ["packet_id", "ts", "src_ip", "dst_ip", "proto", "src_port", "dst_port", "length", "header_len",
-                   "payload_len", "tcp_flags", "tcp_window", "payload"]
-        before = self._open(spark, batch_id - 1)
-        packets = batch.select(*columns) if before is None else before.select(*columns).unionByName(batch.select(*columns))
-        self._emit(packets, batch_id, flush=False)
-
-    def flush(self, spark, last_batch_id: int) -> None:
-        """Close everything that is still open."""
-        rest = self._open(spark, last_batch_id)
-        if rest is not None:
-            self._emit(rest, last_batch_id + 1, flush=True)
-
-    def _emit(self, packets: DataFrame, batch_id: int, flush: bool) -> None:
-        details = packet_details(assign_flows(packets, self.idle_timeout))
-        newest = details.df.agg(F.max("ts_us").alias("_newest"))
-        ends = details.df.where("is_last").select(
-            *KEY, "flow_seq", F.col("ts_us").alias("_end_us"),
-            (F.col("_next_cut").isNotNull() | F.coalesce("_closes", F.lit(False))
-             | (F.col("tcp_flags").bitwiseAND(F.lit(T.FLAG_RST)) > 0)).alias("_closed"))
-        ends = with_scalars(ends, newest).withColumn(
-            "_done", F.lit(flush) | F.col("_closed") | (F.col("_newest") - F.col("_end_us") > int(self.idle_timeout * 1e6)))
-        done = ends.select(*KEY, "flow_seq", "_done")
-        marked = details.df.join(done, [*KEY, "flow_seq"])
-        flows = flow_features(details._like(marked.where("_done")))
-        if not flush:
-            flows = flows.withColumn("closed_by", F.when(F.col("closed_by") == "flush", "idle").otherwise(F.col("closed_by")))
-        self.sink(flows, batch_id)
-        if not flush:
-            keep = marked.where("NOT _done").select(
-                "packet_id", F.timestamp_micros("ts_us").alias("ts"), "src_ip", "dst_ip", F.col("protocol").alias("proto"),
-                "src_port", "dst_port", "length", "header_len", "payload_len", "tcp_flags", "tcp_window", "payload")
-            keep.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
-
-
-def stream_flows(packets: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-                 idle_timeout: float = T.IDLE_TIMEOUT_S, name: str = "flows"):
-    """Start flow assembly; returns (query, assembler)."""
-    assembler = FlowAssembler(packets.sparkSession, sink, idle_timeout, name, f"{checkpoint}/open")
-    query = packets.writeStream.foreachBatch(assembler).option("checkpointLocation", f"{checkpoint}/progress").trigger(
-        availableNow=True).start()
-    return query, assembler
-
-
 def stream_sessions(stream: DataFrame, key: str = "src_ip", timeout_s: int = 120) -> DataFrame:
     return stream.withWatermark("ts", WATERMARK).groupBy(key, F.session_window("ts", f"{timeout_s} seconds").alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))

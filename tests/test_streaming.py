@@ -11,7 +11,7 @@ from netlens.operators import response as R
 from netlens.plans import views as V
 from netlens.plans.detections_catalog import annotated, decided
 from netlens.sources import sinks
-from netlens.streaming import jobs, stateful
+from netlens.streaming import flows, jobs, stateful
 
 CUTS = [1, 2, 7]
 START = 1_704_067_200_000_000
@@ -86,21 +86,58 @@ def test_running_beacons_end_as_batch(spark, busy, tmp_path):
     assert rows(last, "src_ip", "dst_ip", "b.conn_count", "b.is_beacon") == rows(FL.beacon_scores(busy), "src_ip", "dst_ip", F.col("conn_count").cast("int"), "is_beacon")
 
 
+def marked_end(packets):
+    """A packet of another conversation a day later, so that every open flow falls silent."""
+    last = packets.orderBy(F.desc("ts")).limit(1).withColumns({"ts": F.col("ts") + F.expr("INTERVAL 1 DAY"), "src_ip": F.lit("9.9.9.9"), "packet_id": F.lit(-1).cast("long")})
+    return packets.unionByName(last)
+
+
+def flow_rows(df):
+    numbers = [c for c, t in df.dtypes if t in ("double", "bigint", "int") and c not in ("src_port", "protocol")]
+    return sorted(str((r["flow_id"], r["src_ip"], r["dst_ip"], r["src_port"], r["payload_sample"], r["start_ts"], r["end_ts"],
+                       r["closed_by"].replace("flush", "idle"), [f"{float(r[c]):.9g}" for c in numbers])) for r in df.collect() if "9.9.9.9" not in r["flow_id"])
+
+
 @pytest.mark.parametrize("n", CUTS)
 def test_flows(spark, sf, tmp_path, n):
     packets = V.packets(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in schemas.PACKETS.fields])
+    packets = marked_end(packets.withColumn("payload", F.when(F.col("packet_id") % 3 == 0, F.encode(F.col("packet_id").cast("string"), "utf-8")).otherwise(F.col("payload"))))
     stream = in_files(packets, str(tmp_path / "in"), n, ("ts", "packet_id"))
-    out = str(tmp_path / "flows")
-
-    def sink(flows, batch_id):
-        flows.write.mode("overwrite").parquet(f"{out}/b={batch_id}")
-    query, assembler = jobs.stream_flows(stream, sink, str(tmp_path / "cp"), idle_timeout=20)
-    query.awaitTermination()
-    assembler.flush(spark, n - 1)
-    cols = ["src_ip", "destination_port", "start_ts", "end_ts", "total_fwd_packets", "total_backward_packets", F.round("flow_iat_std", 3), F.round("active_mean", 3), "fwd_avg_bytes_per_bulk"]
-    got, batch = spark.read.parquet(out), FL.assemble_flows(packets, idle_timeout=20)
-    assert rows(got, *cols) == rows(batch, *cols)
-    assert {r[0] for r in got.select("closed_by").distinct().collect()} <= {"rst", "fin", "idle", "reused_port", "flush"}
+    got = drained(flows.stream_flows(stream, idle_timeout=20), tmp_path, "flows")
+    batch = FL.assemble_flows(packets, idle_timeout=20)
+    assert got.columns == batch.columns
+    assert flow_rows(got) == flow_rows(batch)
+    assert {r[0] for r in got.select("closed_by").distinct().collect()} >= {"rst", "idle"}
+
+
+def test_flows_go_on_after_a_restart(spark, sf, tmp_path):
+    """The second run starts from the first one's checkpoint, in the middle of flows."""
+    import shutil
+    packets = marked_end(V.packets(spark, sf).select(*[F.col(f.name).cast(f.dataType) for f in schemas.PACKETS.fields]))
+    in_files(packets, str(tmp_path / "all"), 4, ("ts", "packet_id"))
+    files = sorted((tmp_path / "all").glob("*.parquet"), key=lambda f: f.stat().st_mtime)
+    assert len(files) == 4
+    (tmp_path / "in").mkdir()
+    for part in (files[:2], files[2:]):
+        for f in part:
+            shutil.copy2(f, tmp_path / "in")
+        stream = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = drained(flows.stream_flows(stream, idle_timeout=20), tmp_path, "flows")
+    assert flow_rows(got) == flow_rows(FL.assemble_flows(packets, idle_timeout=20))
+
+
+def test_state_of_a_flow_does_not_grow():
+    """Ten thousand packets leave a record of the size that ten leave, but for the digits of its numbers."""
+    import json
+    from types import SimpleNamespace
+    held = {"seq": 0, "last": None, "flags": 0, "closed": False, "closing": False, "fins": [False, False], "flow": None, "timer": None}
+    sizes = {}
+    for k in range(10_000):
+        p = SimpleNamespace(src_ip="a" if k % 3 else "b", src_port=1 if k % 3 else 2, dst_ip="b" if k % 3 else "a", dst_port=2 if k % 3 else 1, length=100 + k % 7, header_len=20,
+                            payload_len=k % 2, tcp_flags=24, tcp_window=5, payload=b"x" * 50)
+        assert flows.take_packet(held, ("a", 1, "b", 2, 6), p, 1000 * k, 20_000_000, 3_000_000, 5_000_000) == []
+        sizes[k] = len(json.dumps(held))
+    assert sizes[9_999] < sizes[9] + 300
 
 
 def test_windows_and_honeypots(spark, busy, tmp_path):
