@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -19,6 +19,7 @@ from netlens.operators.cleaning import align_features, mistakes_as_training, uni
 from netlens.operators.features import feature_columns
 from netlens.operators.features import anova_scores
 from netlens.operators.fusion import decide, resolve_class
+from netlens.operators.scoring import boosted_confidence, ensemble_nodes
 from netlens.operators.sampling import balanced_weights, class_cap, hash_sample, stratified_split, undersample, class_weights
 from netlens.session import shared_folder, spread
 
@@ -92,10 +93,21 @@ def _applied(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*back, *[c for c in _SCRATCH if c in out.columns])
 
 
+def with_confidence(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with the probability of class 1; boosted trees are scored from flat arrays."""
+    if not isinstance(model.stages[-1], GBTClassificationModel):
+        return _applied(model, df).withColumn("confidence", vector_to_array("probability")[1]).drop(*_SCRATCH)
+    names = selected_features(model)
+    prepared = _applied(PipelineModel(model.stages[:-1]), df)
+    seen = prepared.withColumn("_seen", vector_to_array("selected" if "selected" in prepared.columns else "scaled")).drop(*_SCRATCH)
+    values = [F.col("_seen")[i] for i in range(len(names))]
+    return seen.withColumn("confidence", boosted_confidence(df.sparkSession, model, values)).drop("_seen")
+
+
 def predict(model: PipelineModel, df: DataFrame, threshold: float = T.THRESHOLD_IN_DISTRIBUTION,
             class_model: PipelineModel | None = None) -> DataFrame:
     """pred_binary, confidence and attack_class; a second model names the class."""
-    out = _applied(model, df).withColumn("confidence", vector_to_array("probability")[1]).drop(*_SCRATCH)
+    out = with_confidence(model, df)
     out = out.withColumn("pred_binary", decide(F.col("confidence"), threshold))
     if class_model is None:
         return out.withColumn("attack_class", resolve_class(F.col("pred_binary")))
@@ -117,29 +129,6 @@ def load_model(path: str) -> PipelineModel:
 
 # --- contributions ----------------------------------------------------------
 
-def _tree_arrays(model: PipelineModel):
-    """(weight, left, right, feature, threshold, value, cover) per tree of a boosted model."""
-    ensemble = model.stages[-1]
-    trees = []
-    for weight, tree in zip(ensemble.treeWeights, ensemble.trees):
-        nodes = []
-
-        def visit(node):
-            at = len(nodes)
-            nodes.append(None)
-            stats = node.impurityStats()
-            if node.subtreeDepth() == 0:
-                nodes[at] = (-1, -1, -1, 0.0, float(node.prediction()), float(stats.count()))
-                return at
-            split = node.split()
-            left, right = visit(node.leftChild()), visit(node.rightChild())
-            nodes[at] = (left, right, int(split.featureIndex()), float(split.threshold()), float(node.prediction()), float(stats.count()))
-            return at
-        visit(tree._call_java("rootNode"))
-        trees.append((float(weight), np.array(nodes, dtype=float)))
-    return trees
-
-
 def _paths(nodes: np.ndarray):
     """Leaves as (value, {feature: (low, high, share of rows that would pass)})."""
     todo = [(0, {})]
@@ -194,7 +183,7 @@ def contributions(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame
     Rows pass the fitted preprocessing on Spark; tree paths, bounded by the model
     size, are broadcast and evaluated on Arrow batches.
     """
-    names, trees = selected_features(model), _tree_arrays(model)
+    names, trees = selected_features(model), ensemble_nodes(df.sparkSession, model.stages[-1])
     packed = [(w, list(_paths(nodes))) for w, nodes in trees]
     base = sum(w * _expected(nodes) for w, nodes in trees)
     shared = df.sparkSession.sparkContext.broadcast(packed)

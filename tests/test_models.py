@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netlens.operators import mining as N
 from netlens.operators import ml as L
 from netlens.operators.anomaly import IsolationForest
+from netlens.operators.scoring import FlatEnsemble
 from netlens.operators.explain import global_importance
 from netlens.plans import views as V
 from netlens.plans.models_catalog import FAST, learnable
@@ -122,6 +123,44 @@ def test_contributions_add_up_to_the_margin(fitted):
     assert [r["feature"] for r in global_importance(c).orderBy("rank").collect()][0] in ("discount", "quantity")
 
 
+def test_flat_scores_are_those_of_the_trees(spark, fitted):
+    """The flat arrays against MLlib's own walk over its trees, and against a plain walk on made trees."""
+    rows, model = fitted
+    own = model.transform(rows.select("rid", *[F.col(c).cast("double").alias(c) for c in V.FEATURES]).dropDuplicates(["rid"])).select("rid", "probability").collect()
+    got = {r["rid"]: r["confidence"] for r in L.predict(model, rows).select("rid", "confidence").collect()}
+    assert own and all(abs(r["probability"][1] - got[r["rid"]]) < 1e-12 for r in own)
+
+
+@pytest.mark.parametrize("depth,features", [(0, 2), (1, 1), (5, 3), (9, 4), (9, 40)])
+def test_flat_trees_equal_a_plain_walk(depth, features):
+    rng = np.random.default_rng(depth)
+
+    def grow(nodes, level):
+        at = len(nodes)
+        nodes.append(None)
+        if level == 0 or (level < depth and rng.random() < 0.1):
+            nodes[at] = (-1, -1, -1, 0.0, rng.normal(), 1.0)
+        else:
+            f, t = int(rng.integers(features)), float(rng.integers(-4, 5))
+            left = grow(nodes, level - 1)
+            nodes[at] = (left, grow(nodes, level - 1), f, t, 0.0, 1.0)
+        return at
+    trees = []
+    for _ in range(12):
+        nodes = []
+        grow(nodes, depth)
+        trees.append((float(rng.random()), np.array(nodes, dtype=float)))
+    x = np.concatenate([rng.integers(-5, 6, (300, features)).astype(float), rng.normal(size=(300, features)) * 3])
+
+    def walk(nodes, row):
+        at = 0
+        while nodes[at, 0] >= 0:
+            at = int(nodes[at, 0] if row[int(nodes[at, 2])] <= nodes[at, 3] else nodes[at, 1])
+        return nodes[at, 4]
+    want = [sum(w * walk(nodes, row) for w, nodes in trees) for row in x]
+    assert np.abs(FlatEnsemble(trees, features).margins(x) - want).max() < 1e-12
+
+
 def test_multiclass_names_the_class(fitted):
     rows, model = fitted
     classes = L.train_classifier(rows, V.FEATURES, "class_id", mode="multiclass", k=4, trees=8, depth=6)
