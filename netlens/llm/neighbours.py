@@ -200,9 +200,11 @@ def build_index(vectors: DataFrame, shards: int, m: int = 16, ef: int = 80) -> D
     return materialise(keyed.repartitionById(shards, F.col("shard")).mapInArrow(run, SHARD), "graph")
 
 
-def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int | None) -> DataFrame:
     """(qid, id, score): for each query (qid, q) the ``k`` nearest found in every shard, scored in double precision.
 
+    Without ``ef`` every vector of the shard is scored, so that the nearest are exact.
+
     The graphs and the queries of a shard meet in one task by a common partitioning:
     graph rows come first and queries stream past them in batches.  A query is
     copied to each shard; nothing is broadcast.
@@ -230,7 +232,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, ef:
                     q = qs[i].values.to_numpy(zero_copy_only=False)
                     if len(q) in held:
                         graph, x, ids = held[len(q)]
-                        rows = graph.nearest(q, k, ef)
+                        rows = graph.nearest(q, k, ef) if ef is not None else exact_nearest(x, ids, q, k)
                         out[0].extend([qids[i]] * len(rows))
                         out[1].extend(ids[rows].tolist())
                         out[2].extend((x[rows] @ q).tolist())
@@ -238,15 +240,49 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, ef:
     return both.mapInArrow(run, "qid long, id long, score double")
 
 
+def exact_nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> list[int]:
+    """Rows of the ``k`` largest inner products, ties to the smaller id."""
+    scores = x @ q
+    near = np.arange(len(x)) if len(x) <= k else np.flatnonzero(scores >= np.partition(scores, len(x) - k)[len(x) - k])
+    return near[np.lexsort((ids[near], -scores[near]))][:k].tolist()
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of all shards for each query."""
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    return found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("qid", "id", "score")
+
+
+def measured_width(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int, target: float, sample: int) -> int | None:
+    """The first of ef, 2 ef, 4 ef, ... at which the search has at least this recall, or None if only all vectors will do.
+
+    Measured on the ``sample`` queries of least hash against exact scores of all vectors; a
+    query's own vector does not count.  The search is given up for exact scores once it is as wide as a shard.
+    """
+    asked = materialise(queries.orderBy(F.xxhash64("qid"), "qid").limit(sample), "recall-queries")
+    others = "id <> qid"
+    exact = materialise(merged(search_index(index, asked, shards, k, None), k).where(others), "exact")
+    wanted = exact.count()
+    largest = index.agg(F.max(F.expr("octet_length(ids) div 8"))).first()[0] or 0
+    while ef < largest:
+        found = merged(search_index(index, asked, shards, k, ef), k).where(others)
+        if found.join(exact.select("qid", "id"), ["qid", "id"]).count() >= target * wanted:
+            return ef
+        ef *= 2
+    return None
+
+
 def nearest_neighbours(df: DataFrame, is_query, id_column: str = "vec_id", vector: str = "embedding", k: int = 20, shard_rows: int = 100_000,
-                       least_shards: int = 8, m: int = 16, ef_build: int = 80, ef: int = 80) -> DataFrame:
+                       least_shards: int = 8, m: int = 16, ef_build: int = 80, ef: int = 80, target: float = 0.97, sample: int = 200) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows with the largest inner products found for each query row.
 
     All rows are candidates but the query's own; nearest first, ties to the smaller
     id.  Equal vectors are indexed once, with the k + 1 smallest of their ids (no
     other copy can be among the first k), so a vector that a third of all rows hold
     is one node.  Every distinct vector is indexed; there are ``least_shards`` shards
-    or as many as keep ``shard_rows`` to each.
+    or as many as keep ``shard_rows`` to each.  A search keeps ``ef`` candidates in each shard, doubled until the
+    recall measured on ``sample`` queries against exact scores is at least ``target``; if that needs as
+    many as a shard holds, all vectors are scored.
 
     Rows with a null id, or whose vector is null, empty, zero or holds a null, NaN or
     infinite number, take no part.  Vectors of another length are never neighbours.
@@ -264,11 +300,9 @@ def nearest_neighbours(df: DataFrame, is_query, id_column: str = "vec_id", vecto
             F.col("id").alias("query_id"), F.col("gid").alias("qid")), "asking")
     index = build_index(distinct.select(F.col("gid").alias("id"), "v"), shards, m, ef_build)
     queries = distinct.join(asking.select(F.col("qid").alias("gid")).distinct(), "gid").select(F.col("gid").alias("qid"), F.col("v").alias("q"))
-    found = search_index(index, queries, shards, k + 1, ef)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    merged = materialise(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select(
-        "qid", F.col("id").alias("gid"), "score"), "found")
-    pairs = asking.join(merged, "qid").join(members, "gid").where("id <> query_id")
+    width = measured_width(index, queries, shards, k + 1, ef, target, sample)
+    found = materialise(merged(search_index(index, queries, shards, k + 1, width), k + 1).withColumnRenamed("id", "gid"), "found")
+    pairs = asking.join(found, "qid").join(members, "gid").where("id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -60,3 +60,41 @@ def test_fewer_candidates(spark):
 
 def test_empty(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect() == []
+
+
+@pytest.mark.parametrize("norms", [False, True])
+def test_recall_is_measured_in_a_large_shard(spark, norms):
+    """Vectors without clusters, all in one shard: the first width finds too few, and the search gets wider."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5000, 48))
+    x = x * rng.uniform(0.2, 3, size=(5000, 1)) if norms else x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collected(neighbours.nearest_neighbours(df, F.col("vec_id") % 25 == 0, k=10, least_shards=1, ef=12, sample=60, m=12, ef_build=40))
+    scores = x[::25] @ x.T
+    np.fill_diagonal(scores[:, ::25], -np.inf)
+    want = {25 * i: [(int(j), 0) for j in np.argsort(-row)[:10]] for i, row in enumerate(scores)}
+    assert recall(got, want) >= 0.95
+
+
+def test_exact_rows_and_width(spark):
+    rng = np.random.default_rng(7)
+    x, q = np.round(rng.normal(size=(50, 3)), 0), np.array([1.0, 1.0, 0.0])
+    ids = rng.permutation(50)
+    assert neighbours.exact_nearest(x, ids, q, 7) == sorted(range(50), key=lambda i: (-(x[i] @ q), ids[i]))[:7]
+    assert len(neighbours.exact_nearest(x[:3], ids[:3], q, 7)) == 3
+
+
+def test_whole_table(spark, sf):
+    """The registered query against all inner products of the given table."""
+    from netlens.llm.catalog import QUERIES
+    rows = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = collected(QUERIES["op2_nearest_neighbours"](spark, sf))
+    x, ids = np.stack([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = total = 0
+    for q, found in got.items():
+        scores = x @ x[ids == q][0]
+        scores[ids == q] = -np.inf
+        least = np.sort(scores)[-20]
+        hits += sum(s >= least - 1e-9 for _, s in found)
+        total += 20
+    assert sorted(got) == sorted(i for i in ids if i % 20 == 0) and hits >= 0.95 * total
