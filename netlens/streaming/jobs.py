@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netlens import tables as T
@@ -39,64 +39,104 @@ def stream_honeypots(stream: DataFrame, services: dict[int, str] | None = None)
     return honeypot_detections(hits)
 
 
+class BatchLedger:
+    """What a ``foreachBatch`` handler remembers, as a table with one row a micro-batch.
+
+    A row holds the state after its batch.  A batch starts from the row of the latest batch
+    before it and replaces its own row, so a restarted query goes on where it was, and a batch
+    that runs again neither counts twice nor sees itself.
+    """
+
+    SCHEMA = "total long, since long, first_batch long, fired boolean, newest long"
+    EMPTY = {"total": 0, "since": 0, "first_batch": 0, "fired": False, "newest": None}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def before(self, spark: SparkSession, batch_id: int) -> dict:
+        """The state left by earlier batches."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return dict(self.EMPTY)
+        rows = spark.read.schema(self.SCHEMA + ", batch_id long").parquet(self.path).where(F.col("batch_id") < batch_id)
+        last = rows.orderBy(F.desc("batch_id")).first()
+        return dict(self.EMPTY) if last is None else {k: last[k] for k in self.EMPTY}
+
+    def write(self, spark: SparkSession, batch_id: int, state: dict) -> None:
+        row = spark.createDataFrame([tuple(state[k] for k in self.EMPTY)], self.SCHEMA)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+
 class LateRows:
-    """``foreachBatch`` handler that separates rows older than the newest time minus the delay."""
+    """``foreachBatch`` handler that separates rows older than the newest time minus the delay.
+
+    The newest time of earlier batches stands in a ledger beside the late rows.
+    """
 
     def __init__(self, on_time: Callable[[DataFrame, int], None], late_path: str, delay_s: int = 120):
         self.on_time, self.late_path, self.delay_us = on_time, late_path, delay_s * 1_000_000
-        self.newest = None
+        self.ledger = BatchLedger(f"{late_path}-ledger")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        bound = None if self.newest is None else self.newest - self.delay_us
-        us = F.unix_micros("ts")
-        if bound is None:
+        spark, us = batch.sparkSession, F.unix_micros("ts")
+        state = self.ledger.before(spark, batch_id)
+        if state["newest"] is None:
             self.on_time(batch, batch_id)
         else:
-            batch.where(us < bound).write.mode("append").parquet(self.late_path)
+            bound = state["newest"] - self.delay_us
+            batch.where(us < bound).write.mode("overwrite").parquet(f"{self.late_path}/batch_id={batch_id}")
             self.on_time(batch.where(us >= bound), batch_id)
         seen = batch.agg(F.max(us)).first()[0]
-        if seen is not None:
-            self.newest = seen if self.newest is None else max(self.newest, seen)
+        self.ledger.write(spark, batch_id, state | {"newest": max((x for x in (seen, state["newest"]) if x is not None), default=None)})
 
 
 class ThresholdTrigger:
     """``foreachBatch`` handler: append rows to a table and act when it has enough.
 
     Serves the mistake buffer (act once per fill, then cleared by the caller) and
-    the benign baseline (act once).
+    the benign baseline (act once).  Counts stand in a ledger beside the table: a batch
+    counts its own rows only.  A failure between the action and its ledger row repeats the action.
     """
 
     def __init__(self, path: str, threshold: int, action: Callable[[DataFrame], None], keep: Callable[[DataFrame], DataFrame] | None = None):
-        self.path, self.threshold, self.action, self.keep = path, threshold, action, keep
-        self.fired = False
+        self.threshold, self.action, self.keep = threshold, action, keep
+        self.reset(path)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = self.keep(batch) if self.keep else batch
+        state = self.ledger.before(spark, batch_id)
         # one folder per batch: a repeated batch replaces its own rows
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-        table = spark.read.parquet(self.path)
-        if not self.fired and table.count() >= self.threshold:
-            self.fired = True
-            self.action(table.drop("batch_id"))
+        own = f"{self.path}/batch_id={batch_id}"
+        (self.keep(batch) if self.keep else batch).write.mode("overwrite").parquet(own)
+        state["total"] += spark.read.schema(batch.schema).parquet(own).count()
+        if not state["fired"] and state["total"] >= self.threshold:
+            self.action(spark.read.parquet(self.path).where(F.col("batch_id") <= batch_id).drop("batch_id"))
+            state["fired"] = True
+        self.ledger.write(spark, batch_id, state)
 
     def reset(self, path: str) -> None:
         """Start over in a new folder."""
-        self.path, self.fired = path, False
+        self.path, self.ledger = path, BatchLedger(f"{path}-ledger")
 
 
 class PeriodicMining:
-    """``foreachBatch`` handler: run ``action`` on the rows since the last run, every n rows."""
+    """``foreachBatch`` handler: run ``action`` on the rows since the last run, every n rows.
+
+    The rows since then and the batch that they begin with stand in a ledger beside the table.
+    """
 
     def __init__(self, path: str, action: Callable[[DataFrame], None], every: int = T.MINE_EVERY, least: int = T.MINE_MIN_ROWS):
         self.path, self.action, self.every, self.least = path, action, every, least
-        self.seen, self.first_batch = 0, 0
+        self.ledger = BatchLedger(f"{path}-ledger")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-        self.seen += batch.count()
-        if self.seen >= self.every:
-            recent = batch.sparkSession.read.parquet(self.path).where(F.col("batch_id") >= self.first_batch).drop("batch_id")
-            if self.seen >= self.least:
-                self.action(recent)
-            self.seen, self.first_batch = 0, batch_id + 1
+        spark = batch.sparkSession
+        state = self.ledger.before(spark, batch_id)
+        own = f"{self.path}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(own)
+        state["since"] += spark.read.schema(batch.schema).parquet(own).count()
+        if state["since"] >= self.every:
+            if state["since"] >= self.least:
+                self.action(spark.read.parquet(self.path).where(F.col("batch_id").between(state["first_batch"], batch_id)).drop("batch_id"))
+            state |= {"since": 0, "first_batch": batch_id + 1}
+        self.ledger.write(spark, batch_id, state)

@@ -191,6 +191,42 @@ def test_late_rows_go_aside(spark, busy, tmp_path):
     assert spark.read.parquet(str(tmp_path / "late")).where("event_id = 0").count() == 1
 
 
+def parts(spark, n, rows):
+    return [spark.range(i * rows, (i + 1) * rows).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 10_000).alias("ts")) for i in range(n)]
+
+
+def test_triggers_survive_restarts_and_repeated_batches(spark, tmp_path):
+    """Every batch runs twice, by a handler of its own: counts and decisions are those of one quiet run."""
+    fired, mined = [], []
+    for i, batch in enumerate(parts(spark, 6, 50)):
+        for _ in range(2):
+            jobs.ThresholdTrigger(str(tmp_path / "t"), 120, lambda t, i=i: fired.append((i, t.count())))(batch, i)
+            jobs.PeriodicMining(str(tmp_path / "m"), lambda t, i=i: mined.append((i, t.count(), t.agg(F.min("event_id")).first()[0])), every=100, least=10)(batch, i)
+    assert fired == [(2, 150)] * 2  # the batch that fires decides the same when it is run again
+    assert mined == [(1, 100, 0)] * 2 + [(3, 100, 100)] * 2 + [(5, 100, 200)] * 2
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 300
+
+
+def test_late_rows_after_a_restart(spark, tmp_path):
+    batches = parts(spark, 3, 50)
+    late = batches[0].withColumn("event_id", F.col("event_id") + 1000)
+    kept = []
+    for i, batch in enumerate([batches[2], batches[1].unionByName(late), batches[2]]):
+        for _ in range(2):
+            jobs.LateRows(lambda b, k: kept.append((k, b.count())), str(tmp_path / "late"), delay_s=60)(batch, i)
+    assert kept == [(0, 50)] * 2 + [(1, 11)] * 2 + [(2, 50)] * 2
+    assert spark.read.parquet(str(tmp_path / "late")).count() == 89
+
+
+def test_empty_batches_change_nothing(spark, tmp_path):
+    empty = parts(spark, 1, 50)[0].limit(0)
+    seen = []
+    for i in range(2):
+        jobs.ThresholdTrigger(str(tmp_path / "t"), 1, lambda t: seen.append(1))(empty, i)
+        jobs.LateRows(lambda b, k: seen.append(b.count()), str(tmp_path / "late"))(empty, i)
+    assert seen == [0, 0]
+
+
 def test_stream_sources(spark, sf, tmp_path):
     decided(spark, sf).select(*[F.col(f.name).cast(f.dataType) if f.name != "severity" else F.col("severity") for f in schemas.DETECTIONS.fields]).write.parquet(str(tmp_path / "d"))
     assert drained(sinks.detection_stream(spark, str(tmp_path / "d"), max_files=1), tmp_path, "d").count() == 1000
