@@ -102,30 +102,24 @@ def timeline_lines(entries: DataFrame, by: str = "src_ip") -> DataFrame:
 def timeline_text(entries: DataFrame, summary: DataFrame, by: str = "src_ip") -> DataFrame:
     """The narrative as an ordered text table: (key, section, sequence, line).
 
-    Section 0 is the header, 1 the events, 2 the checklist and conclusion.  Sorted
+    Section 0 is the header, 1 the events, 2 the stages and the rating.  Sorted
     by (section, sequence) the lines of a key are its narrative; a timeline of any
     length stays a set of rows and is never gathered into one value.
     """
     stamp = "yyyy-MM-dd HH:mm:ss 'UTC'"
-    apt = F.col("sophistication") == "APT"
+    reached = F.when(F.size("stages_hit") > 0, F.array_join("stages_hit", ", ")).otherwise("none of the kill chain")
     header = F.concat_ws(
         "\n",
-        F.concat(F.lit("ATTACK TIMELINE NARRATIVE — Campaign "), campaign_label(F.col(by))), F.lit("=" * 60),
-        F.concat(F.lit("Start      : "), F.date_format("start_time", stamp)),
-        F.concat(F.lit("End        : "), F.date_format("end_time", stamp)),
-        F.format_string("Duration   : %.1f minutes", F.col("duration_minutes")),
-        F.concat(F.lit("Attackers  : "), F.array_join("src_ips", ", ")),
-        F.format_string("Events     : %d", F.col("event_count")),
-        F.concat(F.lit("Kill-chain : "), F.when(F.size("stages_hit") > 0, F.array_join("stages_hit", " -> ")).otherwise("Single-stage")),
-        F.concat(F.lit("Assessed   : "), F.col("sophistication"), F.lit(" sophistication")),
-        F.lit(""), F.lit("SEQUENCE OF EVENTS"), F.lit("-" * 60))
-    checklist = F.transform(literal([*T.KILL_CHAIN, "Unknown"]), lambda s: F.concat(
-        F.when(F.array_contains(F.col("stages_hit"), s), "  [X] ").otherwise("  [ ] "), s))
+        F.concat(F.lit("Timeline of "), campaign_label(F.col(by))),
+        F.concat(F.date_format("start_time", stamp), F.lit(" to "), F.date_format("end_time", stamp), F.lit(", "),
+                 F.col("duration_minutes").cast("string"), F.lit(" min")),
+        F.concat(F.col("event_count").cast("string"), F.lit(" events from "), F.array_join("src_ips", ", ")),
+        F.concat(F.lit("Stages reached: "), reached), F.lit(""))
+    marks = F.transform(literal(list(T.KILL_CHAIN)), lambda s: F.concat(
+        F.when(F.array_contains(F.col("stages_hit"), s), " + ").otherwise(" - "), s))
     footer = F.concat_ws(
-        "\n", F.lit(""), F.lit("KILL-CHAIN COVERAGE"), F.lit("-" * 60), F.array_join(checklist, "\n"), F.lit(""),
-        F.concat(F.lit("CONCLUSION: This "), F.when(apt, "appears to be an Advanced Persistent Threat").otherwise(
-            F.concat(F.lit("is a "), F.lower("sophistication"), F.lit("-sophistication attack"))), F.lit(".")),
-        F.lit("Recommend: Full forensic investigation, evidence preservation, and incident report."))
+        "\n", F.lit(""), F.lit("Stages seen (+) and not seen (-):"), F.array_join(marks, "\n"),
+        F.concat(F.lit("Sophistication: "), F.col("sophistication")))
     heads = summary.select(by, F.lit(0).alias("section"), F.lit(0).alias("sequence"), header.alias("line"))
     feet = summary.select(by, F.lit(2).alias("section"), F.lit(0).alias("sequence"), footer.alias("line"))
     body = timeline_lines(entries, by).select(by, F.lit(1).alias("section"), "sequence", "line")
@@ -174,14 +168,9 @@ def breach_reports(facts: DataFrame, organisation: str = "Unknown Organisation",
     sources = F.transform("src_ips", lambda ip: pseudonym(ip, salt)) if hide_ips else F.col("src_ips")
     iso = "yyyy-MM-dd'T'HH:mm:ss"
     types = F.array_join("attack_types", ", ")
-    text_of = F.concat(
-        F.lit(f"{product} detected and blocked a security incident involving the following attack types: "), types,
-        F.lit(". Network traffic was captured and analysed."))
-    taken = [f"Malicious IP addresses automatically blocked by {product}", "Affected connections terminated",
-             "Full packet capture preserved as forensic evidence", "Incident timeline reconstructed",
-             "Adaptive model retrain scheduled to prevent recurrence"]
-    proposed = ["Review and harden firewall rules", "Notify affected data subjects if high-risk breach confirmed",
-                "Conduct penetration test to identify remaining vulnerabilities"]
+    text_of = F.concat(F.lit(f"Attacks on monitored systems were recorded by {product}: "), types, F.lit("."))
+    taken = ["Sources were blocked where the response rules ask for it", "Recorded events and their timeline are kept for review"]
+    proposed = ["Decide whether the people concerned must be told", "Check the affected systems for what let the attack in"]
     start, end = F.date_format("start_time", iso), F.date_format("end_time", iso)
     doc = F.struct(
         F.lit("GDPR-Art33-v1.0").alias("schema"), F.col("report_id"), F.lit(organisation).alias("organisation"),
@@ -198,16 +187,12 @@ def breach_reports(facts: DataFrame, organisation: str = "Unknown Organisation",
     def bullets(items: Column, mark: str) -> Column:
         return F.array_join(F.transform(items, lambda s: F.concat(F.lit(mark), s)), "\n")
     text = F.concat_ws(
-        "\n", F.lit("GDPR ARTICLE 33 — DATA BREACH NOTIFICATION"), F.lit("=" * 60),
-        F.concat(F.lit("Report ID    : "), F.col("report_id")), F.lit(f"Organisation : {organisation}"), F.lit(f"DPO Contact  : {contact}"),
-        F.lit(""), F.lit("SECTION 1 — NATURE OF THE PERSONAL DATA BREACH"), F.lit("-" * 60),
-        F.concat(F.lit("Description  : "), F.col("description")), F.concat(F.lit("Attack Types : "), types),
-        F.concat(F.lit("Period       : "), start, F.lit(" to "), end),
-        F.concat(F.lit("Sources      : "), F.array_join(F.slice("sources", 1, 10), ", "), F.lit(" (IPs pseudonymised)" if hide_ips else "")),
-        F.lit(""), F.lit("SECTION 3 — LIKELY CONSEQUENCES"), F.lit("-" * 60),
-        F.concat(F.lit("Severity     : "), F.col("breach_severity")), bullets(F.col("consequences"), "  - "),
-        F.lit(""), F.lit("SECTION 4 — MEASURES TAKEN AND PROPOSED"), F.lit("-" * 60), F.lit("Measures taken:"),
-        bullets(literal(taken), "  [X] "), F.lit("Measures proposed:"), bullets(literal(proposed), "  [ ] "))
+        "\n", F.concat(F.lit("Breach notification "), F.col("report_id")), F.lit(f"From {organisation}, contact {contact}"), F.lit(""),
+        F.lit("What happened"), F.col("description"), F.concat(F.lit("From "), start, F.lit(" to "), end),
+        F.concat(F.lit("Sources" + (" (pseudonyms): " if hide_ips else ": ")), F.array_join(F.slice("sources", 1, 10), ", ")), F.lit(""),
+        F.lit("What may follow"), F.col("breach_severity"), bullets(F.col("consequences"), " * "), F.lit(""),
+        F.lit("What was done"), bullets(literal(taken), " * "), F.lit(""),
+        F.lit("What should be done"), bullets(literal(proposed), " * "))
     return facts.withColumns({
         "report_id": F.concat(F.lit("GDPR-"), "campaign_id", F.lit("-"), F.date_format("end_time", "yyyyMMddHHmmss")),
         "description": text_of, "sources": sources,
@@ -217,12 +202,10 @@ def breach_reports(facts: DataFrame, organisation: str = "Unknown Organisation",
 def incident_reports(facts: DataFrame, organisation: str = "Unknown Organisation", product: str = "netlens") -> DataFrame:
     """Incident management record per incident: report_id, document (JSON) and text."""
     iso = "yyyy-MM-dd'T'HH:mm:ss"
-    contained = ["Malicious source IPs automatically blocked via OS firewall", "Active TCP connections terminated",
-                 "Rate limiting applied to suspicious traffic flows",
-                 "Session tokens for potentially compromised accounts revoked"]
-    preventive = ["Adaptive model retrain scheduled to improve future detection",
-                  "Zero-day patterns added to threat intelligence feed", "Attacker profiles updated for future correlation"]
-    recovery = "Automated response completed; manual review recommended"
+    contained = ["Sources above the block threshold were blocked", "Requests above the rate limits were refused",
+                 "Sessions behind forged requests were revoked"]
+    preventive = ["Collect the mistakes of the models for the next training", "Keep the profiles of the sources for comparison"]
+    recovery = "Open: to be confirmed by a person"
     band = F.split("breach_severity", " — ")[0]
     start, end = F.date_format("start_time", iso), F.date_format("end_time", iso)
     doc = F.struct(
@@ -231,26 +214,22 @@ def incident_reports(facts: DataFrame, organisation: str = "Unknown Organisation
         F.struct("campaign_id", "classification", band.alias("severity"), start.alias("start_time"), end.alias("end_time"),
                  F.col("duration_minutes").alias("duration_min"), "event_count", "attack_types",
                  F.col("stages_hit").alias("kill_chain_stages"), "sophistication").alias("incident"),
-        F.struct(F.lit(f"{product} — automated ML + signature detection").alias("detected_by"),
+        F.struct(F.lit(f"{product}: models and signatures").alias("detected_by"),
                  literal(contained).alias("containment_actions")).alias("detection_and_containment"),
         F.struct("root_cause", "eradication", F.lit(recovery).alias("recovery_status")).alias("eradication_and_recovery"),
         F.struct(F.col("corrective").alias("corrective_actions"), literal(preventive).alias("preventive_measures")).alias("lessons_learned"))
 
     def bullets(items: Column, mark: str) -> Column:
         return F.array_join(F.transform(items, lambda s: F.concat(F.lit(mark), s)), "\n")
+    stages = F.when(F.size("stages_hit") > 0, F.array_join("stages_hit", ", ")).otherwise("none of the kill chain")
     text = F.concat_ws(
-        "\n", F.lit("ISO/IEC 27001 ANNEX A.16 — INFORMATION SECURITY INCIDENT REPORT"), F.lit("=" * 60),
-        F.concat(F.lit("Report ID      : "), F.col("report_id")), F.lit(f"Organisation   : {organisation}"),
-        F.lit(""), F.lit("1. INCIDENT IDENTIFICATION"), F.lit("-" * 60),
-        F.concat(F.lit("Campaign ID    : "), F.col("campaign_id")), F.concat(F.lit("Classification : "), F.col("classification")),
-        F.concat(F.lit("Severity       : "), band), F.concat(F.lit("Period         : "), start, F.lit(" to "), end),
-        F.format_string("Duration       : %.1f min", F.col("duration_minutes")), F.format_string("Events         : %d", F.col("event_count")),
-        F.concat(F.lit("Attack Types   : "), F.array_join("attack_types", ", ")),
-        F.concat(F.lit("Kill-Chain     : "), F.when(F.size("stages_hit") > 0, F.array_join("stages_hit", " -> ")).otherwise("Single-stage")),
-        F.concat(F.lit("Sophistication : "), F.col("sophistication")),
-        F.lit(""), F.lit("2. DETECTION AND CONTAINMENT"), F.lit("-" * 60), bullets(literal(contained), "  [X] "),
-        F.lit(""), F.lit("3. ERADICATION AND RECOVERY"), F.lit("-" * 60), F.concat(F.lit("Root Cause     : "), F.col("root_cause")),
-        F.lit(f"Recovery       : {recovery}"), bullets(F.col("eradication"), "  [ ] "),
-        F.lit(""), F.lit("4. LESSONS LEARNED"), F.lit("-" * 60), bullets(F.col("corrective"), "  [ ] "), bullets(literal(preventive), "  [ ] "))
+        "\n", F.concat(F.lit("Incident record "), F.col("report_id")), F.lit(f"Kept by {organisation}"), F.lit(""),
+        F.lit("Incident"), F.concat(F.col("campaign_id"), F.lit(": "), F.col("classification"), F.lit(", "), band),
+        F.concat(F.col("event_count").cast("string"), F.lit(" events from "), start, F.lit(" to "), end),
+        F.concat(F.lit("Attacks: "), F.array_join("attack_types", ", ")), F.concat(F.lit("Stages reached: "), stages),
+        F.concat(F.lit("Sophistication: "), F.col("sophistication")), F.lit(""),
+        F.lit("Contained by"), bullets(literal(contained), " * "), F.lit(""),
+        F.lit("Cause and removal"), F.col("root_cause"), bullets(F.col("eradication"), " * "), F.lit(recovery), F.lit(""),
+        F.lit("To learn from it"), bullets(F.col("corrective"), " * "), bullets(literal(preventive), " * "))
     return facts.withColumn("report_id", F.concat(F.lit("ISO-"), "campaign_id", F.lit("-"), F.date_format("end_time", "yyyyMMddHHmmss"))).select(
         "campaign_id", "report_id", F.lit("ISO27001-A16").alias("framework"), F.to_json(doc).alias("document"), text.alias("text"))

@@ -257,8 +257,7 @@ def retrain(mistakes: DataFrame, cache: DataFrame | None, holdout: DataFrame | N
         if old_model is not None:
             save_model(old_model, f"{folder}/production_backup")
         save_model(model, f"{folder}/production")
-    notes = (f"Recall improved {old_recall:.4f} -> {new_recall:.4f}" if improved
-             else f"Recall did not improve ({new_recall:.4f} vs {old_recall:.4f})")
+    notes = f"new model {'in use' if improved else 'set aside'}: recall {new_recall:.4f}, before {old_recall:.4f}"
     result = spark.createDataFrame([(bool(improved), round(old_recall, 4), round(new_recall, 4), round(old_f1, 4), round(new_f1, 4),
                                      n_mistakes, data.count(), path, notes)], schema)
     return (model if improved else old_model), result

@@ -183,9 +183,10 @@ def url_reports(spark, sf):
 
 
 @query("url_verdict_join", with_(REPORTS, body="""SELECT page_id, coalesce(r // 1000 > 0, false) AS is_threat,
-  CASE WHEN r // 1000 > 0 THEN round(CAST(r // 1000 AS DOUBLE) / (r % 1000), 3) ELSE 0.0 END AS threat_confidence FROM pages LEFT JOIN rp USING (url)"""))
+  CASE WHEN r // 1000 > 0 THEN round(CAST(r // 1000 AS DOUBLE) / (r % 1000), 3) ELSE 0.0 END AS threat_confidence,
+  CASE WHEN r // 1000 > 0 THEN CAST(r // 1000 AS VARCHAR) || '/' || CAST(r % 1000 AS VARCHAR) || ' engines flagged' ELSE 'No threat detected' END AS threat_detail FROM pages LEFT JOIN rp USING (url)"""))
 def _url_verdict(spark, sf):
-    return I.url_verdict(V.load(spark, sf, "pages"), url_reports(spark, sf)).select("page_id", "is_threat", "threat_confidence")
+    return I.url_verdict(V.load(spark, sf, "pages"), url_reports(spark, sf)).select("page_id", "is_threat", "threat_confidence", "threat_detail")
 
 
 GEO = """rng AS (SELECT CAST(n_nationkey AS BIGINT) * 171798691 AS lo, CAST(n_nationkey AS BIGINT) * 171798691 + 171798690 AS hi,
@@ -535,12 +536,20 @@ def _timeline_summary(spark, sf):
                     counts_text("attack_type_counts").alias("attack_type_counts"), "sophistication")
 
 
-@query("timeline_text", with_(*SUMM_ALL, body="""SELECT src_ip, sequence, CASE WHEN is_phase_start THEN chr(10) || '[Phase ' || CAST(phase AS VARCHAR) || ' — resumed after gap]' || chr(10) ELSE '' END
+def _stages_text():
+    marks = [f"CASE WHEN ('|' || stages || '|') LIKE {lit('%|' + s + '|%')} THEN ' + ' ELSE ' - ' END || {lit(s)}" for s in T.KILL_CHAIN]
+    return " || chr(10) || ".join(marks)
+
+
+@query("timeline_text", with_(*SUMM_ALL, body=f"""SELECT src_ip, CAST(1 AS BIGINT) AS section, sequence, CASE WHEN is_phase_start THEN chr(10) || '[Phase ' || CAST(phase AS VARCHAR) || ' — resumed after gap]' || chr(10) ELSE '' END
   || CASE WHEN mitre_severity IN ('CRITICAL', 'HIGH') THEN '>>>' ELSE '   ' END || ' [' || CASE WHEN sequence < 1000 THEN lpad(CAST(sequence AS VARCHAR), 3, '0') ELSE CAST(sequence AS VARCHAR) END || '] ' || strftime(ts, '%H:%M:%S') || ' '
-  || rpad(src_ip, 15, ' ') || ' ' || rpad(attack_type, 18, ' ') || ' ' || technique || ' (' || tactic || ')' || CASE WHEN hint <> '' THEN chr(10) || '           ' || substr(hint, 1, 80) ELSE '' END AS line FROM tl"""))
+  || rpad(src_ip, 15, ' ') || ' ' || rpad(attack_type, 18, ' ') || ' ' || technique || ' (' || tactic || ')' || CASE WHEN hint <> '' THEN chr(10) || '           ' || substr(hint, 1, 80) ELSE '' END AS line FROM tl
+UNION ALL SELECT src_ip, 0, 0, 'Timeline of IP-' || replace(src_ip, '.', '_') || chr(10) || strftime(make_timestamp(a), '%Y-%m-%d %H:%M:%S UTC') || ' to ' || strftime(make_timestamp(b), '%Y-%m-%d %H:%M:%S UTC') || ', '
+  || CAST(mins AS VARCHAR) || ' min' || chr(10) || CAST(n AS VARCHAR) || ' events from ' || src_ip || chr(10) || 'Stages reached: ' || replace(stages, '|', ', ') || chr(10) FROM su
+UNION ALL SELECT src_ip, 2, 0, chr(10) || 'Stages seen (+) and not seen (-):' || chr(10) || {_stages_text()} || chr(10) || 'Sophistication: ' || soph FROM su"""))
 def _timeline_text(spark, sf):
     e = entries(spark, sf)
-    return FO.timeline_text(e, FO.timeline_summary(e)).where("section = 1").select("src_ip", F.col("sequence").cast("long").alias("sequence"), "line")
+    return FO.timeline_text(e, FO.timeline_summary(e)).select("src_ip", F.col("section").cast("long").alias("section"), F.col("sequence").cast("long").alias("sequence"), "line")
 
 
 def _overlap(attacks):

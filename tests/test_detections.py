@@ -166,7 +166,7 @@ def test_timeline_in_chunks_and_text(spark, sf):
     s = FO.timeline_summary(e)
     ip = s.first()["src_ip"]
     text = "\n".join(r["line"] for r in FO.timeline_text(e, s).where(F.col("src_ip") == ip).orderBy("section", "sequence").collect())
-    assert text.startswith(f"ATTACK TIMELINE NARRATIVE — Campaign IP-{ip.replace('.', '_')}") and "KILL-CHAIN COVERAGE" in text and "CONCLUSION: This " in text
+    assert text.startswith(f"Timeline of IP-{ip.replace('.', '_')}\n") and "Stages seen (+) and not seen (-):" in text and "\nSophistication: " in text
 
 
 def test_incident_documents(spark, sf):
