@@ -58,6 +58,14 @@ def test_reordered_and_clean(spark):
     assert abs(got[3].coverage - 1 / 3) < 1e-9
 
 
+def test_repeated_rows_and_ids_are_judged_alone(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, "x " + item), (1, "x " + item), (1, "clean text of its own"), (None, item), (None, None)]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (7, item)], "item_id long, text string"))
+    assert sorted((str(r.doc_id), r.contaminated, r.coverage) for r in found.collect()) == [
+        ("1", False, 0.0), ("1", True, 1.0), ("1", True, 1.0), ("None", False, 0.0), ("None", True, 1.0)]
+
+
 def test_many_parts(spark, monkeypatch):
     items = [(i, " ".join(f"a{i}b{j}" for j in range(12))) for i in range(20)]
     whole = decontaminate.index_benchmark

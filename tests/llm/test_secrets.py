@@ -15,16 +15,17 @@ def docs(spark):
 
 
 def test_held_out_findings(spark, docs):
-    candidates = secrets.find_candidates(docs)
-    model = secrets.fit_secrets(candidates.where(~held_out()).withColumn("label", secrets.named_secret()))
-    scored = secrets.score_candidates(candidates, model).where(held_out()).withColumn("label", secrets.named_secret() == 1)
-    hits, missed, false, right = scored.agg(*[F.count(F.when(c, 1)) for c in (
-        F.col("label") & F.col("secret"), F.col("label") & ~F.col("secret"), ~F.col("label") & F.col("secret"), ~F.col("label") & ~F.col("secret"))]).first()
-    assert hits > 3 and missed <= 0.1 * (hits + missed) and false <= 0.05 * (false + right)
+    """Labels come from the name that a token is assigned to; the forest does not see the name, on rows it did not learn from."""
+    candidates = secrets.find_candidates(docs).withColumn("label", secrets.presumed_secret())
+    model = secrets.fit_secrets(candidates.where(~held_out()), without=secrets.TELLING, noisy=True)
+    scored = secrets.score_candidates(candidates, model).where(held_out()).join(candidates.select("row", "start", F.col("label") == 1), ["row", "start"]).toDF(
+        "row", "start", "doc_id", "end", "name", "probability", "secret", "label")
+    hits, missed = scored.agg(*[F.count(F.when(c, 1)) for c in (F.col("label") & F.col("secret"), F.col("label") & ~F.col("secret"))]).first()
+    assert hits >= 20 and missed <= 0.1 * (hits + missed)
 
 
 def test_forest_removes_false_alarms(spark):
-    rows = [(i, f'token = "{abs(hash((i, "k"))):016x}{abs(hash(i * 7919)):016x}" and then') for i in range(60)]
+    rows = [(i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()[:32]}" and then') for i in range(60)]
     rows += [(100 + i, f"see docs/averylongordinaryword{'abcdefghij'[i % 10]}here/thing for it") for i in range(60)]
     found = secrets.find_candidates(spark.createDataFrame(rows, "doc_id long, text string"))
     model = secrets.fit_secrets(found.withColumn("label", (F.col("doc_id") < 100).cast("int")))
