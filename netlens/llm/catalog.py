@@ -30,6 +30,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op1_token_files")
 def op1_token_files(spark, sf_dir):
+    """Token files of all documents, read back; null text is the end id alone, see ``write_token_files`` for ties, repeated rows and empty tables."""
     files = tokens.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file())
     return tokens.read_token_files(spark, files).drop("shard")
 
@@ -47,12 +48,14 @@ FROM lines LEFT JOIN bad USING (key) GROUP BY doc_id"""
 
 @query("op10_line_dedup", OP10)
 def op10_line_dedup(spark, sf_dir):
+    """Documents without the lines that five of them hold; null text is one empty line, see ``dedup_lines`` for ties and repeated rows."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @query("op2_nearest_neighbours")
 def op2_nearest_neighbours(spark, sf_dir):
+    """Twenty neighbours of every twentieth vector; unusable vectors take no part, see ``nearest_neighbours`` for ties and copies."""
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
@@ -63,6 +66,7 @@ def held_out(column: str = "doc_id"):
 
 @query("op4_language_id")
 def op4_language_id(spark, sf_dir):
+    """A language for every row; null text or text without a letter is ``und``, a null id is neither held out nor learnt from."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit_languages(docs, ~held_out())
     return language.identify_languages(docs.select("doc_id", "text"), model).select(
@@ -87,6 +91,7 @@ SELECT doc_id, size, source_size, target, CAST(greatest(0, least(start + size, w
 
 @query("op6_source_mix", OP6)
 def op6_source_mix(spark, sf_dir):
+    """The words that the mix takes of every row; null text has size 0, a null source is a source of its own, see ``taken_words`` for ties."""
     sized = mixing.size_documents(table(spark, sf_dir, "documents"))
     return mixing.taken_words(sized, *mixing.mix_sources(sized))
 
@@ -106,11 +111,13 @@ FROM s JOIN class USING (doc_id) LEFT JOIN own USING (doc_id)"""
 
 @query("op8_jaccard_join", OP8)
 def op8_jaccard_join(spark, sf_dir):
+    """Class, copy and links of every row; rows without words are classes of their own, see ``duplicate_classes``."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 @query("op9_decontamination")
 def op9_decontamination(spark, sf_dir):
+    """Which rows a benchmark item half covers; null and short texts never match, repeated rows get equal results."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "contaminated", "leaked_item", "coverage", "longest", F.size("leaks").alias("n_leaks"))
@@ -118,6 +125,7 @@ def op9_decontamination(spark, sf_dir):
 
 @query("op7_private_spans")
 def op7_private_spans(spark, sf_dir):
+    """Personal data and the terms that reveal it; null text has no spans, see ``protect`` for repeated rows and empty tables."""
     found = privacy.protect(table(spark, sf_dir, "documents"))
     counts = [privacy.count_of(kind).alias(f"n_{kind}") for kind in privacy.PATTERNS]
     return found.select("doc_id", *counts, F.sha2(privacy.span_texts(F.col("base")), 256).alias("base_sha256"),
@@ -137,6 +145,7 @@ SELECT h.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_s
 
 @query("op3_repeated_strings", OP3)
 def op3_repeated_strings(spark, sf_dir):
+    """Every row without bytes of strings that occur again; null text is empty, repeated rows are repeats of each other."""
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -144,6 +153,7 @@ def op3_repeated_strings(spark, sf_dir):
 
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf_dir):
+    """Findings of every row by its own number, also with a null or repeated id; null text has none."""
     return secrets.scan_rows(table(spark, sf_dir, "documents"), ~held_out())
 
 
