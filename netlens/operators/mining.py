@@ -1,21 +1,19 @@
-"""Density clustering of unknown behaviour: neighbour join, components, patterns."""
+"""Density clustering of unknown behaviour: neighbours, components, patterns."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netlens import tables as T
 from netlens.functions.lookup import first_case, rounded
 from netlens.operators.features import impute_median, screen_columns, standardise, to_long
+from netlens.operators.nearness import BLOCK_ROWS, Blocks, stars
 from netlens.ordered import Ordered, RowNumber
 from netlens.session import materialise
 
-CELL_LIMIT = 2_000
-MAX_GRID_DIMS = 4
-
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node id reachable over the edges.
@@ -52,86 +50,60 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return materialise(found, "components")
 
 
-def _cells(columns: list[str], width: float) -> list[Column]:
-    return [F.floor(F.col(c) / width).cast("long") for c in columns]
+def _counted(homes, guests, weights, near) -> pd.DataFrame:
+    return pd.DataFrame({"pid": homes, "n": near @ weights})
 
 
-def _grid_dims(points: DataFrame, columns: list[str], eps: float, limit: int) -> list[str]:
-    """The widest columns, as many as it takes to keep grid cells small."""
-    spread = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in columns]).first()
-    ordered = sorted(columns, key=lambda c: -(spread[c] or 0.0))
-    chosen = ordered[:1]
-    for k in range(1, min(MAX_GRID_DIMS, len(ordered)) + 1):
-        chosen = ordered[:k]
-        largest = points.groupBy(*_cells(chosen, eps)).count().agg(F.max("count")).first()[0] or 0
-        if largest <= limit:
-            break
-    return chosen
+def _linked(homes, guests, is_core, near) -> pd.DataFrame:
+    """Points of one connected part, each with the part's first core home."""
+    part = stars(near)
+    held = part >= 0
+    return pd.DataFrame({"pid": np.concatenate([homes, guests])[held], "other": homes[part[held]]})
 
 
-def neighbour_pairs(points: DataFrame, columns: list[str], eps: float, row_id: str = "id", cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Pairs (a < b) of points within ``eps`` that lie in different fine cells.
-
-    Points are hashed to cells of width eps in a few wide dimensions; only points
-    of neighbouring cells meet, through an equi-join.  Points of one fine cell
-    (side eps / sqrt(dimensions)) are all within eps of each other, so those pairs
-    are known and never produced.
-    """
-    dims = _grid_dims(points, columns, eps, cell_limit)
-    fine = F.xxhash64(*_cells(columns, eps / math.sqrt(len(columns)) * 0.999999))
-    base = points.select(row_id, "fine" if "fine" in points.columns else fine.alias("fine"),
-                         F.array(*columns).alias("x"), F.array(*_cells(dims, eps)).alias("cell"))
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    shifted = base
-    for i in range(len(dims)):
-        shifted = shifted.withColumn(f"_d{i}", F.explode(around))
-    near = F.array(*[(F.col("cell")[i] + F.col(f"_d{i}")).cast("long") for i in range(len(dims))])
-    left = shifted.select(F.col(row_id).alias("a"), F.col("fine").alias("fa"), F.col("x").alias("xa"), near.alias("cell"))
-    right = base.select(F.col(row_id).alias("b"), F.col("fine").alias("fb"), F.col("x").alias("xb"), "cell")
-    square = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, d: acc + d)
-    return left.join(right, "cell").where((F.col("a") < F.col("b")) & (F.col("fa") != F.col("fb"))).where(
-        square <= eps * eps).select("a", "b")
+def _touching(homes, guests, roots, near) -> pd.DataFrame:
+    """The least cluster among the core neighbours of every home that has one."""
+    far = np.iinfo(np.int64).max
+    least = np.full(len(homes), far)
+    for at in range(0, near.shape[1], 256):
+        block = np.where(near[:, at:at + 256], roots[None, at:at + 256], far)
+        least = np.minimum(least, block.min(axis=1))
+    held = least < far
+    return pd.DataFrame({"pid": homes[held], "cluster": least[held]})
 
 
 def dbscan(df: DataFrame, columns: list[str], eps: float, min_samples: int, row_id: str,
-           cell_limit: int = CELL_LIMIT) -> DataFrame:
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row id, cluster): clusters numbered by their smallest core row id; noise is NULL.
 
-    Copies of a point are collapsed first, so a pile of equal rows is one point with
-    a weight; a fine cell is one node of the graph of core points.  A border point
-    joins the neighbouring cluster with the smallest number.
+    Exact in any number of dimensions: points meet through cells of pivots (see
+    ``nearness``), and blocks of points are compared in tasks that give back a count
+    per point, then a link per core point and block, so no pair of neighbours is
+    written.  Copies of a point are collapsed first, so a pile of equal rows is one
+    point with a weight.  A border point joins the neighbouring cluster with the
+    smallest number.  A row with a null or non-finite component is noise.
     """
-    rows = df.select(F.col(row_id).alias("id"), *[F.col(c).cast("double").alias(c) for c in columns])
-    collapsed = rows.groupBy(*columns).agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w"))
-    fine = F.xxhash64(*_cells(columns, eps / math.sqrt(len(columns)) * 0.999999))
-    points = materialise(collapsed.withColumn("fine", fine), "points")
-    pairs = materialise(neighbour_pairs(points.withColumnRenamed("pid", "id"), columns, eps, "id", cell_limit), "pairs")
-    weight = points.select(F.col("pid").alias("id"), "w")
-    seen = pairs.join(weight, pairs["b"] == weight["id"]).groupBy(F.col("a").alias("pid")).agg(F.sum("w").alias("n")).unionByName(
-        pairs.join(weight, pairs["a"] == weight["id"]).groupBy(F.col("b").alias("pid")).agg(F.sum("w").alias("n")))
-    outside = seen.groupBy("pid").agg(F.sum("n").alias("outside"))
-    inside = points.groupBy("fine").agg(F.sum("w").alias("inside"))
-    counted = points.select("pid", "fine").join(inside, "fine").join(outside, "pid", "left")
-    core = materialise(counted.where(F.col("inside") + F.coalesce("outside", F.lit(0)) >= min_samples).select("pid", "fine"), "core")
-    # core points of a fine cell are linked through its smallest core point
-    star = core.groupBy("fine").agg(F.min("pid").alias("hub"))
-    within = core.join(star, "fine").select(F.col("pid").alias("a"), F.col("hub").alias("b"))
-    c = core.select("pid")
-    across = pairs.join(c.withColumnRenamed("pid", "a"), "a").join(c.withColumnRenamed("pid", "b"), "b").select("a", "b")
-    components = connected_components(within.unionByName(across)).select(F.col("node").alias("pid"), F.col("component").alias("root"))
+    # 0.0 and -0.0 are one place
+    vector = F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in columns])
+    rows = df.select(F.col(row_id).alias("id"), vector.alias("x"))
+    sound = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    points = materialise(rows.where(sound).groupBy("x").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w")), "points")
+    blocks = Blocks(points, eps, block_rows)
+    id_type = points.schema["pid"].dataType.simpleString()
+    counts = blocks.compare(_counted, f"pid {id_type}, n long", points, points, F.col("w"))
+    core_ids = materialise(counts.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("pid"), "core")
+    core = points.join(core_ids, "pid", "left_semi")
+    links = blocks.compare(_linked, f"pid {id_type}, other {id_type}", core, core)
+    components = connected_components(links, "pid", "other").select(F.col("node").alias("pid"), F.col("component").alias("root"))
     roots = components.select("root").distinct()
-    numbered = Ordered(roots, [], ["root"], 100_000).add(_n=RowNumber()).result().select("root", (F.col("_n") - 1).alias("cluster"))
+    numbered = Ordered(roots, [], ["root"], 100_000).add(_n=RowNumber()).result().select("root", (F.col("_n") - 1).cast("long").alias("cluster"))
     core_cluster = materialise(components.join(numbered, "root").select("pid", "cluster"), "clusters")
-    by_fine = core.join(core_cluster, "pid").groupBy("fine").agg(F.min("cluster").alias("cluster"))
-    loose = points.select("pid", "fine").join(c, "pid", "left_anti")
-    touching = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    border = loose.join(by_fine, "fine").select("pid", "cluster").unionByName(
-        loose.select("pid").join(touching.withColumnsRenamed({"a": "pid", "b": "other"}), "pid").join(
-            core_cluster.withColumnRenamed("pid", "other"), "other").select("pid", "cluster"))
+    loose = points.join(core_ids, "pid", "left_anti")
+    border = blocks.compare(_touching, f"pid {id_type}, cluster long", loose, points.join(core_cluster, "pid"), F.col("cluster"))
     border = border.groupBy("pid").agg(F.min("cluster").alias("cluster"))
-    labels = points.select("pid", *columns).join(core_cluster.unionByName(border), "pid", "left")
+    labels = points.join(core_cluster.unionByName(border), "pid", "left").select("x", "cluster")
     # back to every copy; equal vectors compare equal
-    return rows.join(labels.drop("pid"), columns, "left").select(F.col("id").alias(row_id), "cluster")
+    return rows.join(labels, "x", "left").select(F.col("id").alias(row_id), "cluster")
 
 
 def cluster_patterns(df: DataFrame, columns: list[str], cluster: str = "cluster", score: str | None = "anomaly_score",
