@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,12 @@ from netlens.operators.cleaning import align_features, mistakes_as_training, uni
 from netlens.operators.features import feature_columns
 from netlens.operators.features import anova_scores
 from netlens.operators.fusion import decide, resolve_class
-from netlens.operators.scoring import boosted_confidence, ensemble_nodes
+from netlens.operators.scoring import FlatEnsemble, boosted_confidence, class_margins, ensemble_nodes
 from netlens.operators.sampling import balanced_weights, class_cap, hash_sample, stratified_split, undersample, class_weights
-from netlens.session import shared_folder, spread
+from netlens.session import materialise, shared_folder, spread, with_scalars
+
+
+CLASS_MARGIN = "margin_of_class_"
 
 
 def train_classifier(df: DataFrame, features: list[str], label: str = "label", weight: str | None = None, k: int | None = T.K_BEST,
@@ -29,10 +33,15 @@ def train_classifier(df: DataFrame, features: list[str], label: str = "label", w
                      subsample: float = 0.8, seed: int = 42) -> PipelineModel:
     """Median imputation, scaling, ANOVA choice of ``k`` features and boosted trees.
 
-    ``k=None`` keeps the given features (the lightweight model).  Multiclass mode
-    grows a random forest, since boosted trees are binary in MLlib.
+    ``k=None`` keeps the given features (the lightweight model).  Boosted trees are
+    binary in MLlib, so mode ``multiclass`` fits one booster per class (integer
+    labels; a null label is no class) side by side over the same prepared rows, and
+    ``class_probabilities`` joins their margins; mode ``forest`` grows a random
+    forest instead.  Row weights count in every mode, ``pos_weight`` in binary only.
     """
     base = F.col(weight) if weight else F.lit(1.0)
+    if mode not in ("binary", "multiclass", "forest"):
+        raise ValueError(f"unknown mode {mode!r}")
     row_weight = base * F.when(F.col(label) == 1, pos_weight).otherwise(1.0) if mode == "binary" else base
     data = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("label"),
                      row_weight.cast("double").alias("weight"))
@@ -50,17 +59,69 @@ def train_classifier(df: DataFrame, features: list[str], label: str = "label", w
     if mode == "binary":
         stages.append(GBTClassifier(featuresCol=source, labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth,
                                     stepSize=step, subsamplingRate=subsample, seed=seed))
-    else:
+    elif mode == "forest":
         stages.append(RandomForestClassifier(featuresCol=source, labelCol="label", weightCol="weight", numTrees=trees,
                                              maxDepth=depth, subsamplingRate=subsample, seed=seed))
     # every stage passes over the rows again
     data = spread(data).persist()
     try:
-        return Pipeline(stages=stages).fit(data)
+        fitted = Pipeline(stages=stages).fit(data)
+        if mode == "multiclass":
+            options = {"featuresCol": source, "weightCol": "weight", "maxIter": trees, "maxDepth": depth, "stepSize": step,
+                       "subsamplingRate": subsample, "seed": seed}
+            return PipelineModel(fitted.stages + _boosters(fitted.transform(data).select(source, "label", "weight"), options))
+        return fitted
     finally:
         data.unpersist()
 
 
+BOOSTERS_AT_ONCE = 4
+
+
+def _boosters(prepared: DataFrame, options: dict) -> list[GBTClassificationModel]:
+    """One booster per class against the others, in the order of the classes.
+
+    The driver learns the classes, a name each; a few fits run at a time, as every
+    round of one is a chain of small jobs.  A booster's columns carry its class.
+    """
+    classes = sorted(int(r["label"]) for r in prepared.where("label IS NOT NULL").select("label").distinct().collect())
+    labelled = spread(prepared.where("label IS NOT NULL")).persist()
+
+    def fit(c: int) -> GBTClassificationModel:
+        booster = GBTClassifier(labelCol="is_class", predictionCol=f"{CLASS_MARGIN}{c}__is", **options)
+        booster = booster.setRawPredictionCol(f"{CLASS_MARGIN}{c}").setProbabilityCol(f"{CLASS_MARGIN}{c}__p")
+        return booster.fit(labelled.withColumn("is_class", (F.col("label") == c).cast("double")))
+    try:
+        with ThreadPoolExecutor(BOOSTERS_AT_ONCE) as pool:
+            return list(pool.map(fit, classes))
+    finally:
+        labelled.unpersist()
+
+
+def class_boosters(model: PipelineModel) -> dict[int, GBTClassificationModel]:
+    """The boosters of a multiclass model by class; empty for other models."""
+    held = [s for s in model.stages if isinstance(s, GBTClassificationModel) and s.getRawPredictionCol().startswith(CLASS_MARGIN)]
+    return {int(s.getRawPredictionCol()[len(CLASS_MARGIN):]): s for s in held}
+
+
+def class_probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``class_probabilities`` (a map by class, sum 1) and ``predicted``.
+
+    Margins of all boosters come from flat arrays in one pass; a class's share is the
+    probability of its booster over the sum of all.  Ties go to the smallest class.
+    """
+    boosters = class_boosters(model)
+    names = selected_features(model)
+    prepared = _applied(PipelineModel([s for s in model.stages if not isinstance(s, GBTClassificationModel)]), df)
+    seen = prepared.withColumn("_seen", vector_to_array("selected" if "selected" in prepared.columns else "scaled")).drop(*_SCRATCH)
+    margins = class_margins(df.sparkSession, model, list(boosters.values()), [F.col("_seen")[i] for i in range(len(names))])
+    out = seen.withColumn("_p", F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * m)))).drop("_seen")
+    out = out.withColumn("_p", F.transform("_p", lambda p: p / F.aggregate("_p", F.lit(0.0), lambda total, q: total + q)))
+    classes = F.array(*[F.lit(c) for c in boosters])
+    best = F.element_at(classes, F.array_position("_p", F.array_max("_p")).cast("int"))
+    return out.withColumns({"class_probabilities": F.map_from_arrays(classes, F.col("_p")), "predicted": best}).drop("_p")
+
+
 def train_lightweight(df: DataFrame, label: str = "label", **options) -> PipelineModel:
     """The fixed ten-feature model."""
     return train_classifier(df, [c for c in T.ENGINEERED_FEATURES if c in df.columns], label, k=None, **options)
@@ -111,11 +172,16 @@ def predict(model: PipelineModel, df: DataFrame, threshold: float = T.THRESHOLD_
     out = out.withColumn("pred_binary", decide(F.col("confidence"), threshold))
     if class_model is None:
         return out.withColumn("attack_class", resolve_class(F.col("pred_binary")))
-    named = _applied(class_model, out).withColumn("_class", F.col("prediction").cast("int")).drop(*_SCRATCH)
-    return named.withColumn("attack_class", resolve_class(F.col("pred_binary"), F.col("_class"))).drop("_class")
+    # a column "predicted" of the input stays what it is
+    named = predict_class(class_model, out.withColumnRenamed("predicted", "_given"))
+    named = named.withColumn("attack_class", resolve_class(F.col("pred_binary"), F.col("predicted"))).drop("predicted")
+    return named.withColumnRenamed("_given", "predicted").select(*out.columns, "attack_class")
 
 
 def predict_class(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with the class in ``predicted``."""
+    if class_boosters(model):
+        return class_probabilities(model, df).drop("class_probabilities")
     return _applied(model, df).withColumn("predicted", F.col("prediction").cast("int")).drop(*_SCRATCH)
 
 
@@ -157,23 +223,30 @@ def _shapley(x: np.ndarray, leaves) -> np.ndarray:
 
     A leaf contributes a product of one factor per feature on its path (1 or 0 when
     the feature is known, the row share when not), so its Shapley weights are the
-    coefficients of a polynomial with one linear factor per feature.
+    coefficients of a polynomial with one linear factor per feature.  The product of
+    all factors is built once; each feature's own factor is then divided out again,
+    so a leaf of d features costs d * d steps instead of d * d * d.
     """
     phi = np.zeros_like(x)
     for value, path in leaves:
         names = list(path)
         d = len(names)
         inside = [((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype(float) for f in names]
-        shares = [path[f][2] for f in names]
+        shares = [max(path[f][2], 1e-200) for f in names]  # a branch without weight still has to be divided out
         weights = [math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)]
-        for i, f in enumerate(names):
-            poly = [np.ones(len(x))]
-            for j in range(d):
-                if j == i:
-                    continue
-                shifted = [np.zeros(len(x))] + [p * inside[j] for p in poly]
-                poly = [a + b for a, b in zip([p * shares[j] for p in poly] + [np.zeros(len(x))], shifted)]
-            phi[:, f] += value * (inside[i] - shares[i]) * sum(w * p for w, p in zip(weights, poly))
+        whole = [np.ones(len(x))]
+        for known, share in zip(inside, shares):
+            grown = [p * share for p in whole] + [np.zeros(len(x))]
+            for k, p in enumerate(whole):
+                grown[k + 1] = grown[k + 1] + p * known
+            whole = grown
+        for known, share, f in zip(inside, shares, names):
+            # known rows: divide by (share + t) from the highest power down; others: by the share alone
+            without, high = 0.0, np.zeros(len(x))
+            for k in range(d - 1, -1, -1):
+                high = np.where(known > 0, whole[k + 1] - share * high, whole[k] / share)
+                without = without + weights[k] * high
+            phi[:, f] += value * (known - share) * without
     return phi
 
 
@@ -186,7 +259,8 @@ def contributions(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame
     names, trees = selected_features(model), ensemble_nodes(df.sparkSession, model.stages[-1])
     packed = [(w, list(_paths(nodes))) for w, nodes in trees]
     base = sum(w * _expected(nodes) for w, nodes in trees)
-    shared = df.sparkSession.sparkContext.broadcast(packed)
+    # rows between the same thresholds have the same contributions
+    shared = df.sparkSession.sparkContext.broadcast((packed, FlatEnsemble(trees, len(names)).thresholds))
     vector = "selected" if any(isinstance(s, VectorSlicer) for s in model.stages) else "scaled"
     prepared = _applied(model, df).select(
         F.col(row_id).alias("_row"), vector_to_array(vector).alias("x"),
@@ -195,10 +269,14 @@ def contributions(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame
     def explain(batches):
         for pdf in batches:
             x = np.vstack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, len(names)))
-            phi = np.zeros_like(x)
-            for weight, leaves in shared.value:
-                phi += weight * _shapley(x, leaves)
-            yield pd.DataFrame({"_row": pdf["_row"], "phi": list(phi), "v": pdf["v"]})
+            trees, thresholds = shared.value
+            places = np.column_stack([np.searchsorted(t, x[:, f], side="left") for f, t in enumerate(thresholds)]) if len(names) else np.zeros((len(x), 0))
+            _, first, back = np.unique(places, axis=0, return_index=True, return_inverse=True)
+            kinds = x[first]
+            phi = np.zeros_like(kinds)
+            for weight, leaves in trees:
+                phi += weight * _shapley(kinds, leaves)
+            yield pd.DataFrame({"_row": pdf["_row"], "phi": list(phi[back.ravel()]), "v": pdf["v"]})
     row_type = df.schema[row_id].dataType.simpleString()
     wide = prepared.mapInPandas(explain, f"_row {row_type}, phi array<double>, v array<double>")
     fields = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("v")[i].alias("value"), F.col("phi")[i].alias("contribution"))
@@ -287,3 +365,36 @@ def combined_training_rows(frames: list[DataFrame], row_id: str, cap: int = T.TR
     total = sum(f.count() for f in frames)
     share = min(1.0, cap / total) if total else 1.0
     return union_all([hash_sample(f, row_id, share) for f in frames])
+
+
+def train_combined(frames: list[DataFrame], features: list[str], row_id: str, label: str = "label", cap: int = T.TRAIN_ROW_CAP,
+                   held_out: float = 0.2, threshold: float = T.THRESHOLD_CROSS_DATASET, **options):
+    """One binary model over several datasets: (model, metric rows by dataset and over all).
+
+    Columns are aligned by name; a feature that a dataset lacks is imputed with the
+    median of the others.  Datasets count alike: a row weighs total / (datasets *
+    rows of its own), so a large dataset does not drown a small one.  Metrics come from rows
+    held out by class in every dataset, at ``threshold``.  A row id may recur in another
+    dataset; rows with a null label take no part, and an empty dataset has no metrics.
+    """
+    aligned = []
+    for i, frame in enumerate(frames):
+        have = [F.col(c).cast("double").alias(c) if c in frame.columns else F.lit(None).cast("double").alias(c) for c in features]
+        rows = frame.where(F.col(label).isNotNull()).select(
+            F.concat_ws(":", F.lit(i), F.col(row_id).cast("string")).alias("row"), F.lit(i).alias("dataset"), *have, F.col(label).cast("int").alias("label"))
+        aligned.append(stratified_split(rows, "label", "row", held_out))
+    sampled = combined_training_rows([a.where("NOT is_test") for a in aligned], "row", cap)
+    sizes = sampled.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n"))
+    shares = with_scalars(sizes, sizes.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_sets"))).select(
+        "dataset", (F.col("_all") / (F.col("_sets") * F.col("_n"))).alias("weight"))
+    model = train_classifier(sampled.join(shares, "dataset"), features, "label", "weight", **options)
+    scored = None
+    for part in aligned:
+        test = part.where("is_test")
+        scored = test if scored is None else scored.unionByName(test)
+    scored = materialise(predict(model, scored, threshold), "combined")
+    whole = M.evaluation(scored, "label", "confidence", "combined", threshold)
+    for i in range(len(frames)):
+        own = M.evaluation(scored.where(F.col("dataset") == i), "label", "confidence", f"combined_{i}", threshold)
+        whole = whole.unionByName(own)
+    return model, whole

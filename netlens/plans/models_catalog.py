@@ -66,36 +66,70 @@ def _isolation_forest(spark, sf):
     return forest.score(v).select("vec_id", rounded("anomaly_score", 6).alias("anomaly_score"), "anomaly_detected")
 
 
-DIMS, EPS, MIN_POINTS = ["e0", "e1", "e2", "e3"], 0.06, 5
-SQUARE = " + ".join(f"(p.{d} - q.{d}) * (p.{d} - q.{d})" for d in DIMS)
-DB = f"""pt AS (SELECT vec_id, {', '.join(f'CAST(embedding[{i + 1}] AS DOUBLE) AS {d}' for i, d in enumerate(DIMS))} FROM embeddings),
-nb AS (SELECT p.vec_id AS a, q.vec_id AS b FROM pt p JOIN pt q ON {SQUARE} <= {EPS * EPS}),
+DIMS, EPS, MIN_POINTS = [f"e{i}" for i in range(64)], 1.15, 5
+MINED_EPS, MINED_SCORE = 9.2, 0.02
+PT = "pt AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, -abs(CAST(embedding[1] AS DOUBLE)) AS s FROM embeddings)"
+# the anomalous vectors, every component with zero mean and unit deviation
+MINED = f"""raw AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, -abs(CAST(embedding[1] AS DOUBLE)) AS s FROM embeddings WHERE abs(CAST(embedding[1] AS DOUBLE)) >= {MINED_SCORE}),
+rl AS (SELECT vec_id, i, x[i] AS v FROM raw, LATERAL (SELECT unnest(range(1, 65)) AS i) u),
+sc AS (SELECT i, avg(v) AS m, stddev_pop(v) AS d FROM rl GROUP BY 1),
+pt AS (SELECT vec_id, list((v - m) / d ORDER BY i) AS x FROM rl JOIN sc USING (i) GROUP BY 1)"""
+
+
+def clustered(eps: float) -> str:
+    return f"""nb AS (SELECT p.vec_id AS a, q.vec_id AS b FROM pt p JOIN pt q ON list_distance(p.x, q.x) <= {eps}),
 core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {MIN_POINTS}),
 ce AS (SELECT a, b FROM nb WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 reach AS (SELECT id AS root, id FROM core UNION SELECT reach.root, ce.b FROM reach JOIN ce ON ce.a = reach.id),
 comp AS (SELECT id, min(root) AS root FROM reach GROUP BY id), num AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM (SELECT DISTINCT root FROM comp)),
 cc AS (SELECT comp.id, num.cluster FROM comp JOIN num USING (root)),
-lab AS (SELECT pt.vec_id, coalesce(cc.cluster, (SELECT min(k.cluster) FROM nb JOIN cc k ON k.id = nb.b WHERE nb.a = pt.vec_id)) AS cluster FROM pt LEFT JOIN cc ON cc.id = pt.vec_id)"""
+edge AS (SELECT nb.a AS id, min(cc.cluster) AS cluster FROM nb JOIN cc ON cc.id = nb.b GROUP BY 1),
+lab AS (SELECT pt.vec_id, coalesce(cc.cluster, edge.cluster) AS cluster FROM pt LEFT JOIN cc ON cc.id = pt.vec_id LEFT JOIN edge ON edge.id = pt.vec_id)"""
 
 
-@query("dbscan", with_(DB, body="SELECT vec_id, CAST(cluster AS BIGINT) AS cluster FROM lab"))
+def patterns(points: str) -> str:
+    """Whole patterns of the clusters in ``lab``; ``points`` holds vec_id, x and s."""
+    return f"""held AS (SELECT cluster, x, s FROM lab JOIN {points} USING (vec_id) WHERE cluster IS NOT NULL),
+ag AS (SELECT cluster, count(*) AS size, round(avg(s), 4) AS anomaly_score_mean, round(max(s), 4) AS anomaly_score_max FROM held GROUP BY 1),
+ft AS (SELECT cluster, i, 'e' || (i - 1) AS feature, round(avg(x[i]), 4) + 0.0 AS value FROM held, LATERAL (SELECT unnest(range(1, 65)) AS i) u GROUP BY cluster, i),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(value) DESC, feature) AS rank FROM ft),
+tx AS (SELECT cluster, string_agg(feature || '=' || printf('%.4f', value), ' ' ORDER BY rank) FILTER (rank <= 10) AS top_features,
+  string_agg(printf('%.4f', value), ' ' ORDER BY i) AS signature,
+  string_agg(feature || '=' || CAST(round(CAST(value AS DECIMAL(18, 4)), 2) AS VARCHAR), ', ' ORDER BY rank) FILTER (rank <= 3) AS lead FROM rk GROUP BY 1),
+nm AS (SELECT cluster, 'ZD-001-' || lpad(CAST(cluster AS VARCHAR), 3, '0') AS cluster_id FROM ag)"""
+
+
+PATTERN = """SELECT cluster_id, size, anomaly_score_mean, anomaly_score_max, top_features, signature, 'ZeroDay cluster ' || cluster_id || ':; signature: ' || lead AS ioc_hint
+  FROM ag JOIN tx USING (cluster) JOIN nm USING (cluster)"""
+
+
+def pattern_rows(found):
+    """Every part of the patterns, nested ones as text."""
+    def text(value):
+        return F.format_string("%.4f", value + F.lit(0.0))
+    top = F.array_join(F.transform("top_features", lambda x: F.concat(x["feature"], F.lit("="), text(x["value"]))), " ")
+    whole = F.concat_ws(" ", *[text(F.col("feature_signature")[d]) for d in DIMS])
+    return found.select("cluster_id", "size", "anomaly_score_mean", "anomaly_score_max", top.alias("top_features"), whole.alias("signature"), "ioc_hint")
+
+
+def scored_vectors(spark, sf):
+    return V.vectors(spark, sf).withColumn("anomaly_score", -F.abs("e0"))
+
+
+@query("dbscan", with_(PT, clustered(EPS), body="SELECT vec_id, CAST(cluster AS BIGINT) AS cluster FROM lab"))
 def _dbscan(spark, sf):
-    return N.dbscan(V.vectors(spark, sf, 4), DIMS, EPS, MIN_POINTS, "vec_id").withColumn("cluster", F.col("cluster").cast("long"))
+    return N.dbscan(V.vectors(spark, sf), DIMS, EPS, MIN_POINTS, "vec_id")
 
 
-@query("zero_day_patterns", with_(DB, "ag AS (SELECT cluster, count(*) AS size, " + ", ".join(f"round(avg({d}), 4) AS {d}" for d in DIMS) + " FROM lab JOIN pt USING (vec_id) WHERE cluster IS NOT NULL GROUP BY 1)",
-  body="SELECT 'ZD-001-' || lpad(CAST(cluster AS VARCHAR), 3, '0') AS cluster_id, size, " + ", ".join(DIMS) + " FROM ag"))
+@query("zero_day_patterns", with_(PT, clustered(EPS), patterns("pt"), body=PATTERN))
 def _zero_day_patterns(spark, sf):
-    v = V.vectors(spark, sf, 4)
-    labels = N.dbscan(v, DIMS, EPS, MIN_POINTS, "vec_id")
-    return N.cluster_patterns(v.join(labels, "vec_id"), DIMS).select("cluster_id", "size", *[F.col("feature_signature")[d].alias(d) for d in DIMS])
+    v = scored_vectors(spark, sf)
+    return pattern_rows(N.cluster_patterns(v.join(N.dbscan(v, DIMS, EPS, MIN_POINTS, "vec_id"), "vec_id"), DIMS))
 
 
-@query("zero_day_mining")
+@query("zero_day_mining", with_(MINED, clustered(MINED_EPS), patterns("raw"), body=PATTERN))
 def _zero_day_mining(spark, sf):
-    v = V.vectors(spark, sf, 4).withColumn("anomaly_score", -F.abs("e0"))
-    return N.mine_zero_days(v, DIMS, "vec_id", eps=0.6, min_samples=5, min_score=0.02).select(
-        "cluster_id", "size", "anomaly_score_mean", "anomaly_score_max", "ioc_hint")
+    return pattern_rows(N.mine_zero_days(scored_vectors(spark, sf), DIMS, "vec_id", eps=MINED_EPS, min_samples=MIN_POINTS, min_score=MINED_SCORE))
 
 
 @query("connected_components", """WITH RECURSIVE e AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS a, 'o' || CAST(o_orderkey AS VARCHAR) AS b FROM orders
@@ -130,10 +164,25 @@ def learnable(spark, sf):
 def _train_predict(spark, sf):
     rows = learnable(spark, sf)
     model = L.train_classifier(rows, V.FEATURES, k=4)
-    classes = L.train_classifier(rows, V.FEATURES, "class_id", mode="multiclass", k=4)
+    classes = L.train_classifier(rows, V.FEATURES, "class_id", mode="forest", k=4)
     return L.predict(model, rows, class_model=classes).select("rid", "pred_binary", rounded("confidence", 6).alias("confidence"), "attack_class")
 
 
+@query("multiclass_boosted")
+def _multiclass_boosted(spark, sf):
+    rows = learnable(spark, sf)
+    found = L.class_probabilities(L.train_classifier(rows, V.FEATURES, "class_id", mode="multiclass", k=4), rows)
+    shares = [rounded(F.col("class_probabilities")[c], 6).alias(f"p_{c}") for c in range(3)]
+    return found.select("rid", "class_id", "predicted", *shares)
+
+
+@query("combined_classifier")
+def _combined_classifier(spark, sf):
+    rows = learnable(spark, sf)
+    # the second dataset lacks a column, as datasets from two sources do
+    return L.train_combined([rows.where("l_suppkey % 4 > 0"), rows.where("l_suppkey % 4 = 0").drop("linenumber")], V.FEATURES, "rid", k=4)[1]
+
+
 @query("train_report")
 def _train_report(spark, sf):
     _, row, checks = L.train_report(learnable(spark, sf), V.FEATURES, "rid", "2017_binary", k=4)

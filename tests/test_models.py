@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from netlens.operators import mining as N
 from netlens.operators import ml as L
 from netlens.operators.anomaly import IsolationForest
+from netlens.operators.nearness import stars
 from netlens.operators.scoring import FlatEnsemble
 from netlens.operators.explain import global_importance
 from netlens.plans import views as V
@@ -55,8 +56,8 @@ def brute_dbscan(points, eps, least):
     return out
 
 
-@pytest.mark.parametrize("dims, cell_limit", [(2, 2000), (2, 5), (3, 10)])
-def test_dbscan_with_copies_and_dense_cells(spark, dims, cell_limit):
+@pytest.mark.parametrize("dims, block_rows", [(2, 2000), (3, 10)])
+def test_dbscan_with_copies_and_dense_spots(spark, dims, block_rows):
     rng = random.Random(dims)
     points = {}
     for i in range(140):
@@ -67,10 +68,32 @@ def test_dbscan_with_copies_and_dense_cells(spark, dims, cell_limit):
     for i in range(200, 230):  # one very dense spot
         points[i] = tuple(9 + rng.random() / 100 for _ in range(dims))
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in points.items()], "id int, " + ", ".join(f"x{d} double" for d in range(dims)))
-    got = {r["id"]: r["cluster"] for r in N.dbscan(df, [f"x{d}" for d in range(dims)], 0.4, 5, "id", cell_limit).collect()}
+    got = {r["id"]: r["cluster"] for r in N.dbscan(df, [f"x{d}" for d in range(dims)], 0.4, 5, "id", block_rows).collect()}
     assert got == brute_dbscan(points, 0.4, 5)
 
 
+def test_dbscan_in_many_dimensions_and_odd_rows(spark):
+    rng = np.random.default_rng(64)
+    points = {i: tuple(map(float, p)) for i, p in enumerate(rng.normal(size=(220, 64)).round(6))}
+    points[300], points[301] = (0.0,) * 64, (-0.0,) * 64
+    rows = [(i, *p) for i, p in points.items()] + [(400, None, *(0.0,) * 63), (401, float("nan"), *(0.0,) * 63), (402, *(float("inf"),) * 64)]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"x{d} double" for d in range(64)))
+    columns = [f"x{d}" for d in range(64)]
+    got = {r["id"]: r["cluster"] for r in N.dbscan(df, columns, 9.8, 4, "id", 30).collect()}
+    want = brute_dbscan(points, 9.8, 4)
+    assert got == {**want, 400: None, 401: None, 402: None} and len(set(want.values())) > 1
+    assert N.dbscan(df.limit(0), columns, 9.8, 4, "id").collect() == []
+
+
+def test_stars_are_the_connected_parts():
+    rng = np.random.default_rng(3)
+    for density in (0.01, 0.05, 0.5):
+        near = rng.random((40, 30)) < density
+        parts = brute_components([(int(i), 100 + int(j)) for i, j in zip(*np.nonzero(near))])
+        got = stars(near)
+        assert [int(v) for v in got] == [parts.get(i, -1) for i in [*range(40), *range(100, 130)]]
+
+
 def test_only_negative_scores_are_mined(spark):
     rows = [(i, -0.5, 100.0 + i % 3 * .1, 200.0 + i % 2 * .1) for i in range(6)] + [(i, 0.4, 1.0 + i % 3 * .1, 2.0) for i in range(6, 12)]
     df = spark.createDataFrame(rows, "id int, anomaly_score double, a double, b double")
@@ -168,6 +191,35 @@ def test_multiclass_names_the_class(fitted):
     assert "BENIGN" in names and names <= {"BENIGN", "DoS", "DDoS", "ATTACK"}
 
 
+def test_multiclass_boosters(spark, fitted, tmp_path):
+    """Shares against MLlib's own margins, held-out accuracy by plain SQL, and a saved model."""
+    rows, _ = fitted
+    test = rows.where("l_linenumber = 1")
+    model = L.train_classifier(rows.where("l_linenumber <> 1"), V.FEATURES, "class_id", mode="multiclass", k=4, **FAST)
+    assert sorted(L.class_boosters(model)) == [0, 1, 2]
+    found = L.class_probabilities(model, test).cache()
+    found.createOrReplaceTempView("found_classes")
+    right, least = spark.sql("SELECT avg(int(predicted = class_id)), min(recall) FROM found_classes JOIN (SELECT class_id AS c, avg(int(predicted = class_id)) AS recall FROM found_classes GROUP BY 1) ON c = class_id").first()
+    assert right > 0.95 and least > 0.8
+    own = model.transform(test.select("rid", *[F.col(c).cast("double").alias(c) for c in V.FEATURES]))
+    raw = {r["rid"]: [r[f"{L.CLASS_MARGIN}{c}__p"][1] for c in range(3)] for r in own.collect()}
+    for r in found.select("rid", "class_probabilities", "predicted").collect():
+        want = np.array(raw[r["rid"]]) / sum(raw[r["rid"]])
+        assert np.allclose([r["class_probabilities"][c] for c in range(3)], want, atol=1e-12) and r["predicted"] == int(want.argmax())
+    L.save_model(model, str(tmp_path / "classes"))
+    again = L.predict_class(L.load_model(str(tmp_path / "classes")), test).select("rid", "predicted")
+    assert sorted(again.collect()) == sorted(found.select("rid", "predicted").collect())
+
+
+def test_combined_classifier(spark, fitted):
+    rows, _ = fitted
+    large, small = rows.where("l_suppkey % 4 > 0"), rows.where("l_suppkey % 4 = 0").drop("linenumber")
+    model, metrics = L.train_combined([large, small, small.limit(0)], V.FEATURES, "rid", k=4, **FAST)
+    got = {r["experiment"]: r for r in metrics.collect()}
+    assert {"combined", "combined_0", "combined_1"} <= set(got)
+    assert got["combined_0"]["recall"] > 0.9 and got["combined_1"]["recall"] > 0.9
+
+
 def test_retrain_gate(spark, fitted, tmp_path):
     rows, strong = fitted
     from netlens.operators.cleaning import mistakes
