@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from netlens import tables as T
 from netlens.functions.lookup import lookup, rounded, severity_rank
-from netlens.ordered import Lag, Ordered, Running
+from netlens.ordered import Lag, Ordered, RowNumber, Running
 from netlens.scan import fold_rows, scan_rows
-from netlens.session import with_scalars
+from netlens.session import materialise, with_scalars
 
 
 def rate_limit(attack: Column) -> Column:
@@ -236,22 +236,71 @@ def dedup_step(last_us, row):
     return us, (True,)
 
 
+FOLDED_ROWS = 2_000
+
+
+def _folded(times: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _pos) of the alerts sent in short segments: one fold over each segment's sorted times."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("sent"))
+
+    def step(state: Column, row: Column) -> Column:
+        late = state["last"].isNull() | (row["_us"] - state["last"] >= T.ALERT_WINDOW_S * 1_000_000)
+        return F.when(late, F.struct(row["_us"].alias("last"), F.concat(state["sent"], F.array(row["_pos"])).alias("sent"))).otherwise(state)
+    lines = times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_us", "_pos"))).alias("_line"))
+    return lines.select(*keys, F.explode(F.aggregate("_line", start, step)["sent"]).alias("_pos"))
+
+
+def _jumped(times: DataFrame, keys: list[str], max_group: int | None) -> DataFrame:
+    """(keys, _pos) of the alerts sent in long segments, by pointer jumping.
+
+    Every alert points to the first one at least a window later: the one sent next, if
+    it is sent itself.  The first alert of a segment is sent; a round follows the
+    pointers of all alerts known to be sent, then doubles the length of the pointers.
+    So a segment with n sent alerts needs log2(n) rounds, all of them joins by position.
+    """
+    window = T.ALERT_WINDOW_S * 1_000_000
+    # newest first: the least position seen so far is the earliest alert not before the asked time
+    alerts = times.select(*keys, (-F.col("_us")).alias("_at"), F.lit(0).alias("_asked"), F.col("_pos").alias("_here"), F.lit(None).cast("int").alias("_pos"))
+    asked = times.select(*keys, (-F.col("_us") - window).alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast("int").alias("_here"), "_pos")
+    line = Ordered(alerts.unionByName(asked), keys, ["_at", "_asked"], max_group).add(_next=Running("min", "_here")).result()
+    jump = materialise(line.where("_asked = 1 AND _next IS NOT NULL").select(*keys, "_pos", "_next"), "jumps")
+    sent = times.groupBy(*keys).agg(F.min("_pos").alias("_pos"))
+    while not jump.isEmpty():
+        reached = sent.join(jump, [*keys, "_pos"]).select(*keys, F.col("_next").alias("_pos"))
+        sent = materialise(sent.unionByName(reached), "sent")
+        onward = jump.select(*keys, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jump = materialise(jump.join(onward, [*keys, "_next"]).select(*keys, "_pos", F.col("_far").alias("_next")), "jumps")
+    return sent
+
+
 def dedup_alerts(df: DataFrame, least: str = "LOW", max_group: int | None = None,
                  max_segment: int | None = None) -> DataFrame:
     """The alerts that are sent: greedy, one minute after the last *sent* one.
 
     A minute without any alert of a fingerprint surely ends suppression, so such
-    gaps split a fingerprint into independent segments.
+    gaps split a fingerprint into independent segments.  A segment shorter than a
+    minute sends its first alert; others are folded, or, beyond ``max_segment``
+    alerts, solved by pointer jumping.  Only fingerprints, times and positions take part;
+    whole rows are joined back once.  Alerts without a time are all sent; of alerts
+    with equal times and ids any one may stand first.
     """
+    window = T.ALERT_WINDOW_S * 1_000_000
     base = min_severity(df, least).withColumns({
         "fingerprint": fingerprint(F.col("attack_type"), F.col("src_ip"), F.col("severity")),
         "_us": F.unix_micros("ts")})
-    seq = Ordered(base, ["fingerprint"], ["_us", "event_id"], max_group).add(_prev=Lag("_us"))
-    gap = F.col("_us") - F.col("_prev") >= T.ALERT_WINDOW_S * 1_000_000
+    seq = Ordered(base, ["fingerprint"], ["_us", "event_id"], max_group).add(_prev=Lag("_us"), _pos=RowNumber())
+    gap = F.col("_us") - F.col("_prev") >= window
     seq = seq.with_columns({"_new": F.coalesce(gap, F.lit(True)).cast("int")}).add(_segment=Running("sum", "_new"))
-    out = scan_rows(seq.result().drop("_prev", "_new"), ["fingerprint", "_segment"], ["_us", "event_id"],
-                    ["_us"], dedup_step, "_sent boolean", max_segment, seq.largest)
-    return out.where("_sent").drop("_sent", "_segment", "_us")
+    rows = materialise(seq.result().drop("_prev"), "alerts")
+    keys = ["fingerprint", "_segment"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max("_us") - F.min("_us")).alias("_span"))
+    times = rows.select(*keys, "_us", "_pos").join(sizes.where(F.col("_span") >= window).drop("_span"), keys)
+    limit = FOLDED_ROWS if max_segment is None else max_segment
+    sent = rows.where("_new = 1").select(*keys, "_pos").unionByName(_folded(times.where(F.col("_n") <= limit), keys))
+    long = times.where(F.col("_n") > limit).drop("_n")
+    if not long.isEmpty():
+        sent = sent.unionByName(_jumped(materialise(long, "long"), keys, max_group))
+    return rows.join(sent, [*keys, "_pos"], "left_semi").select(*[c for c in df.columns if c != "fingerprint"], "fingerprint")
 
 
 def alert_messages(df: DataFrame, product: str = "netlens") -> DataFrame:

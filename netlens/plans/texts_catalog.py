@@ -12,7 +12,7 @@ from netlens.operators import signatures as G
 from netlens.plans import views as V
 from netlens.plans.detections_catalog import REPORTS, url_reports
 from netlens.session import spread
-from netlens.plans.registry import MITRE, SEV, joined, lit, query, values, with_
+from netlens.plans.registry import MITRE, SEV, joined, lit, query, with_
 
 TEXTS = """txt AS (SELECT 'page' AS src, page_id AS id, html AS t FROM pages UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations
   UNION ALL SELECT 'doc', doc_id, text FROM documents)"""
@@ -81,27 +81,19 @@ def _url_signatures(spark, sf):
     return G.match_url(urls(spark, sf), "u").select("page_id", *COLUMNS)
 
 
-HEADER_CASES = {
-    "click": [("User-Agent", "Mozilla/5.0 (X11; Linux x86_64)"), ("Cookie", "sessionid=abc")],
-    "error": [("Accept", "*/*"), ("Authorization", "Basic dXNlcjpwYXNz")],
-    "purchase": [("Referer", "http://x/?q=<script>alert(1)</script>"), ("Authorization", "Basic dXNlcjpwYXNz")],
-    "view": [("User-Agent", "curl | sh"), ("Cookie", "a=1' OR 1=1")],
-    "signup": [("X-Forwarded-For", "10.0.0.1"), ("Authorization", "Bearer x")],
-}
-HEADER_ROWS = values("hdr", "kind, pos, hname, v", [(k, i, n, v) for k, hs in HEADER_CASES.items() for i, (n, v) in enumerate(hs)])
+# every text of the tables stands in a header of its row's request
+SCANNED = f"CASE {families('t', ['SQLInjection', 'XSS', 'CommandInject'])} END"
 
 
-@query("header_signatures", with_(HEADER_ROWS, SEV, MITRE, f"""one AS (SELECT kind, pos, CASE WHEN lower(hname) = 'authorization' THEN CASE {whens('v', 'BruteForce', T.BASIC_AUTH_PATTERNS)} END
-  WHEN lower(hname) IN ('user-agent', 'referer', 'x-forwarded-for', 'cookie') THEN CASE {families('v', ['SQLInjection', 'XSS', 'CommandInject'])} END END AS r FROM hdr),
-  hit AS (SELECT event_id, (SELECT r FROM one WHERE kind = event_type AND r IS NOT NULL ORDER BY pos LIMIT 1) AS r FROM events)""",
-  body=f"SELECT event_id, {DETECTION} FROM hit {DETECTION_FROM}"))
+@query("header_signatures", with_(TEXTS, SEV, MITRE, f"""hit AS (SELECT src, id, CASE WHEN src = 'doc' THEN coalesce(CASE {whens('t', 'BruteForce', T.BASIC_AUTH_PATTERNS)} END, {SCANNED}) ELSE {SCANNED} END AS r FROM txt)""",
+  body=f"SELECT src, id, {DETECTION} FROM hit {DETECTION_FROM}"))
 def _header_signatures(spark, sf):
-    e, kind = V.load(spark, sf, "events"), F.col("event_type")
-    headers = None
-    for k, pairs in HEADER_CASES.items():
-        made = F.create_map(*[F.lit(x) for p in pairs for x in p])
-        headers = F.when(kind == k, made) if headers is None else headers.when(kind == k, made)
-    return G.match_headers(e.select("event_id", headers.alias("headers")), "headers").select("event_id", *COLUMNS)
+    src, text = F.col("src"), F.col("t")
+    # a page refers, a turn is sent by an agent, a document comes with credentials and a cookie; other names are not scanned
+    headers = F.when(src == "page", F.create_map(F.lit("Accept"), text, F.lit("Referer"), text)).when(
+        src == "turn", F.create_map(F.lit("Host"), text, F.lit("User-Agent"), text)).otherwise(
+            F.create_map(F.lit("Authorization"), text, F.lit("Cookie"), text))
+    return G.match_headers(spread(texts(spark, sf)).withColumn("headers", headers), "headers").select("src", "id", *COLUMNS)
 
 
 NL = "chr(13) || chr(10)"

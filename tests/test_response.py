@@ -149,6 +149,24 @@ def test_alerts_brute_force_and_hot_path(storm):
         assert [r[0] for r in ordered(R.dedup_alerts(storm, **options), "event_id")] == expected
 
 
+def test_alert_flood_of_one_fingerprint(spark):
+    """A chain of some hundred sent alerts, all in one segment, with equal times; alerts without a time are all sent."""
+    rng = random.Random(11)
+    rows, t = [], 0.0
+    for _ in range(1500):
+        t += rng.choice([0, 0.5, 1, 20, 30, 59.99])
+        rows.append((round(t, 2), "9.9.9.9", "DDoS", rng.random()))
+    flood = events(spark, rows)
+    expected = brute_alerts(flood)
+    assert len(expected) > 250
+    for options in ({}, {"max_segment": 10}, {"max_segment": 10, "max_group": 200}):
+        assert [r[0] for r in ordered(R.dedup_alerts(flood, **options), "event_id")] == expected
+    odd = flood.limit(3).withColumn("ts", F.lit(None).cast("timestamp")).withColumn("fingerprint", F.lit("own"))
+    got = R.dedup_alerts(odd)
+    assert got.count() == 3 and got.columns.count("fingerprint") == 1
+    assert R.dedup_alerts(flood.limit(0)).collect() == []
+
+
 def test_min_severity(spark):
     df = spark.createDataFrame([("INFO",), ("LOW",), ("CRITICAL",), ("odd",)], "severity string")
     assert sorted(r[0] for r in R.min_severity(df).collect()) == ["CRITICAL", "LOW"]
