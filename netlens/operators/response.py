@@ -190,8 +190,10 @@ def _marked_by_interval(df: DataFrame, spans: DataFrame, key: str, flag: str, ma
     Interval starts and rows are merged into one time line per key and the latest
     end seen so far is carried along, so no row is paired with many intervals.
     A row without a key is in no interval, and an interval without one holds no row.
+    The intervals are written once, as the merged line is read for its sizes too.
     """
     forever = F.lit(2 ** 62)
+    spans = materialise(spans, "spans")
     keyless = df.where(F.col(key).isNull()).withColumn(flag, F.lit(False))
     rows = df.where(F.col(key).isNotNull()).withColumns({"_us": F.unix_micros("ts"), "_side": F.lit(1), "_end": F.lit(None).cast("long")})
     starts = spans.where(F.col(key).isNotNull()).select(F.col(key), F.col("start_us").alias("_us"), F.lit(0).alias("_side"),
