@@ -244,7 +244,7 @@ def test_experiments(spark, fitted):
     assert L.selected_features(light) == ["bytes_per_pkt", "psh_flag_count"]
 
 
-@pytest.mark.parametrize("query", ["train_predict", "train_report", "cross_dataset", "retrain_gate", "contributions"])
+@pytest.mark.parametrize("query", ["train_predict", "train_report", "cross_dataset", "retrain_gate", "contributions", "multiclass_boosted", "combined_classifier"])
 def test_queries_train_with_the_defaults(spark, sf, monkeypatch, query):
     asked, small, wanted = [], L.train_classifier, inspect.signature(L.train_classifier)
     def train(*args, **options):
