@@ -6,15 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netlens import tables as T
-from netlens.functions.lookup import lookup, rounded, severity_rank
+from netlens.functions.lookup import lookup, severity_rank
+from netlens.operators.buckets import bucket_status, rate_limit, token_bucket  # noqa: F401
 from netlens.ordered import Lag, Ordered, RowNumber, Running
-from netlens.scan import fold_rows, scan_rows
-from netlens.session import materialise, with_scalars
-
-
-def rate_limit(attack: Column) -> Column:
-    """Allowed requests per second of an attack type."""
-    return lookup(T.RATE_LIMITS, attack, T.RATE_DEFAULT)
+from netlens.session import materialise
 
 
 def decide_response(df: DataFrame) -> DataFrame:
@@ -40,73 +35,47 @@ def decide_response(df: DataFrame) -> DataFrame:
     })
 
 
-# --- token bucket -----------------------------------------------------------
+# --- rows that hold for a while and silence others ---
 
-def bucket_step(state, row):
-    """One request or control event against a bucket.
+FOLDED_ROWS = 2_000
+#: The end of a block that is never lifted by time.
+FOREVER_US = 2 ** 62
 
-    ``state`` is None or (rate, tokens, last_us); ``row`` is (us, kind, limit).
-    Returns (new state, (allowed, tokens, rate, wait seconds)).
-    """
-    us, kind, limit = row
-    if state is not None and us - state[2] > T.RATE_IDLE_EVICT_S * 1_000_000:
-        state = None
-    if kind == "reset":
-        return None, (None, None, None, None)
-    if state is None:
-        rate, tokens, last = limit, limit * T.RATE_BURST, us
-    else:
-        rate, tokens, last = state
-        if kind == "throttle" or limit < rate:
-            rate = limit
-    if kind == "throttle":
-        # the override changes rate and capacity; tokens are refilled at the next request
-        return (rate, tokens, last), (None, tokens, rate, None)
-    tokens = min(rate * T.RATE_BURST, tokens + (us - last) / 1e6 * rate)
-    if tokens >= 1.0:
-        tokens -= 1.0
-        return (rate, tokens, us), (True, tokens, rate, 0.0)
-    return (rate, tokens, us), (False, tokens, rate, (1.0 - tokens) / rate)
-
-
-def token_bucket(df: DataFrame, key: str = "src_ip", max_group: int | None = None,
-                 max_segment: int | None = None) -> DataFrame:
-    """allowed, tokens_remaining, bucket_rps and wait_s of every request in time order.
 
-    Inputs: key, ts, event_id, attack_type; optional ``kind`` ('request',
-    'throttle', 'reset') and ``rate_rps`` for control events.  A bucket idle for
-    more than five minutes is forgotten, so such gaps split a key into independent
-    segments; segments are spread over tasks and only very long ones are chunked.
+def _folded(times: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _pos) of the rows that hold in short segments: one fold over each segment's sorted times.
+
+    A row at ``_us`` holds if the one that held last ended, at its ``_until``, no later.
     """
-    kind = F.coalesce(F.col("kind"), F.lit("request")) if "kind" in df.columns else F.lit("request")
-    forced = F.coalesce(F.col("rate_rps"), F.lit(T.RATE_FORCED)) if "rate_rps" in df.columns else F.lit(T.RATE_FORCED)
-    base = df.select("event_id", "ts", key, "attack_type", F.unix_micros("ts").alias("_us"), kind.alias("kind"),
-                     F.when(kind == "throttle", forced).otherwise(rate_limit(F.col("attack_type"))).alias("limit_rps"))
-    seq = Ordered(base, [key], ["ts", "event_id"], max_group).add(_prev=Lag("_us"))
-    gap = F.col("_us") - F.col("_prev") > T.RATE_IDLE_EVICT_S * 1_000_000
-    seq = seq.with_columns({"_new": F.coalesce(gap, F.lit(True)).cast("int")}).add(_segment=Running("sum", "_new"))
-    out = scan_rows(seq.result().drop("_prev", "_new"), [key, "_segment"], ["_us", "event_id"],
-                    ["_us", "kind", "limit_rps"], bucket_step,
-                    "allowed boolean, tokens_remaining double, bucket_rps double, wait_s double", max_segment, seq.largest)
-    return out.drop("_segment", "_us")
+    start = F.struct(F.lit(None).cast("long").alias("until"), F.array().cast("array<int>").alias("held"))
+
+    def step(state: Column, row: Column) -> Column:
+        free = state["until"].isNull() | (row["_us"] >= state["until"])
+        return F.when(free, F.struct(row["_until"].alias("until"), F.concat(state["held"], F.array(row["_pos"])).alias("held"))).otherwise(state)
+    lines = times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_us", "_pos", "_until"))).alias("_line"))
+    return lines.select(*keys, F.explode(F.aggregate("_line", start, step)["held"]).alias("_pos"))
 
 
-def bucket_status(buckets: DataFrame, at_us: int | None = None, key: str = "src_ip") -> DataFrame:
-    """Last known bucket of each key; idle and reset ones are left out.
+def _jumped(times: DataFrame, keys: list[str], max_group: int | None) -> DataFrame:
+    """(keys, _pos) of the rows that hold in long segments, by pointer jumping.
 
-    ``at_us`` defaults to the newest event.
+    Every row points to the first one at or after its ``_until``: the one that holds next, if
+    it holds itself.  The first row of a segment holds; a round follows the pointers
+    of all rows known to hold, then doubles the length of the pointers.  So a
+    segment with n such rows needs log2(n) rounds, all of them joins by position.
     """
-    us = F.unix_micros("ts")
-    last = buckets.groupBy(key).agg(F.max_by(
-        F.struct("kind", us.alias("us"), "tokens_remaining", "bucket_rps"), F.struct("ts", "event_id")).alias("b"))
-    if at_us is None:
-        last = with_scalars(last, buckets.agg(F.max(us).alias("_at")))
-    else:
-        last = last.withColumn("_at", F.lit(at_us))
-    live = (F.col("b.kind") != "reset") & (F.col("_at") - F.col("b.us") <= T.RATE_IDLE_EVICT_S * 1_000_000)
-    return last.where(live).select(
-        key, F.col("b.bucket_rps").alias("rate_rps"), (F.col("b.bucket_rps") * T.RATE_BURST).alias("capacity"),
-        rounded("b.tokens_remaining", 3).alias("tokens"))
+    # newest first: the least position seen so far is the earliest alert not before the asked time
+    alerts = times.select(*keys, (-F.col("_us")).alias("_at"), F.lit(0).alias("_asked"), F.col("_pos").alias("_here"), F.lit(None).cast("int").alias("_pos"))
+    asked = times.select(*keys, (-F.col("_until")).alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast("int").alias("_here"), "_pos")
+    line = Ordered(alerts.unionByName(asked), keys, ["_at", "_asked"], max_group).add(_next=Running("min", "_here")).result()
+    jump = materialise(line.where("_asked = 1 AND _next IS NOT NULL").select(*keys, "_pos", "_next"), "jumps")
+    sent = times.groupBy(*keys).agg(F.min("_pos").alias("_pos"))
+    while not jump.isEmpty():
+        reached = sent.join(jump, [*keys, "_pos"]).select(*keys, F.col("_next").alias("_pos"))
+        sent = materialise(sent.unionByName(reached), "sent")
+        onward = jump.select(*keys, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jump = materialise(jump.join(onward, [*keys, "_next"]).select(*keys, "_pos", F.col("_far").alias("_next")), "jumps")
+    return sent
 
 
 # --- block ledger -----------------------------------------------------------
@@ -132,6 +101,17 @@ def ledger_step(state, row):
     return state, closed
 
 
+def asked_blocks(df: DataFrame, own_ips: list[str] | None = None, *more: str) -> DataFrame:
+    """(src_ip, event_id, _us, kind, seconds, reason) of block and unblock requests; own addresses are refused."""
+    kind = F.coalesce(F.col("kind"), F.lit("block")) if "kind" in df.columns else F.lit("block")
+    asked = df.withColumn("_kind", kind).where((F.col("_kind") == "unblock") | F.col("block_seconds").isNotNull())
+    if own_ips:
+        asked = asked.where(~F.col("src_ip").isin(own_ips))
+    reason = F.col("block_reason") if "block_reason" in df.columns else F.lit("unspecified")
+    return asked.select("src_ip", "event_id", F.unix_micros("ts").alias("_us"), F.col("_kind").alias("kind"),
+                        F.coalesce(F.col("block_seconds"), F.lit(0)).cast("long").alias("seconds"), reason.alias("reason"), *more)
+
+
 def block_ledger(df: DataFrame, own_ips: list[str] | None = None, max_group: int | None = None,
                  max_segment: int | None = None) -> DataFrame:
     """Block intervals (src_ip, blocked_at, expires_at, reason) from decisions.
@@ -139,35 +119,42 @@ def block_ledger(df: DataFrame, own_ips: list[str] | None = None, max_group: int
     Own addresses are refused.  A request on a blocked address changes nothing,
     except that a permanent one makes the block permanent.  An optional ``kind``
     column marks 'unblock' rows.  expires_at is NULL for a permanent block.
+    Requests without an address or a time are left out; an empty table gives no rows.
 
-    The longest timed block is a day, so a day without any request, or an unblock,
-    leaves a clean state: such points split an address into independent segments.
+    A gap as long as the longest block so far, or an unblock, leaves a clean state: such
+    points split an address into segments.  The requests of a segment that begin a block
+    are folded, or, beyond ``max_segment`` requests, found by pointer jumping.
     """
-    kind = F.coalesce(F.col("kind"), F.lit("block")) if "kind" in df.columns else F.lit("block")
-    asked = df.withColumn("_kind", kind).where((F.col("_kind") == "unblock") | F.col("block_seconds").isNotNull())
-    if own_ips:
-        asked = asked.where(~F.col("src_ip").isin(own_ips))
-    reason = F.col("block_reason") if "block_reason" in df.columns else F.lit("unspecified")
-    at = F.struct("_us", "event_id")
-    base = asked.select("src_ip", "event_id", F.unix_micros("ts").alias("_us"), F.col("_kind").alias("kind"),
-                        F.coalesce(F.col("block_seconds"), F.lit(0)).cast("long").alias("seconds"), reason.alias("reason"))
-    lifts = F.col("kind") == "unblock"
+    limit = FOLDED_ROWS if max_segment is None else max_segment
+    base = asked_blocks(df, own_ips).where("src_ip IS NOT NULL AND _us IS NOT NULL")
+    at, lifts = F.struct("_us", "event_id"), F.col("kind") == "unblock"
     base = base.withColumns({"_lift_at": F.when(lifts, at), "_forever_at": F.when(~lifts & (F.col("seconds") == 0), at)})
     seq = Ordered(base, ["src_ip"], ["_us", "event_id"], max_group).add(
         _prev=Lag("_us"), _prev_kind=Lag("kind"), _longest=Running("max", "seconds", inclusive=False),
-        _lifted=Running("max", "_lift_at", inclusive=False), _forever=Running("max", "_forever_at", inclusive=False))
+        _lifted=Running("max", "_lift_at", inclusive=False), _forever=Running("max", "_forever_at", inclusive=False), _pos=RowNumber())
     # nothing but an unblock matters once a block is permanent
     settled = F.col("_forever").isNotNull() & (F.col("_lifted").isNull() | (F.col("_forever") > F.col("_lifted")))
     fresh = (F.col("_prev").isNull() | (F.col("_prev_kind") == "unblock")
              | (F.col("_us") - F.col("_prev") >= F.col("_longest") * 1_000_000))
-    seq = seq.where(lifts | ~settled).with_columns({"_new": (~lifts & fresh).cast("int")}).add(
-        _segment=Running("sum", "_new"))
-    blocks = fold_rows(
-        seq.result().select("src_ip", "_segment", "_us", "event_id", "kind", "seconds", "reason"),
-        ["src_ip", "_segment"], ["_us", "event_id"], ["_us", "kind", "seconds", "reason"],
-        ledger_step, lambda state: state, "blocked_us long, expires_us long, reason string", max_segment, seq.largest)
-    return blocks.select("src_ip", F.timestamp_micros("blocked_us").alias("blocked_at"),
-                         F.timestamp_micros("expires_us").alias("expires_at"), "reason")
+    seq = seq.where(lifts | ~settled).with_columns({"_new": (~lifts & fresh).cast("int")}).add(_segment=Running("sum", "_new"))
+    until = F.when(lifts | (F.col("seconds") == 0), F.lit(FOREVER_US)).otherwise(F.col("_us") + F.col("seconds") * 1_000_000)
+    rows = materialise(seq.result().select("src_ip", "_segment", "_pos", "_us", "kind", "seconds", "reason", until.alias("_until")), "blocks")
+    keys = ["src_ip", "_segment"]
+    asked = rows.where(~lifts)
+    # a segment has at most one permanent request, its last, and no request after an unblock
+    sizes = rows.groupBy(*keys).agg(F.count_if(~lifts).alias("_n"), F.min(F.when(lifts, F.col("_us"))).alias("_lift"),
+                                    F.max(F.when(~lifts & (F.col("seconds") == 0), F.col("_us"))).alias("_sealed"))
+    times = asked.join(sizes.select(*keys, "_n"), keys).select(*keys, "_n", "_us", "_until", "_pos")
+    begun = _folded(times.where(F.col("_n") <= limit), keys)
+    long = times.where(F.col("_n") > limit).drop("_n")
+    if not long.isEmpty():
+        begun = begun.unionByName(_jumped(materialise(long, "long"), keys, max_group))
+    blocks = asked.join(begun, [*keys, "_pos"], "left_semi").join(sizes, keys)
+    # equal times: the permanent request comes last, so it falls in every block that begins then
+    end = F.when(F.col("_sealed") < F.col("_until"), F.lit(FOREVER_US)).otherwise(F.col("_until"))
+    end = F.least(end, F.coalesce("_lift", F.lit(FOREVER_US)))
+    return blocks.select("src_ip", F.timestamp_micros("_us").alias("blocked_at"),
+                         F.timestamp_micros(F.nullif(end, F.lit(FOREVER_US))).alias("expires_at"), "reason")
 
 
 def permanent_ips(ledger: DataFrame) -> DataFrame:
@@ -238,43 +225,6 @@ def dedup_step(last_us, row):
     return us, (True,)
 
 
-FOLDED_ROWS = 2_000
-
-
-def _folded(times: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, _pos) of the alerts sent in short segments: one fold over each segment's sorted times."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("sent"))
-
-    def step(state: Column, row: Column) -> Column:
-        late = state["last"].isNull() | (row["_us"] - state["last"] >= T.ALERT_WINDOW_S * 1_000_000)
-        return F.when(late, F.struct(row["_us"].alias("last"), F.concat(state["sent"], F.array(row["_pos"])).alias("sent"))).otherwise(state)
-    lines = times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_us", "_pos"))).alias("_line"))
-    return lines.select(*keys, F.explode(F.aggregate("_line", start, step)["sent"]).alias("_pos"))
-
-
-def _jumped(times: DataFrame, keys: list[str], max_group: int | None) -> DataFrame:
-    """(keys, _pos) of the alerts sent in long segments, by pointer jumping.
-
-    Every alert points to the first one at least a window later: the one sent next, if
-    it is sent itself.  The first alert of a segment is sent; a round follows the
-    pointers of all alerts known to be sent, then doubles the length of the pointers.
-    So a segment with n sent alerts needs log2(n) rounds, all of them joins by position.
-    """
-    window = T.ALERT_WINDOW_S * 1_000_000
-    # newest first: the least position seen so far is the earliest alert not before the asked time
-    alerts = times.select(*keys, (-F.col("_us")).alias("_at"), F.lit(0).alias("_asked"), F.col("_pos").alias("_here"), F.lit(None).cast("int").alias("_pos"))
-    asked = times.select(*keys, (-F.col("_us") - window).alias("_at"), F.lit(1).alias("_asked"), F.lit(None).cast("int").alias("_here"), "_pos")
-    line = Ordered(alerts.unionByName(asked), keys, ["_at", "_asked"], max_group).add(_next=Running("min", "_here")).result()
-    jump = materialise(line.where("_asked = 1 AND _next IS NOT NULL").select(*keys, "_pos", "_next"), "jumps")
-    sent = times.groupBy(*keys).agg(F.min("_pos").alias("_pos"))
-    while not jump.isEmpty():
-        reached = sent.join(jump, [*keys, "_pos"]).select(*keys, F.col("_next").alias("_pos"))
-        sent = materialise(sent.unionByName(reached), "sent")
-        onward = jump.select(*keys, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
-        jump = materialise(jump.join(onward, [*keys, "_next"]).select(*keys, "_pos", F.col("_far").alias("_next")), "jumps")
-    return sent
-
-
 def dedup_alerts(df: DataFrame, least: str = "LOW", max_group: int | None = None,
                  max_segment: int | None = None) -> DataFrame:
     """The alerts that are sent: greedy, one minute after the last *sent* one.
@@ -296,7 +246,7 @@ def dedup_alerts(df: DataFrame, least: str = "LOW", max_group: int | None = None
     rows = materialise(seq.result().drop("_prev"), "alerts")
     keys = ["fingerprint", "_segment"]
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), (F.max("_us") - F.min("_us")).alias("_span"))
-    times = rows.select(*keys, "_us", "_pos").join(sizes.where(F.col("_span") >= window).drop("_span"), keys)
+    times = rows.select(*keys, "_us", (F.col("_us") + window).alias("_until"), "_pos").join(sizes.where(F.col("_span") >= window).drop("_span"), keys)
     limit = FOLDED_ROWS if max_segment is None else max_segment
     sent = rows.where("_new = 1").select(*keys, "_pos").unionByName(_folded(times.where(F.col("_n") <= limit), keys))
     long = times.where(F.col("_n") > limit).drop("_n")

@@ -315,9 +315,21 @@ def _bucket_status(spark, sf):
     return R.bucket_status(R.token_bucket(annotated(spark, sf)))
 
 
-@query("token_bucket_control")
+# every tenth event throttles its source, every fiftieth resets it; whole numbers, as a millionth of a millionth of a token
+CONTROL = """ord AS (SELECT event_id, us, src_ip, kind, CASE kind WHEN 'throttle' THEN 100000 ELSE CAST(rps * 1000000 AS BIGINT) END AS lim, row_number() OVER (PARTITION BY src_ip ORDER BY us, event_id) AS i
+  FROM (SELECT *, CASE WHEN event_id % 50 = 0 THEN 'reset' WHEN event_id % 10 = 0 THEN 'throttle' ELSE 'request' END AS kind FROM dec) k),
+ctl AS (SELECT event_id, src_ip, kind, i, us, us AS filled, kind <> 'reset' AS live, lim AS rate, lim * 3000000 AS before,
+  CASE WHEN kind = 'request' AND lim * 3000000 >= 1000000000000 THEN lim * 3000000 - 1000000000000 ELSE lim * 3000000 END AS tokens FROM ord WHERE i = 1
+ UNION ALL SELECT o.event_id, o.src_ip, o.kind, o.i, o.us, CASE WHEN x.fresh OR o.kind = 'request' THEN o.us ELSE c.filled END, o.kind <> 'reset', x.rate, y.before,
+  CASE WHEN o.kind = 'request' AND y.before >= 1000000000000 THEN y.before - 1000000000000 ELSE y.before END
+ FROM ctl c JOIN ord o ON o.src_ip = c.src_ip AND o.i = c.i + 1,
+  LATERAL (SELECT NOT c.live OR o.us - c.us > 300000000 AS fresh, CASE WHEN NOT c.live OR o.us - c.us > 300000000 OR o.kind = 'throttle' THEN o.lim ELSE least(o.lim, c.rate) END AS rate) x,
+  LATERAL (SELECT CASE WHEN x.fresh THEN o.lim * 3000000 WHEN o.kind = 'request' THEN least(x.rate * 3000000, c.tokens + least(o.us - c.filled, 3000000) * x.rate) ELSE c.tokens END AS before) y)"""
+
+
+@query("token_bucket_control", with_(*BASE, BLOCKS, LIMITS, DECIDED, CONTROL, body="""SELECT event_id, kind, CASE WHEN kind = 'request' THEN before >= 1000000000000 END AS allowed,
+  CASE WHEN kind <> 'reset' THEN rate / 1e6 END AS bucket_rps, CASE WHEN kind <> 'reset' THEN round(tokens / 1e12, 3) END AS tokens_remaining FROM ctl"""))
 def _token_bucket_control(spark, sf):
-    # every tenth event throttles its source, every fiftieth resets it; checked in the tests
     a = annotated(spark, sf).withColumn("kind", F.when(F.col("event_id") % 50 == 0, "reset").when(F.col("event_id") % 10 == 0, "throttle").otherwise("request"))
     return R.token_bucket(a).select("event_id", "kind", "allowed", "bucket_rps", rounded("tokens_remaining", 3).alias("tokens_remaining"))
 

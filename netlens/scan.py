@@ -1,8 +1,7 @@
 """State machines over sorted sequences.
 
-Some rules depend on every earlier decision (token buckets, greedy alert
-suppression, block extension) and have no closed window form.  They are run as
-a ``step(state, row) -> (state, output)`` function over sequences that the caller
+Some rules depend on every earlier decision (the closing of a connection) and have
+no closed window form.  They are run as a ``step(state, row) -> (state, output)`` function over sequences that the caller
 has already cut at points where the state is known.  Rows are shuffled by
 sequence, sorted by Spark and streamed in Arrow batches: a task keeps one state,
 never a group.
@@ -57,16 +56,6 @@ def _stream(batches, keys, inputs, step, collect, finish, start):
         yield collect(None, [(None, current, finish(current, state))])
 
 
-def _row_collector(out_names):
-    def collect(pdf, outputs):
-        if pdf is None:
-            return None
-        values = [out for is_row, _, out in outputs if is_row]
-        return pdf.assign(**{n: pd.Series([v[i] for v in values], index=pdf.index, dtype=object)
-                             for i, n in enumerate(out_names)})
-    return collect
-
-
 def _fold_collector(keys, out_names):
     names = [*keys, *out_names]
 
@@ -156,19 +145,6 @@ def _scan(df, keys, order, inputs, step, finish, schema, collector, max_segment,
     return cold.unionByName(hot)
 
 
-def scan_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable,
-              out_schema: str, max_segment: int | None = None, at_most: int | None = None) -> DataFrame:
-    """Every row with the columns ``step`` returns for it.
-
-    ``at_most`` is a known bound on the length of a sequence; it saves a count.
-    """
-    out = _parse_datatype_string(out_schema)
-    schema = StructType(df.schema.fields + out.fields)
-    names = out.names
-    return _scan(df, keys, order, inputs, step, lambda key, state: None, schema,
-                 lambda ids: _row_collector(names), max_segment, at_most)
-
-
 def fold_rows(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable,
               finish: Callable, out_schema: str, max_segment: int | None = None, at_most: int | None = None) -> DataFrame:
     """The rows ``step`` and, at the end of a sequence, ``finish`` return."""

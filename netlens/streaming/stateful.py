@@ -1,7 +1,9 @@
 """Keyed state machines on a stream, with the step functions of the batch operators.
 
 Rows of a key have to arrive in time order across micro-batches; within one they
-are sorted.  State is one small JSON value per key.
+are sorted.  State is one small JSON value per key.  Where the rules let a key be
+forgotten, an event-time timer removes its state; rows older than the watermark
+are dropped then, and rows without a time always.
 """
 
 from __future__ import annotations
@@ -13,78 +15,103 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from netlens import tables as T
-from netlens.operators.response import bucket_step, dedup_step, fingerprint, ledger_step, min_severity, rate_limit
+from netlens.operators.buckets import IDLE_US, asked_events, bucket_step, readable
+from netlens.operators.response import asked_blocks, dedup_step, fingerprint, ledger_step, min_severity
+
+
+#: How late a row may be where state is removed by timers.
+LATENESS = "1 minute"
 
 
 def scan_stream(stream: DataFrame, keys: list[str], order: list[str], inputs: list[str], step: Callable, out_schema: str,
-                changes: bool = False) -> DataFrame:
+                changes: bool = False, until: Callable | None = None, lateness: str = LATENESS) -> DataFrame:
     """``step`` over every key of a stream.
 
     Rows keep their columns and get those of ``step``.  With ``changes`` the output
-    is instead the key and the state after every row that changed it.
+    is instead the key, a rising ``version`` and the state after every row that changed it,
+    or the last state of what the row has ended.  ``until(state)`` is the time in microseconds
+    after which a state no longer matters, or None.
     """
     out = _parse_datatype_string(out_schema)
     names = out.names
-    schema = StructType([stream.schema[k] for k in keys] + out.fields) if changes else StructType(stream.schema.fields + out.fields)
+    head = [stream.schema[k] for k in keys] + [StructField("version", LongType())]
+    schema = StructType(head + out.fields) if changes else StructType(stream.schema.fields + out.fields)
 
     def run(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable").reset_index(drop=True)
-        current = json.loads(state.get[0]) if state.exists else None
+        version, current = json.loads(state.get[0]) if state.exists else (0, None)
         current = tuple(current) if isinstance(current, list) else current
         rows = []
         for values in zip(*[pdf[c].tolist() for c in inputs]):
             before = current
             current, result = step(current, values)
-            if changes:
-                if current != before and current is not None:
-                    rows.append((*key, *current))
-                if result is not None:
-                    rows.append((*key, *result))
-            else:
+            if not changes:
                 rows.append(result)
-        state.update((json.dumps(current),))
+                continue
+            # what has ended comes before what has begun
+            for row in ([] if result is None else [result]) + ([current] if current not in (before, None) else []):
+                version += 1
+                rows.append((*key, version, *row))
+        end = None if until is None or current is None else until(current)
+        if until is not None and (current is None or (end is not None and end // 1000 + 1 <= state.getCurrentWatermarkMs())):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((json.dumps((version, current)),))
+            if end is not None:
+                state.setTimeoutTimestamp(end // 1000 + 1)
         if changes:
             yield pd.DataFrame(rows, columns=schema.names, dtype=object)
         else:
             yield pdf.assign(**{n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    if until is None:
+        timer = GroupStateTimeout.NoTimeout
+    else:
+        stream, timer = stream.where("ts IS NOT NULL").withWatermark("ts", lateness), GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", timer)
 
 
-def stream_token_bucket(stream: DataFrame, key: str = "src_ip") -> DataFrame:
-    base = stream.select("event_id", "ts", key, "attack_type", F.unix_micros("ts").alias("_us"),
-                         F.lit("request").alias("kind"), rate_limit(F.col("attack_type")).alias("limit_rps"))
-    return scan_stream(base, [key], ["_us", "event_id"], ["_us", "kind", "limit_rps"], bucket_step,
-                       "allowed boolean, tokens_remaining double, bucket_rps double, wait_s double").drop("_us")
+def stream_token_bucket(stream: DataFrame, key: str = "src_ip", lateness: str = LATENESS) -> DataFrame:
+    """The batch operator's rows; control events come as rows of the stream, idle buckets are forgotten by timers."""
+    out = scan_stream(asked_events(stream, key), [key], ["_us", "event_id"], ["_us", "kind", "_limit"], bucket_step,
+                      "allowed boolean, _tokens long, _rate long", until=lambda bucket: bucket[3] + IDLE_US, lateness=lateness)
+    return readable(out).drop("_us", "_limit", "_tokens", "_rate")
 
 
-def stream_alerts(stream: DataFrame, least: str = "LOW") -> DataFrame:
-    """The alerts that are sent."""
+def stream_alerts(stream: DataFrame, least: str = "LOW", lateness: str = LATENESS) -> DataFrame:
+    """The alerts that are sent; a fingerprint is forgotten a window after its last one."""
     base = min_severity(stream, least).select(
         "event_id", "ts", "src_ip", "attack_type", "severity",
         fingerprint(F.col("attack_type"), F.col("src_ip"), F.col("severity")).alias("fingerprint"), F.unix_micros("ts").alias("_us"))
-    return scan_stream(base, ["fingerprint"], ["_us", "event_id"], ["_us"], dedup_step, "_sent boolean").where("_sent").drop("_sent", "_us")
+    return scan_stream(base, ["fingerprint"], ["_us", "event_id"], ["_us"], dedup_step, "_sent boolean",
+                       until=lambda sent: sent + T.ALERT_WINDOW_S * 1_000_000, lateness=lateness).where("_sent").drop("_sent", "_us")
 
 
-def stream_blocks(decisions: DataFrame, own_ips: list[str] | None = None) -> DataFrame:
-    """Every change of a block interval; ``latest_blocks`` gives the ledger."""
-    asked = decisions.where(F.col("block_seconds").isNotNull())
-    if own_ips:
-        asked = asked.where(~F.col("src_ip").isin(own_ips))
-    base = asked.select("src_ip", "event_id", F.unix_micros("ts").alias("_us"), F.lit("block").alias("kind"),
-                        F.col("block_seconds").cast("long").alias("seconds"), F.col("block_reason").alias("reason"))
-    return scan_stream(base, ["src_ip"], ["_us", "event_id"], ["_us", "kind", "seconds", "reason"], ledger_step,
-                       "blocked_us long, expires_us long, reason string", changes=True)
+def stream_blocks(decisions: DataFrame, own_ips: list[str] | None = None, lateness: str = LATENESS) -> DataFrame:
+    """Every change of a block interval; ``latest_blocks`` gives the ledger.
+
+    Rows of an optional ``kind`` 'unblock' lift a block.  Timed blocks are forgotten when they
+    have run out; permanent ones stay in state, as the list of blocked addresses does.
+    """
+    asked = asked_blocks(decisions, own_ips, "ts")
+    return scan_stream(asked, ["src_ip"], ["_us", "event_id"], ["_us", "kind", "seconds", "reason"], ledger_step,
+                       "blocked_us long, expires_us long, reason string", changes=True, until=lambda block: block[1], lateness=lateness)
 
 
 def latest_blocks(changes: DataFrame) -> DataFrame:
-    """One row per interval: a permanent version replaces a timed one."""
-    end = F.coalesce("expires_us", F.lit(2 ** 62))
-    return changes.groupBy("src_ip", "blocked_us").agg(F.max(end).alias("_e"), F.min("reason").alias("reason")).select(
-        "src_ip", F.timestamp_micros("blocked_us").alias("blocked_at"),
-        F.timestamp_micros(F.when(F.col("_e") < 2 ** 62, F.col("_e"))).alias("expires_at"), "reason")
+    """One row per interval, as its last version says.
+
+    Of intervals of an address that begin in the same instant only the last counts.
+    """
+    last = changes.groupBy("src_ip", "blocked_us").agg(F.max_by(F.struct("expires_us", "reason"), "version").alias("b"))
+    return last.select("src_ip", F.timestamp_micros("blocked_us").alias("blocked_at"),
+                       F.timestamp_micros("b.expires_us").alias("expires_at"), "b.reason")
 
 
 def beacon_step(state, row):

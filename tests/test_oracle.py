@@ -14,7 +14,7 @@ def test_equals_sql(spark, sf, duck, name):
 def test_every_query_without_sql_is_known():
     # these have tests of their own
     assert set(QUERIES) - set(SQL) == {
-        "linked_campaigns", "token_bucket_control", "incident_report", "evaluation_report", "isolation_forest",
+        "linked_campaigns", "incident_report", "evaluation_report", "isolation_forest",
         "train_predict", "multiclass_boosted", "combined_classifier", "train_report", "cross_dataset", "retrain_gate", "contributions"}
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netlens import tables as T
+from netlens.operators import buckets as B
 from netlens.operators import response as R
 from netlens.operators.attribution import with_severity
 
@@ -78,6 +79,58 @@ def test_token_bucket_control_events(spark):
     assert status["capacity"] == 60.0
 
 
+@pytest.mark.parametrize("rate,burst", [(1, 1), (5, 3), (30, 3), (0.1, 3)])
+def test_transfer_functions(rate, burst):
+    """A composed function gives for every start what the requests give one after the other."""
+    rng = random.Random(rate)
+    for flood in (0.2, 1.0, 3.0):
+        whole, steps, cap = B.Transfer(), [], int(rate * burst * B.TOKEN)
+        for i in range(1500):
+            if i == 1200:
+                cap //= 2
+            gain = min(cap, int(rng.random() * flood * B.TOKEN))
+            steps.append((gain, cap))
+            whole.request(gain, cap)
+        for start in [0, B.TOKEN - 1, B.TOKEN, *[rng.randrange(120 * B.TOKEN) for _ in range(30)]]:
+            tokens = start
+            for gain, cap in steps:
+                tokens = B.consumed(min(cap, tokens + gain))
+            assert whole(start) == tokens
+        assert len(whole.lows) < 2 * rate * burst + 4
+    flooded = B.Transfer()
+    for _ in range(1024):
+        flooded.request(B.TOKEN // 7, 90 * B.TOKEN)
+    assert flooded.folds and len(flooded.lows) < 6
+
+
+def test_flood_of_one_source_with_control_events(spark):
+    """Fifty chunks of one source: the same rows as one step after the other, and equal however it is cut."""
+    rng = random.Random(5)
+    rows, t = [], 0.0
+    for _ in range(2000):
+        t += rng.choice([0.0, 0.001, 0.05, 0.4, 1.1, 2.9]) if rng.random() < 0.995 else rng.choice([3.0, 301.0])
+        rows.append((round(t, 3), "9.9.9.9", rng.choice(["DDoS", "PortScan", "BruteForce"]) if t > 300 else "Unknown", 1.0))
+    kinds = F.when(F.col("event_id") % 501 == 500, "reset").when(F.col("event_id") % 170 == 169, "throttle").otherwise("request")
+    flood = events(spark, rows).withColumns({"kind": kinds, "rate_rps": (F.col("event_id") % 4).cast("double")})
+    state, expected = None, {}
+    for r in sorted(B.asked_events(flood, "src_ip").collect(), key=lambda r: (r["_us"], r["event_id"])):
+        state, out = B.bucket_step(state, (r["_us"], r["kind"], r["_limit"]))
+        expected[r["event_id"]] = (out[0], None if out[1] is None else out[1] / B.TOKEN)
+    assert {v[0] for v in expected.values()} == {True, False, None}
+    for options in ({}, {"max_segment": 40}, {"max_segment": 7, "max_group": 300}):
+        got = {r["event_id"]: (r["allowed"], r["tokens_remaining"]) for r in R.token_bucket(flood, **options).collect()}
+        assert got == expected
+
+
+def test_token_bucket_odd_rows(spark):
+    df = events(spark, [(s, "1.1.1.1", "Infiltration", 1.0) for s in (0, 0, 0, 0, 1)])
+    odd = df.withColumn("src_ip", F.lit(None).cast("string")).unionByName(df.withColumns({"ts": F.lit(None).cast("timestamp"), "attack_type": F.lit(None).cast("string")}))
+    for segment in (None, 2):
+        got = R.token_bucket(odd, max_segment=segment)
+        assert got.count() == 10 and got.where("src_ip IS NULL AND NOT allowed").count() == 1 and got.where("src_ip IS NOT NULL AND allowed").count() == 5
+    assert R.token_bucket(df.limit(0)).collect() == []
+
+
 def brute_ledger(rows):
     """rows: (ip, us, kind, seconds) in order."""
     live, out = {}, []
@@ -112,6 +165,27 @@ def test_ledger_brute_force_and_hot_path(spark):
         assert sorted(str(tuple(r)) for r in got) == expected
 
 
+def test_ledger_of_one_flooding_address(spark):
+    """One segment with some hundred blocks, lifted at the end; a permanent block, odd and repeated rows, no rows."""
+    rng, t, data = random.Random(2), 0, []
+    for i in range(1500):
+        t += rng.choice([0, 30, 600, 1200, 3500])
+        data.append((i, at(t), "8.8.8.8", "block", rng.choice([3600, 60]), "r"))
+    schema = "event_id long, ts timestamp, src_ip string, kind string, block_seconds long, block_reason string"
+    data += [(1500, at(t + 1), "8.8.8.8", "unblock", None, None), (1501, at(t + 2), "8.8.8.8", "block", 3600, "r"), (1502, at(t + 3), "8.8.8.8", "block", 0, "r")]
+    df = spark.createDataFrame(data, schema)
+    expected = brute_ledger([(d[2], int(d[1].timestamp()) * 10**6, d[3], d[4]) for d in data])
+    assert len(expected) > 250
+    cols = ["src_ip", F.unix_micros("blocked_at"), F.unix_micros("expires_at")]
+    for options in ({}, {"max_segment": 10}, {"max_segment": 10, "max_group": 200}):
+        assert sorted(str(tuple(r)) for r in R.block_ledger(df, **options).select(cols).collect()) == expected
+    odd = [(1, None, "1.1.1.1", "block", 60, None), (2, at(0), None, "block", 60, None), (3, at(0), "2.2.2.2", "block", None, None), (4, at(0), "2.2.2.2", "unblock", None, None),
+           (5, at(5), "2.2.2.2", None, 60, None), (5, at(5), "2.2.2.2", None, 60, None)]
+    got = R.block_ledger(spark.createDataFrame(odd, schema)).collect()
+    assert [(r["src_ip"], r["expires_at"] - r["blocked_at"]) for r in got] == [("2.2.2.2", dt.timedelta(seconds=60))]
+    assert R.block_ledger(df.limit(0)).collect() == []
+
+
 def test_ledger_refuses_own_address(spark):
     df = R.decide_response(events(spark, [(0, "10.0.0.1", "DDoS", 0.9), (1, "5.5.5.5", "DDoS", 0.9)]))
     assert [r["src_ip"] for r in R.block_ledger(df, own_ips=["10.0.0.1"]).collect()] == ["5.5.5.5"]

@@ -68,6 +68,41 @@ def test_state_machines(spark, busy, tmp_path, n):
     assert rows(drained(stateful.stream_alerts(stream), tmp_path, "alerts"), "event_id") == rows(R.dedup_alerts(hurried), "event_id")
 
 
+@pytest.mark.parametrize("n", [1, 7])
+def test_control_events_and_unblocks(spark, busy, tmp_path, n):
+    hurried = busy.withColumn("ts", F.timestamp_micros(((F.unix_micros("ts") - START) / 25).cast("long") + START))
+    kinds = F.when(F.col("event_id") % 50 == 0, "reset").when(F.col("event_id") % 9 == 0, "throttle").otherwise("request")
+    ruled = hurried.withColumns({"kind": kinds, "rate_rps": F.lit(2.5)})
+    got = drained(stateful.stream_token_bucket(in_files(ruled, str(tmp_path / "in"), n)), tmp_path, "bucket")
+    cols = ["event_id", "kind", "allowed", "tokens_remaining", "bucket_rps", "wait_s"]
+    assert rows(got, *cols) == rows(R.token_bucket(ruled), *cols)
+    lifted = R.decide_response(busy).withColumn("kind", F.when(F.col("event_id") % 7 == 0, "unblock").otherwise("block"))
+    changes = drained(stateful.stream_blocks(in_files(lifted, str(tmp_path / "in2"), n)), tmp_path, "blocks")
+    cols = ["src_ip", F.unix_micros("blocked_at"), F.unix_micros("expires_at"), "reason"]
+    batch = R.block_ledger(lifted)
+    assert rows(stateful.latest_blocks(changes), *cols) == rows(batch, *cols)
+    assert batch.where("expires_at IS NOT NULL").count() > 5
+
+
+def test_idle_state_is_removed(spark, tmp_path):
+    """Forty sources, one after the other, ten minutes apart: few are in state at the end, and a restart goes on."""
+    df = spark.range(80).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + floor(id / 2) * 600 + id % 2) AS ts", "concat('10.0.0.', floor(id / 2)) AS src_ip",
+                                    "'Infiltration' AS attack_type", "CAST(3600 AS LONG) AS block_seconds", "'r' AS block_reason")
+    for i in range(2):
+        df.where(f"event_id BETWEEN {40 * i} AND {40 * i + 39}").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    for name, job, most in (("bucket", stateful.stream_token_bucket, 2), ("blocks", stateful.stream_blocks, 8)):
+        kept = []
+        for i in range(2):
+            stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / ("0" if i == 0 else "*")))
+            query = (job(stream).writeStream.format("parquet").option("path", str(tmp_path / f"out-{name}")).option("checkpointLocation", str(tmp_path / f"cp-{name}"))
+                     .trigger(availableNow=True).start())
+            query.awaitTermination()
+            kept.append(query.recentProgress[-1].stateOperators[0].numRowsTotal)
+        assert max(kept) <= most
+    assert spark.read.parquet(str(tmp_path / "out-bucket")).count() == 80
+    assert stateful.latest_blocks(spark.read.parquet(str(tmp_path / "out-blocks"))).count() == 40
+
+
 @pytest.mark.parametrize("n", CUTS)
 def test_blocks_and_profiles(spark, busy, tmp_path, n):
     stream = in_files(busy, str(tmp_path / "in"), n)
