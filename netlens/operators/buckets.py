@@ -76,9 +76,9 @@ def bucket_step(state, row):
 
 
 def readable(df: DataFrame) -> DataFrame:
-    """_tokens and _rate as tokens_remaining, bucket_rps and wait_s."""
+    """_limit, _tokens and _rate as limit_rps, tokens_remaining, bucket_rps and wait_s."""
     waits = F.when(F.col("allowed"), 0.0).when(~F.col("allowed"), (F.lit(TOKEN) - F.col("_tokens")) / F.nullif(F.col("_rate") * MICRO, F.lit(0)))
-    return df.withColumns({"tokens_remaining": F.col("_tokens") / F.lit(float(TOKEN)), "bucket_rps": F.col("_rate") / F.lit(float(MICRO)), "wait_s": waits})
+    return df.withColumns({"limit_rps": F.col("_limit") / F.lit(float(MICRO)), "tokens_remaining": F.col("_tokens") / F.lit(float(TOKEN)), "bucket_rps": F.col("_rate") / F.lit(float(MICRO)), "wait_s": waits})
 
 
 # --- transfer functions ---
@@ -280,7 +280,7 @@ def token_bucket(df: DataFrame, key: str = "src_ip", max_group: int | None = Non
                             "_gain": F.when(~F.col("_start") & ask, since * F.col("_rate")).otherwise(F.lit(0).cast("long"))}).add(_piece=Running("sum", "_begins"))
     run = F.when(F.col(key).isNull(), F.concat_ws("/", F.lit("n"), "_piece")).otherwise(F.concat_ws("/", F.lit("k"), "_piece", F.col(key).cast("string")))
     rows = materialise(seq.result().withColumn("_run", run).select(
-        "event_id", "ts", key, "attack_type", "kind", "_run", "_pos", "_start", "_ask", "_gain", "_cap", "_rate"), "buckets")
+        "event_id", "ts", key, "attack_type", "kind", "_run", "_pos", "_start", "_ask", "_gain", "_cap", "_rate", "_limit"), "buckets")
     parts = rows.where(live).select("_run", "_pos", "_start", "_ask", "_gain", "_cap")
     sizes = parts.groupBy("_run").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     solved = _folded(parts.join(sizes.where(F.col("_n") <= limit).drop("_n"), "_run"))
@@ -294,7 +294,7 @@ def token_bucket(df: DataFrame, key: str = "src_ip", max_group: int | None = Non
         "allowed": F.when(F.col("_ask"), F.coalesce("allowed", pays)),
         "_tokens": F.when(live, F.coalesce("_tokens", F.when(pays, F.col("_cap") - TOKEN).otherwise(F.col("_cap"))))})
     return readable(out).select(
-        "event_id", "ts", key, "attack_type", "kind", "allowed", "tokens_remaining", "bucket_rps", "wait_s")
+        "event_id", "ts", key, "attack_type", "kind", "limit_rps", "allowed", "tokens_remaining", "bucket_rps", "wait_s")
 
 
 def bucket_status(buckets: DataFrame, at_us: int | None = None, key: str = "src_ip") -> DataFrame:

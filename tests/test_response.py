@@ -72,6 +72,7 @@ def test_token_bucket_control_events(spark):
     kinds = F.when(F.col("event_id") == 1, "throttle").when(F.col("event_id") == 5, "reset").otherwise("request")
     out = {r["event_id"]: r for r in R.token_bucket(df.withColumn("kind", kinds)).collect()}
     assert out[0]["allowed"] and out[0]["bucket_rps"] == 20.0
+    assert [out[i]["limit_rps"] for i in (0, 1, 2)] == [20.0, 0.1, 20.0]
     # throttled to 0.1 per second: the capacity of 0.3 never buys a request
     assert [out[i]["allowed"] for i in (2, 3, 4)] == [False, False, False]
     assert out[5]["allowed"] is None and out[6]["allowed"] and out[6]["bucket_rps"] == 20.0
