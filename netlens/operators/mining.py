@@ -20,13 +20,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating large-star and small-star steps (Kiveris et al. 2014): each is one
     grouped minimum and one join, and a hub is only ever linked to a minimum, so no
-    step emits pairs of neighbours.  Every round is written to the shared folder.
+    step emits pairs of neighbours.  Every round is written to the shared folder;
+    rounds end when every link leads to a root.
     """
-    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(
-        "u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
-    nodes = both.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    links = both.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    u, v = F.col(a), F.col(b)
+    both = materialise(edges.where(u.isNotNull() & v.isNotNull()).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    links = both.where("u <> v")
     for _ in range(max_rounds):
         both_ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both_ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -38,16 +37,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             low.select("u", F.col("m").alias("v"))).where("u <> v").select(
                 F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         links = materialise(small, "links")
-        # equal fingerprints two rounds in a row: nothing moves any more
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if before == state:
+        if _all_stars(links):
             break
-        before = state
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
-    roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    found = nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return materialise(found, "components")
+    # a node of a link is below a root or a root; others have links to themselves only
+    below = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = links.select("v").unionByName(both.where("u = v").select("v").join(links.select(F.col("u").alias("v")), "v", "left_anti")).distinct()
+    return materialise(below.unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component"))), "components")
+
+
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every ``u`` has one link, to a node that has none: then nothing moves any more."""
+    ends = links.select("u", F.lit(1).alias("out"), F.lit(0).alias("root")).unionByName(
+        links.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+    return ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out + root > 1").isEmpty()
 
 
 def _counted(homes, guests, weights, near) -> pd.DataFrame:

@@ -41,6 +41,12 @@ def test_components(spark, seed):
     assert got == brute_components(edges)
 
 
+def test_components_end_with_the_round_that_settles_them(spark):
+    edges = [("c1", "o1"), ("c1", "o2"), ("o1", "l1"), ("o1", "l2"), ("o2", "l3"), ("x", "x"), ("c1", "c1"), ("o1", "c1"), (None, "z")]
+    got = {r["node"]: r["component"] for r in N.connected_components(spark.createDataFrame(edges, "a string, b string"), max_rounds=1).collect()}
+    assert got == {**{n: "c1" for n in ("c1", "o1", "o2", "l1", "l2", "l3")}, "x": "x"}
+
+
 def brute_dbscan(points, eps, least):
     near = {a: [b for b in points if np.linalg.norm(np.subtract(points[a], points[b])) <= eps] for a in points}
     core = {a for a in points if len(near[a]) >= least}
