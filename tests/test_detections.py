@@ -228,3 +228,28 @@ def test_baseline_far_from_the_other_devices(spark, level, max_group):
     got = {r.t: r for r in baseline_zscores(df, "device", ["t"], ["v"], max_group=max_group).where("device = 'a'").collect()}
     assert 95 < got[60].max_z < 105 and got[60].is_anomalous
     assert all(r.max_z < 2 for t, r in got.items() if t < 60)
+
+
+def test_only_the_slice_of_a_class_bound_is_ranked(spark, monkeypatch):
+    ids = [f"r{i}" for i in range(400)] + ["same"] * 30 + [None] * 20
+    rows = [(r, "abc"[i % 3] if i % 7 else None, i % 2) for i, r in enumerate(ids)]
+    df = spark.createDataFrame(rows, "rid string, class string, label int")
+    ranked = []
+
+    class Watched(S.Ordered):
+        def __init__(self, frame, *args, **kwargs):
+            ranked.append(frame.count())
+            super().__init__(frame, *args, **kwargs)
+    monkeypatch.setattr(S, "Ordered", Watched)
+    results = {}
+    for size in (50_000, 5):
+        monkeypatch.setattr(S, "SLICE_ROWS", size)
+        split = S.stratified_split(df, "class", "rid")
+        cap, under = S.class_cap(df, "class", "rid", 120), S.undersample(df, "label", "rid", 0.5)
+        results[size] = [sorted(x.collect(), key=str) for x in (split, cap, under)]
+    assert results[5] == results[50_000]
+    counts = {c: sum(k == c for _, k, _ in rows) for c in (*"abc", None)}
+    split, cap, under = results[5]
+    assert len(split) == sum(counts[c] for c in "abc") and all(sum(r["is_test"] for r in split if r["class"] == c) == int(counts[c] * 0.2 + 0.5) for c in "abc")
+    assert all(sum(r["class"] == c for r in cap) == 30 for c in counts) and sum(r["label"] == 0 for r in under) == sum(r["label"] for r in under) // 2
+    assert max(ranked[3:]) < 150 < ranked[0]
