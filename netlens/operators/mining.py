@@ -55,7 +55,8 @@ def _all_stars(links: DataFrame) -> bool:
 
 
 def _counted(homes, guests, weights, near) -> pd.DataFrame:
-    return pd.DataFrame({"pid": homes, "n": near @ weights})
+    n = near @ weights
+    return pd.DataFrame({"pid": homes[n > 0], "n": n[n > 0]})
 
 
 def _linked(homes, guests, is_core, near) -> pd.DataFrame:
@@ -80,8 +81,8 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, min_samples: int, row_
            block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(row id, cluster): clusters numbered by their smallest core row id; noise is NULL.
 
-    Exact in any number of dimensions: points meet through cells of pivots (see
-    ``nearness``), and blocks of points are compared in tasks that give back a count
+    Exact in any number of dimensions: points are packed into blocks (see
+    ``nearness``), and blocks are compared in tasks that give back a count
     per point, then a link per core point and block, so no pair of neighbours is
     written.  Copies of a point are collapsed first, so a pile of equal rows is one
     point with a weight.  A border point joins the neighbouring cluster with the
@@ -94,16 +95,18 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, min_samples: int, row_
     points = materialise(rows.where(sound).groupBy("x").agg(F.min("id").alias("pid"), F.count(F.lit(1)).alias("w")), "points")
     blocks = Blocks(points, eps, block_rows)
     id_type = points.schema["pid"].dataType.simpleString()
-    counts = blocks.compare(_counted, f"pid {id_type}, n long", points, points, F.col("w"))
+    whole = blocks.packed(points, F.col("w"))
+    counts = blocks.compare(_counted, f"pid {id_type}, n long", whole, whole)
     core_ids = materialise(counts.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("pid"), "core")
     core = points.join(core_ids, "pid", "left_semi")
-    links = blocks.compare(_linked, f"pid {id_type}, other {id_type}", core, core)
+    centres = blocks.packed(core)
+    links = blocks.compare(_linked, f"pid {id_type}, other {id_type}", centres, centres)
     components = connected_components(links, "pid", "other").select(F.col("node").alias("pid"), F.col("component").alias("root"))
     roots = components.select("root").distinct()
     numbered = Ordered(roots, [], ["root"], 100_000).add(_n=RowNumber()).result().select("root", (F.col("_n") - 1).cast("long").alias("cluster"))
     core_cluster = materialise(components.join(numbered, "root").select("pid", "cluster"), "clusters")
     loose = points.join(core_ids, "pid", "left_anti")
-    border = blocks.compare(_touching, f"pid {id_type}, cluster long", loose, points.join(core_cluster, "pid"), F.col("cluster"))
+    border = blocks.compare(_touching, f"pid {id_type}, cluster long", blocks.packed(loose), blocks.packed(points.join(core_cluster, "pid"), F.col("cluster")))
     border = border.groupBy("pid").agg(F.min("cluster").alias("cluster"))
     labels = points.join(core_cluster.unionByName(border), "pid", "left").select("x", "cluster")
     # back to every copy; equal vectors compare equal

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netlens.operators import mining as N
 from netlens.operators import ml as L
 from netlens.operators.anomaly import IsolationForest
-from netlens.operators.nearness import stars
+from netlens.operators.nearness import Blocks, stars
 from netlens.operators.scoring import FlatEnsemble
 from netlens.operators.explain import global_importance
 from netlens.plans import views as V
@@ -91,6 +91,19 @@ def test_dbscan_in_many_dimensions_and_odd_rows(spark):
     assert N.dbscan(df.limit(0), columns, 9.8, 4, "id").collect() == []
 
 
+def test_points_are_shuffled_once_into_blocks_and_blocks_are_not(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 8))
+    points = N.materialise(spark.createDataFrame([(i, list(map(float, p)), 1) for i, p in enumerate(x)], "pid long, x array<double>, w long"), "points")
+    blocks = Blocks(points, 2.5, 10)
+    held = blocks.packed(points, F.col("w"))
+    assert sorted(i for r in held.select("ids").collect() for i in r["ids"]) == list(range(120)) and held.count() >= 12
+    counts = blocks.compare(N._counted, "pid long, n long", held, held)
+    assert "hashpartitioning" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = {r["pid"]: r["n"] for r in counts.groupBy("pid").agg(F.sum("n").alias("n")).collect()}
+    assert got == {i: int((np.linalg.norm(x - p, axis=1) <= 2.5).sum()) for i, p in enumerate(x)}
+
+
 def test_stars_are_the_connected_parts():
     rng = np.random.default_rng(3)
     for density in (0.01, 0.05, 0.5):
