@@ -19,6 +19,8 @@ from netlens.operators.mining import connected_components
 ROOT = 1.25
 #: The same below a root: 1 / 0.8 would keep a pair once on average, 2 keeps four pairs in five at every level.
 BRANCH = 2.0
+#: Sets of a large bucket that are asked how much the whole bucket overlaps.
+JUDGES = 256
 #: Bytes of a shingle where sets are compared.
 WIDTH = 5
 
@@ -158,15 +160,19 @@ def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, small: in
         big = level.where(F.col("size") > small)
         if big.isEmpty():
             return done
-        children = materialise(grow(big, sets), "children")
-        pairs = children.groupBy("parent", "path").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-        judged = big.select("path", "size").distinct().join(pairs.withColumnRenamed("parent", "path"), "path", "left")
-        overlap = F.coalesce(F.col("cc"), F.lit(0.0)) / (F.col("size") * F.col("size") * F.lit(BRANCH))
+        # about JUDGES sets of a bucket, by hash, tell how dense it is; only sparse ones are grown whole
+        judges = big.where(F.pmod(F.xxhash64("rep", "path"), F.col("size")) < JUDGES)
+        shares = grow(judges, sets).groupBy("parent", "path").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        pairs = shares.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+        judged = judges.groupBy("path").agg(F.count(F.lit(1)).alias("judges")).join(pairs.withColumnRenamed("parent", "path"), "path", "left")
+        judged = big.select("path").distinct().join(judged, "path", "left")
+        overlap = F.coalesce(F.col("cc") / (F.col("judges") * F.col("judges") * F.lit(BRANCH)), F.lit(0.0))
         judged = materialise(judged.withColumn("dense", overlap >= dense), "judged")
         done = done.unionByName(big.join(judged.where("dense").select("path"), "path", "left_semi"))
         sparse = judged.where("NOT dense").select("path")
-        again = materialise(grow(big.join(sparse, "path", "left_semi").join(twins, "path").select(F.col("twin").alias("path"), "rep"), sets), "children")
-        open_ = children.join(sparse.select(F.col("path").alias("parent")), "parent", "left_semi").select("path", "rep").unionByName(again.select("path", "rep"))
+        children = grow(big.join(sparse, "path", "left_semi"), sets)
+        again = grow(big.join(sparse, "path", "left_semi").join(twins, "path").select(F.col("twin").alias("path"), "rep"), sets)
+        open_ = materialise(children.select("path", "rep").unionByName(again.select("path", "rep")), "children")
         level, twins = useful(open_, small)
         done = done.unionByName(level.where(F.col("size") <= small))
     return done.unionByName(level.where(F.col("size") > small))

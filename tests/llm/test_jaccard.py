@@ -115,3 +115,20 @@ def test_runs_make_up_for_splits():
     roots = [len(np.intersect1d(jaccard.root_paths(x, 20), jaccard.root_paths(x[:len(x) * 4 // 5], 20)))
              for x in (np.unique(mixed(np.arange(n, dtype=np.uint64) + np.uint64(s << 20), 3)) for s in range(200) for n in (5, 40, 1000))]
     assert 18 <= sum(roots) / len(roots) <= 26 and min(roots) >= 5
+
+
+def test_a_dense_bucket_is_judged_by_a_few_sets(spark, monkeypatch):
+    """Only sparse buckets are split whole; a large group of near copies asks about JUDGES sets a bucket."""
+    from netlens.llm import jaccard as J
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, f"own{i}"])) for i in range(200)]
+    asked, grow = [], J.grow
+
+    def watched(big, sets):
+        asked.append(big.groupBy("path").count().agg(F.max("count")).first()[0] or 0)
+        return grow(big, sets)
+    monkeypatch.setattr(J, "grow", watched)
+    monkeypatch.setattr(J, "JUDGES", 20)
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=50, block=64).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 199)} and len(got) == 200
+    assert asked and max(asked) < 60
