@@ -10,7 +10,7 @@ from netlens.functions.lookup import ratio, rounded
 from netlens.functions.net import flow_key, has_flag, payload_text
 from netlens.ordered import Lag, Lead, Ordered, RowNumber, Running
 from netlens.scan import fold_rows
-from netlens.session import with_scalars
+from netlens.session import materialise, with_scalars
 
 KEY = ["a_ip", "a_port", "b_ip", "b_port", "protocol"]
 ORDER = ["ts_us", "packet_id"]
@@ -35,12 +35,13 @@ def fin_step(state, row):
 def assign_flows(packets: DataFrame, idle_timeout: float | None = T.IDLE_TIMEOUT_S,
                  syn_reuse: float = T.SYN_REUSE_S, max_group: int | None = None,
                  max_segment: int | None = None) -> Ordered:
-    """Packets with flow_seq (per conversation) and why the flow before ended.
+    """Packets with the number of their flow in its segment and why the flow before ended.
 
     A reset, a fresh SYN after more than ``syn_reuse`` idle seconds and a gap above
     ``idle_timeout`` always end a flow, whatever came before: they cut a
     conversation into segments with window functions.  Only the FIN handshake needs
-    a state, and only the FIN packets of a segment are looked at for it.
+    a state, and only the FIN packets of a segment are looked at for it.  From there on the sequences
+    are the segments: a task sorts and buffers those, not whole conversations.
     """
     key = flow_key(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"), F.col("proto"))
     base = packets.withColumn("_key", key).select(
@@ -58,29 +59,30 @@ def assign_flows(packets: DataFrame, idle_timeout: float | None = T.IDLE_TIMEOUT
            .when(has_flag(F.col("_prev_flags"), T.FLAG_RST), "rst")
            .when(idle, "idle").when(fresh_syn, "reused_port"))
     seq = seq.with_columns({"_cut": cut}).with_columns({"_new": F.col("_cut").isNotNull().cast("int")}).add(
-        _segment=Running("sum", "_new"))
+        _segment=Running("sum", "_new"), _next_cut=Lead("_cut"))
+    seq = seq.split("_segment", max_group)
     from_a = (F.col("src_ip") == F.col("a_ip")) & (F.col("src_port") == F.col("a_port"))
     fins = seq.df.where(has_flag(flags, T.FLAG_FIN)).select(*KEY, "_segment", "pos", from_a.alias("from_a"))
     closings = fold_rows(fins, [*KEY, "_segment"], ["pos"], ["pos", "from_a"], fin_step,
                          lambda state: None, "pos int", max_segment, seq.largest)
     closings = closings.withColumn("_closes", F.lit(True))
-    # (conversation, segment, position) meets at most one closing: nothing to skew
+    # (conversation, segment, position) meets at most one closing: nothing to skew.  A closing at the end of
+    # a segment needs no cut, as the next segment is a new flow by itself
     joined = seq._like(seq.df.join(closings, [*KEY, "_segment", "pos"], "left"))
     joined = joined.add(_prev_closes=Lag("_closes")).with_columns({
-        "_cut": F.when(F.col("_prev_closes"), "fin").otherwise(F.col("_cut"))}).with_columns({
-            "_new": F.col("_cut").isNotNull().cast("int")})
-    return joined.add(flow_seq=Running("sum", "_new"))
+        "_new": (F.col("_cut").isNotNull() | F.coalesce("_prev_closes", F.lit(False))).cast("int")})
+    return joined.add(_flow=Running("sum", "_new"))
 
 
 def packet_details(seq: Ordered, active_timeout: float = T.ACTIVE_TIMEOUT_S) -> Ordered:
     """Direction, gaps, bulk runs and active periods as packet columns."""
-    starts = F.when(F.col("_new") == 1, F.struct("flow_seq", "src_ip", "src_port", "dst_ip", "dst_port", "ts_us"))
+    starts = F.when(F.col("_new") == 1, F.struct("_flow", "src_ip", "src_port", "dst_ip", "dst_port", "ts_us"))
     seq = seq.with_columns({"_start": starts}).add(fwd=Running("max", "_start"))
     is_fwd = (F.col("src_ip") == F.col("fwd.src_ip")) & (F.col("src_port") == F.col("fwd.src_port"))
-    at = F.struct("flow_seq", "ts_us")
+    at = F.struct("_flow", "ts_us")
     seq = seq.with_columns({"is_fwd": is_fwd, "_data": F.col("payload_len") > 0}).with_columns({
         "_fwd_at": F.when(F.col("is_fwd"), at), "_bwd_at": F.when(~F.col("is_fwd"), at)}).add(
-        _next_flow=Lead("flow_seq"), _next_cut=Lead("_cut"),
+        _next_flow=Lead("_flow"),
         _prev_fwd=Lag("is_fwd"), _prev_data=Lag("_data"),
         _last_fwd=Running("max", "_fwd_at", inclusive=False), _last_bwd=Running("max", "_bwd_at", inclusive=False),
         _bytes=Running("sum", "length"))
@@ -88,7 +90,7 @@ def packet_details(seq: Ordered, active_timeout: float = T.ACTIVE_TIMEOUT_S) ->
     gap = F.when(inside, F.col("ts_us") - F.col("_prev_us"))
 
     def since(side: str, mine: Column) -> Column:
-        same = F.col(f"{side}.flow_seq") == F.col("flow_seq")
+        same = F.col(f"{side}._flow") == F.col("_flow")
         return F.when(mine & same, F.col("ts_us") - F.col(f"{side}.ts_us"))
     continues = (inside & F.col("_data") & F.col("_prev_data") & (F.col("is_fwd") == F.col("_prev_fwd"))
                  & (gap <= int(T.BULK_MAX_GAP_S * 1_000_000)))
@@ -97,7 +99,7 @@ def packet_details(seq: Ordered, active_timeout: float = T.ACTIVE_TIMEOUT_S) ->
         "gap_us": gap,
         "fwd_gap_us": since("_last_fwd", F.col("is_fwd")), "bwd_gap_us": since("_last_bwd", ~F.col("is_fwd")),
         "_continues": F.coalesce(continues, F.lit(False)), "paused": paused,
-        "is_last": F.coalesce(F.col("_next_flow") != F.col("flow_seq"), F.lit(True))})
+        "is_last": F.coalesce(F.col("_next_flow") != F.col("_flow"), F.lit(True))})
     seq = seq.with_columns({
         "_run_start": F.when(~F.col("_continues"), F.struct("pos", "ts_us", (F.col("_bytes") - F.col("length")).alias("before"))),
         "_active_start": F.when((F.col("_new") == 1) | F.col("paused"), F.struct("pos", "ts_us")),
@@ -125,7 +127,7 @@ def _spread(name: str, c: Column) -> list[Column]:
             _zero(F.max(c)).alias(f"{name}_max"), _zero(F.min(c)).alias(f"{name}_min")]
 
 
-def flow_features(seq: Ordered) -> DataFrame:
+def flow_features(seq: Ordered, max_group: int | None = None) -> DataFrame:
     """One row per flow: identity, the 78 features, payload sample, times and close reason.
 
     A single aggregation of mergeable functions, so a flow that holds most packets
@@ -183,7 +185,16 @@ def flow_features(seq: Ordered) -> DataFrame:
                 _zero(F.avg(F.when(mine, F.col("run_packets")))).alias(f"{side}_avg_packets_per_bulk"),
                 ratio(F.sum(F.when(mine, F.col("run_bytes"))) * 1e6,
                       F.sum(F.when(mine, F.col("run_us")))).alias(f"{side}_avg_bulk_rate")]
-    return finished_flows(seq.df.groupBy(*KEY, "flow_seq").agg(*agg))
+    flows = seq.df.groupBy(*KEY, "_segment", "_flow").agg(*agg)
+    return finished_flows(numbered(flows, seq.hot, max_group).drop("_segment", "_flow"))
+
+
+def numbered(flows: DataFrame, hot: bool, max_group: int | None = None) -> DataFrame:
+    """``flow_seq``: the place of each flow in its conversation; ``hot`` if a conversation may be too long for one task."""
+    order = ["_segment", "_flow"]
+    if hot:
+        return Ordered(materialise(flows, "flows"), KEY, order, max_group).add(flow_seq=RowNumber()).result()
+    return flows.withColumn("flow_seq", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
 
 
 def finished_flows(flows: DataFrame) -> DataFrame:
@@ -227,7 +238,7 @@ def assemble_flows(packets: DataFrame, idle_timeout: float | None = T.IDLE_TIMEO
                    max_group: int | None = None, max_segment: int | None = None) -> DataFrame:
     """Packets to finished flows.  ``idle_timeout=None`` never closes on silence."""
     return flow_features(packet_details(
-        assign_flows(packets, idle_timeout, syn_reuse, max_group, max_segment), active_timeout))
+        assign_flows(packets, idle_timeout, syn_reuse, max_group, max_segment), active_timeout), max_group)
 
 
 def flow_stats(packets: DataFrame, flows: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ class Ordered:
         self.keys, self.order = list(keys), list(order)
         max_group = MAX_GROUP_ROWS if max_group is None else max_group
         self.largest, total = group_sizes(df, self.keys)
-        self.chunked = self.largest > max_group
+        self.chunked = self.hot = self.largest > max_group
         if self.chunked:
             chunks = max(2, -(-total // (chunk_rows or min(CHUNK_ROWS, max_group))))
             ranged = df.repartitionByRange(chunks, *self.keys, *self.order)
@@ -104,7 +104,20 @@ class Ordered:
     def _like(self, df: DataFrame) -> "Ordered":
         other = object.__new__(Ordered)
         other.keys, other.order, other.chunked, other.df = self.keys, self.order, self.chunked, df
-        other.largest = self.largest
+        other.largest, other.hot = self.largest, self.hot
+        return other
+
+    def split(self, column: str, max_group: int | None = None) -> "Ordered":
+        """The same rows as shorter sequences, one for each value of ``column`` in a sequence.
+
+        ``hot`` stays: whether a sequence was too long for one task before it was first split.
+        """
+        if not self.chunked:
+            other = self._like(self.df)
+            other.keys = [*self.keys, column]
+            return other
+        other = Ordered(materialise(self.result(), "split"), [*self.keys, column], self.order, max_group)
+        other.hot = self.hot
         return other
 
     def result(self) -> DataFrame:

@@ -105,3 +105,16 @@ def test_beacon_cases(spark, offsets, expected):
     assert scores.first()["is_beacon"] is expected
     flagged = FL.mark_beacons(starts(spark, offsets), scores)
     assert {r["beacon_detected"] for r in flagged.collect()} == {expected}
+
+
+def test_windows_order_segments_not_whole_conversations(spark):
+    """Three windows see a whole conversation (gaps, segments, numbers of flows); all others see a segment of it."""
+    rows = [(30 * i + j, j % 2 == 0, FA if j < 2 else A, b"") for i in range(4) for j in range(4)]
+    found = FL.assemble_flows(packets(spark, rows), idle_timeout=20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    over = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Window [")]
+    whole = [line for line in over if "_segment#" not in line.split("windowspecdefinition(")[-1].split("specifiedwindowframe")[0]]
+    assert len(over) > 8 and len(whole) <= 2 * 3  # the FIN packets pass the first ones once more
+    got = found.orderBy("start_ts").collect()
+    assert [f["flow_id"].rsplit("|", 1)[1] for f in got] == [str(i + 1) for i in range(8)]
+    assert [f["closed_by"] for f in got] == ["fin", "idle"] * 3 + ["fin", "flush"]
