@@ -128,6 +128,24 @@ def useful(members: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     return materialise(members.join(kept.select("path", "size"), "path").select("path", "rep", "size"), "buckets"), materialise(twins, "twins")
 
 
+def comparable(found: DataFrame, sizes: DataFrame, small: int, similarity: float) -> DataFrame:
+    """Buckets of up to ``small`` sets without the sets that are too large or too small for all others in them.
+
+    Sets of n and m shingles, n < m, cannot be linked unless n is at least ``similarity`` * m, and a set that suits
+    any other suits one that is next to it by size, so no link is lost.  ``sizes`` has (rep, n).  Buckets left
+    with the same members are one; larger buckets stay.
+    """
+    def suit(low, high):
+        return F.coalesce(low >= similarity * high - 1, F.lit(False))
+
+    def kept(x, i):
+        return suit(F.get("m", i - 1)["n"], x["n"]) | suit(x["n"], F.get("m", i + 1)["n"])
+    little = found.where(F.col("size") <= small).join(sizes, "rep").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "rep"))).alias("m"))
+    little = little.select("path", F.sort_array(F.transform(F.filter("m", kept), lambda x: x["rep"])).alias("reps")).where(F.size("reps") > 1)
+    little = little.groupBy("reps").agg(F.min("path").alias("path")).select("path", F.explode("reps").alias("rep"), F.size("reps").cast("long").alias("size"))
+    return materialise(little.unionByName(found.where(F.col("size") > small)), "comparable")
+
+
 def grow(big: DataFrame, sets: DataFrame) -> DataFrame:
     """(path, parent, rep): the next level of too large buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +290,7 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     Copies are one set from the start.  In each of ``runs_for(recall, similarity)``
     runs a set samples about one of its shingles and meets the sets that sampled it
     too; large buckets are split again (``split_buckets``) or compared block by block.
+    Sets without another of a similar size leave a small bucket (``comparable``).
     Every met pair is verified on whole sets, and only its first bucket counts it, so
     no pair is written: a bucket gives a row per member.  Two different texts of the
     given similarity fail to meet with a probability of 1 - ``recall`` at most: the runs are so
@@ -290,6 +309,7 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     classes = materialise(sets_of, "classes")
     reps = rows.join(classes.select(F.col("rep").alias("row"), "weight"), "row").select(F.col("row").alias("rep"), "doc_id", "th", "weight", "roots")
     found, twins = useful(reps.select("rep", F.explode("roots").alias("path")), small)
+    found = comparable(found, rows.select(F.col("row").alias("rep"), "n"), small, similarity)
     asked = found.select("rep").distinct().join(reps.select("rep", "doc_id", "th", "weight"), "rep")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,16 +383,59 @@ def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity
             "path", "first", "second", "s.block", "s.side")
     placed = ranked.where(F.col("size") > block).join(blocks.select("path", "cover", "of").distinct(), ["path", "cover"]).withColumn(
         "nth", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(blocks.select("path", "cover", "nth", "block"), ["path", "cover", "nth"])
-    large = placed.join(sides, ["path", "block"]).select("path", "rep", "earlier", "first", "second", "side")
-    little = ranked.where(F.col("size") <= block).select("path", "rep", "earlier", F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(2).alias("side"))
-    work = little.unionByName(large).join(sets, "rep").select(
-        "path", "first", "second", "rep", "side", "weight", "earlier", "tokens")
-    key = ["path", "first", "second"]
+    little = ranked.where(F.col("size") <= block).select("path", "rep", "earlier", F.lit(2).alias("side")).join(sets, "rep").select(
+        "path", "rep", "side", "weight", "earlier", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in grouped(batches, key, 2048):
-            edges = runs(*[held.column(c).to_numpy() for c in key])
+        for held in grouped(batches, ["path"], 2048):
+            edges = runs(held.column("path").to_numpy())
             out = [r for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if b - a > 1 and (r := block_links(held.slice(a, b - a), similarity))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["rep", "links", "low"])
-    return work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "rep long, links long, low long")
+    links = "rep long, links long, low long"
+    small = little.repartition("path").sortWithinPartitions("path").mapInArrow(run, links)
+    if blocks.isEmpty():
+        return small
+    key = ["path", "first", "second"]
+    packed = materialise(_packed(placed.join(sets, "rep").select("path", "block", "rep", "weight", "earlier", "tokens")), "packed")
+    work = packed.join(sides, ["path", "block"]).select(*key, "side", "part", "z")
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
+        for held in grouped(batches, key, 1):
+            edges = runs(*[held.column(c).to_numpy() for c in key])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                tables = []
+                for side, z in zip(held.column("side")[a:b].to_pylist(), held.column("z")[a:b]):
+                    t = pa.ipc.open_stream(press.decompress(z.as_buffer())).read_all()
+                    tables.append(t.append_column("side", pa.array(np.full(len(t), side, dtype=np.int32))))
+                if r := block_links(pa.concat_tables(tables).combine_chunks(), similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in r], ["rep", "links", "low"])
+    return small.unionByName(work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run_pairs, links))
+
+
+#: Sets of a block to a row, and bytes of shingles in it (or one set).
+PACK, PACK_BYTES = 128, 1 << 23
+
+
+def _packed(members: DataFrame) -> DataFrame:
+    """(path, block, part, z): the sets of a block, many to a row, pressed; near copies share most of their shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for held in grouped(batches, ["path", "block"], 2048):
+            path, block = (held.column(c).to_numpy() for c in ("path", "block"))
+            size = np.array([len(t.as_buffer()) for t in held.column("tokens")])
+            sets = held.select(["rep", "weight", "earlier", "tokens"])
+            edges = runs(path, block)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                part = 0
+                while a < b:
+                    end = a + max(1, min(PACK, b - a, int(np.searchsorted(np.cumsum(size[a:b]), PACK_BYTES, side="right"))))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, sets.schema) as out:
+                        out.write_table(sets.slice(a, end - a).combine_chunks())
+                    z = press.compress(sink.getvalue())
+                    yield pa.RecordBatch.from_arrays([pa.array([path[a]]), pa.array([block[a]], pa.int32()), pa.array([part], pa.int32()), pa.array([z], pa.binary())],
+                                                     ["path", "block", "part", "z"])
+                    a, part = end, part + 1
+    return members.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "path long, block int, part int, z binary")

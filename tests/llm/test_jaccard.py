@@ -133,3 +133,37 @@ def test_a_dense_bucket_is_judged_by_a_few_sets(spark, monkeypatch):
     got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=50, block=64).collect()
     assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 199)} and len(got) == 200
     assert asked and max(asked) < 60
+
+
+def test_sets_without_one_of_a_similar_size_leave_a_bucket(spark):
+    sizes = spark.createDataFrame([(1, 100), (2, 80), (3, 60), (4, 30), (5, 101)], "rep long, n int")
+    held = {10: [1, 2, 4], 11: [1, 2], 12: [3, 4], 13: [1, 2, 3, 4, 5], 14: [1, 4, 3]}
+    found = spark.createDataFrame([(p, r, len(m)) for p, m in held.items() for r in m], "path long, rep long, size long")
+    got = {}
+    for r in jaccard.comparable(found, sizes, 4, 0.8).collect():
+        got.setdefault(r["path"], set()).add((r["rep"], r["size"]))
+    # 60 and 80 or 30 and 60 never reach 0.8, 80 and 100 just do; 10 and 11 are left with the same two; 13 is a large one
+    assert got == {10: {(1, 2), (2, 2)}, 13: {(r, 5) for r in held[13]}}
+
+
+def test_a_block_is_packed_not_copied_set_by_set(spark, monkeypatch):
+    """A group of near copies in many blocks: rows that meet are packs of blocks, not sets."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        words[rng.randrange(200)] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    packs, packed = [], jaccard._packed
+
+    def counted(members):
+        out = packed(members).persist()
+        packs.append((members.count(), out.count()))
+        return out
+    monkeypatch.setattr(jaccard, "_packed", counted)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string"), small=16, block=16).collect()}
+    expected = brute(rows)
+    assert got == {r[0]: (r[1], r[3]) for r in expected} if isinstance(expected, list) else got == {k: (v[0], v[-1]) for k, v in expected.items()}
+    assert packs and all(p < m / 4 for m, p in packs)
