@@ -188,9 +188,9 @@ def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, small: in
         judged = materialise(judged.withColumn("dense", overlap >= dense), "judged")
         done = done.unionByName(big.join(judged.where("dense").select("path"), "path", "left_semi"))
         sparse = judged.where("NOT dense").select("path")
-        children = grow(big.join(sparse, "path", "left_semi"), sets)
-        again = grow(big.join(sparse, "path", "left_semi").join(twins, "path").select(F.col("twin").alias("path"), "rep"), sets)
-        open_ = materialise(children.select("path", "rep").unionByName(again.select("path", "rep")), "children")
+        held = big.join(sparse, "path", "left_semi").select("path", "rep")
+        tries = held.unionByName(held.join(twins, "path").select(F.col("twin").alias("path"), "rep"))
+        open_ = materialise(grow(tries, sets).select("path", "rep"), "children")
         level, twins = useful(open_, small)
         done = done.unionByName(level.where(F.col("size") <= small))
     return done.unionByName(level.where(F.col("size") > small))
@@ -383,22 +383,14 @@ def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity
             "path", "first", "second", "s.block", "s.side")
     placed = ranked.where(F.col("size") > block).join(blocks.select("path", "cover", "of").distinct(), ["path", "cover"]).withColumn(
         "nth", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(blocks.select("path", "cover", "nth", "block"), ["path", "cover", "nth"])
-    little = ranked.where(F.col("size") <= block).select("path", "rep", "earlier", F.lit(2).alias("side")).join(sets, "rep").select(
-        "path", "rep", "side", "weight", "earlier", "tokens")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in grouped(batches, ["path"], 2048):
-            edges = runs(held.column("path").to_numpy())
-            out = [r for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if b - a > 1 and (r := block_links(held.slice(a, b - a), similarity))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["rep", "links", "low"])
-    links = "rep long, links long, low long"
-    small = little.repartition("path").sortWithinPartitions("path").mapInArrow(run, links)
+    little = ranked.where(F.col("size") <= block).select("path", F.lit(0).alias("block"), "rep", "earlier")
+    members = little.unionByName(placed.select("path", "block", "rep", "earlier")).join(sets, "rep").select("path", "block", "rep", "weight", "earlier", "tokens")
+    met = materialise(_met_or_packed(members, similarity), "met")
+    links = met.where("z IS NULL").select("rep", "links", "low")
     if blocks.isEmpty():
-        return small
+        return links
     key = ["path", "first", "second"]
-    packed = materialise(_packed(placed.join(sets, "rep").select("path", "block", "rep", "weight", "earlier", "tokens")), "packed")
-    work = packed.join(sides, ["path", "block"]).select(*key, "side", "part", "z")
+    work = met.where("z IS NOT NULL").select("path", "block", "part", "z").join(sides, ["path", "block"]).select(*key, "side", "part", "z")
 
     def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
@@ -411,31 +403,47 @@ def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity
                     tables.append(t.append_column("side", pa.array(np.full(len(t), side, dtype=np.int32))))
                 if r := block_links(pa.concat_tables(tables).combine_chunks(), similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in r], ["rep", "links", "low"])
-    return small.unionByName(work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run_pairs, links))
+    return links.unionByName(work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run_pairs, "rep long, links long, low long"))
 
 
 #: Sets of a block to a row, and bytes of shingles in it (or one set).
 PACK, PACK_BYTES = 128, 1 << 23
 
 
-def _packed(members: DataFrame) -> DataFrame:
-    """(path, block, part, z): the sets of a block, many to a row, pressed; near copies share most of their shingles."""
+def _met_or_packed(members: DataFrame, similarity: float) -> DataFrame:
+    """(rep, links, low) of small buckets, which are block 0, and (path, block, part, z) of the blocks of large ones.
+
+    The sets of a block are pressed, many to a row: near copies share most of their shingles.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("low", pa.int64()), ("path", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("z", pa.binary())])
+
+    def rows(columns: dict) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def packs(sets: pa.Table, path: int, block: int, press: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(t.as_buffer()) for t in sets.column("tokens")])
+        at = part = 0
+        while at < len(size):
+            n = max(1, min(PACK, int(np.searchsorted(np.cumsum(size[at:at + PACK]), PACK_BYTES, side="right"))))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, sets.schema) as out:
+                out.write_table(sets.slice(at, n).combine_chunks())
+            yield rows({"path": [path], "block": [block], "part": [part], "z": [press.compress(sink.getvalue())]})
+            at, part = at + n, part + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for held in grouped(batches, ["path", "block"], 2048):
             path, block = (held.column(c).to_numpy() for c in ("path", "block"))
-            size = np.array([len(t.as_buffer()) for t in held.column("tokens")])
             sets = held.select(["rep", "weight", "earlier", "tokens"])
-            edges = runs(path, block)
+            alike = sets.append_column("side", pa.array(np.full(len(sets), 2, dtype=np.int32)))
+            edges, out = runs(path, block), []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                part = 0
-                while a < b:
-                    end = a + max(1, min(PACK, b - a, int(np.searchsorted(np.cumsum(size[a:b]), PACK_BYTES, side="right"))))
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, sets.schema) as out:
-                        out.write_table(sets.slice(a, end - a).combine_chunks())
-                    z = press.compress(sink.getvalue())
-                    yield pa.RecordBatch.from_arrays([pa.array([path[a]]), pa.array([block[a]], pa.int32()), pa.array([part], pa.int32()), pa.array([z], pa.binary())],
-                                                     ["path", "block", "part", "z"])
-                    a, part = end, part + 1
-    return members.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "path long, block int, part int, z binary")
+                if block[a]:
+                    yield from packs(sets.slice(a, b - a), int(path[a]), int(block[a]), press)
+                elif b - a > 1 and (r := block_links(alike.slice(a, b - a), similarity)):
+                    out.append(r)
+            if out:
+                yield rows(dict(zip(("rep", "links", "low"), (np.concatenate(x) for x in zip(*out)))))
+    return members.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "rep long, links long, low long, path long, block int, part int, z binary")
