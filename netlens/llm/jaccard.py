@@ -43,6 +43,21 @@ def runs_for(recall: float, similarity: float, depth: int = 2) -> int:
     return math.ceil(-math.log(1 - recall) / (ROOT * similarity * survival(similarity, depth)))
 
 
+def common_roots(recall: float, similarity: float, n_runs: int, depth: int = 0) -> int:
+    """How many roots a pair of the given similarity shares with this probability, after what splits lose is taken off.
+
+    Every common shingle is chosen by itself, so the number is spread no wider than a Poisson
+    number of the mean that the formula has.
+    """
+    mean = ROOT * similarity * n_runs
+    spare = 1 - recall - (math.exp(-mean * survival(similarity, depth)) if depth else 0.0)
+    below, term, least = 0.0, math.exp(-mean), 0
+    while below + term <= spare:
+        below, least = below + term, least + 1
+        term *= mean / least
+    return max(1, least)
+
+
 def root_paths(tokens: np.ndarray, n_runs: int) -> np.ndarray:
     """The paths a set starts, ROOT of them in each run.
 
@@ -89,6 +104,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def mark(path):
+    """A root as a number of 31 bits, for counting what sets share."""
+    return F.pmod(path, F.lit(2 ** 31 - 1)).cast("int")
+
+
 def _pressed(rows: DataFrame) -> DataFrame:
     """Texts compressed before they are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +166,44 @@ def comparable(found: DataFrame, sizes: DataFrame, small: int, similarity: float
     return materialise(little.unionByName(found.where(F.col("size") > small)), "comparable")
 
 
+def together(found: DataFrame, marks: DataFrame, small: int, least: int) -> DataFrame:
+    """Buckets of up to ``small`` sets cut into parts that share no ``least`` roots with each other; larger buckets stay.
+
+    ``marks`` has (rep, marks), a number for every root.  A part is named by its sets, so equal parts of
+    different buckets are one; a set that is alone leaves.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in grouped(batches, ["path"], 4096):
+            path, rep = held.column("path").to_numpy(), held.column("rep").to_numpy()
+            column = held.column("marks").combine_chunks()
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+            edges, out = runs(path), []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                own = [np.unique(values[ends[i]:ends[i + 1]]) for i in range(a, b)]
+                part = components(shared_counts(own, own) >= least)
+                for low in np.flatnonzero(np.bincount(part) > 1):
+                    sets = rep[a:b][part == low]
+                    with np.errstate(over="ignore"):
+                        name = (np.add.reduce(mixed(sets.view(np.uint64), 501)) + np.uint64(len(sets))).view(np.int64)
+                    out.append((np.full(len(sets), name), sets, np.full(len(sets), len(sets), dtype=np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["path", "rep", "size"])
+    little = found.where(F.col("size") <= small).join(marks, "rep").select("path", "rep", "marks")
+    parts = little.repartition("path").sortWithinPartitions("path").mapInArrow(run, "path long, rep long, size long").distinct()
+    return materialise(parts.unionByName(found.where(F.col("size") > small).select("path", "rep", "size")), "together")
+
+
+def uncovered(buckets: DataFrame, small: int) -> DataFrame:
+    """Buckets without those of up to ``small`` sets all of which meet in another one: the larger, or of equal ones the first by path."""
+    rank = F.struct((-F.col("size")).alias("size"), "path")
+    mine = buckets.groupBy("rep").agg(F.collect_list(rank).alias("all"))  # a few tens of paths
+    others = buckets.where(F.col("size") <= small).join(mine, "rep").select("path", "rep", "size", F.transform(
+        F.filter("all", lambda x: x < F.struct((-F.col("size")).alias("size"), F.col("path"))), lambda x: x["path"]).alias("others"))
+    held = others.groupBy("path", "size").agg(F.collect_list("others").alias("o"), F.collect_list("rep").alias("reps"))
+    held = held.where(F.size(F.aggregate("o", F.get("o", F.lit(0)), F.array_intersect)) == 0)
+    return held.select("path", F.explode("reps").alias("rep"), "size").unionByName(buckets.where(F.col("size") > small).select("path", "rep", "size"))
+
+
 def grow(big: DataFrame, sets: DataFrame) -> DataFrame:
     """(path, parent, rep): the next level of too large buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +222,11 @@ def grow(big: DataFrame, sets: DataFrame) -> DataFrame:
     return own.join(sets, "rep").select("rep", "paths", "tokens").mapInArrow(run, "path long, parent long, rep long")
 
 
-def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, small: int, dense: float, depth: int) -> DataFrame:
+def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, marks: DataFrame, n_runs: int, least: int, small: int, dense: float, depth: int) -> DataFrame:
     """(path, rep, size): the buckets to compare.
 
     A bucket of more than ``small`` sets is split by its children, unless two of its
-    sets share so many children that their mean overlap is at least ``dense``; then
+    sets share so many roots that their mean overlap is at least ``dense``; then
     most pairs are similar, no split can part them, and the bucket is compared in
     blocks.  So is what is left after ``depth`` levels: nothing is dropped.  A bucket that
     is split is split once for each of its paths, as every path is a try of its own.
@@ -178,13 +236,14 @@ def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, small: in
         big = level.where(F.col("size") > small)
         if big.isEmpty():
             return done
-        # about JUDGES sets of a bucket, by hash, tell how dense it is; only sparse ones are grown whole
+        # the roots of about JUDGES sets of a bucket, by hash, tell how dense it is; only sparse ones are grown whole
         judges = big.where(F.pmod(F.xxhash64("rep", "path"), F.col("size")) < JUDGES)
-        shares = grow(judges, sets).groupBy("parent", "path").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        pairs = shares.groupBy("parent").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
-        judged = judges.groupBy("path").agg(F.count(F.lit(1)).alias("judges")).join(pairs.withColumnRenamed("parent", "path"), "path", "left")
+        own = judges.join(marks, "rep").select("path", F.explode("marks").alias("mark")).where(F.col("mark") != mark(F.col("path")))
+        shares = own.groupBy("path", "mark").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        pairs = shares.groupBy("path").agg(F.sum(F.col("c") * F.col("c")).alias("cc"))
+        judged = judges.groupBy("path").agg(F.count(F.lit(1)).alias("judges")).join(pairs, "path", "left")
         judged = big.select("path").distinct().join(judged, "path", "left")
-        overlap = F.coalesce(F.col("cc") / (F.col("judges") * F.col("judges") * F.lit(BRANCH)), F.lit(0.0))
+        overlap = F.coalesce(F.col("cc") / (F.col("judges") * F.col("judges") * F.lit(ROOT * n_runs)), F.lit(0.0))
         judged = materialise(judged.withColumn("dense", overlap >= dense), "judged")
         done = done.unionByName(big.join(judged.where("dense").select("path"), "path", "left_semi"))
         sparse = judged.where("NOT dense").select("path")
@@ -192,22 +251,21 @@ def split_buckets(level: DataFrame, twins: DataFrame, sets: DataFrame, small: in
         tries = held.unionByName(held.join(twins, "path").select(F.col("twin").alias("path"), "rep"))
         open_ = materialise(grow(tries, sets).select("path", "rep"), "children")
         level, twins = useful(open_, small)
+        level = together(level, marks, small, least)
         done = done.unionByName(level.where(F.col("size") <= small))
     return done.unionByName(level.where(F.col("size") > small))
 
 
 # --- comparing ---------------------------------------------------------------
 
-def compare(a_tokens: list[np.ndarray], b_tokens: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of sets have at least this Jaccard similarity, as a matrix; by counts of shared shingles."""
-    sizes_a = np.array([len(t) for t in a_tokens], dtype=np.float64)
-    sizes_b = np.array([len(t) for t in b_tokens], dtype=np.float64)
+def shared_counts(a_tokens: list[np.ndarray], b_tokens: list[np.ndarray]) -> np.ndarray:
+    """How many numbers every pair of sets shares, as a matrix."""
     if len(a_tokens) * len(b_tokens) <= 16:
         shared = np.array([[len(np.intersect1d(s, t, assume_unique=True)) for t in b_tokens] for s in a_tokens], dtype=np.float64)
     else:
         shared = np.zeros((len(a_tokens), len(b_tokens)), dtype=np.float64)
         values = np.concatenate([*a_tokens, *b_tokens])
-        owner = np.repeat(np.arange(len(a_tokens) + len(b_tokens)), np.concatenate([sizes_a, sizes_b]).astype(np.int64))
+        owner = np.repeat(np.arange(len(a_tokens) + len(b_tokens)), [len(t) for t in [*a_tokens, *b_tokens]])
         order = np.argsort(values, kind="stable")
         values, owner = values[order], owner[order]
         edges = runs(values)
@@ -221,6 +279,14 @@ def compare(a_tokens: list[np.ndarray], b_tokens: list[np.ndarray], similarity:
             x = np.zeros((len(a_tokens) + len(b_tokens), min(2048, width - low)), dtype=np.float32)
             x[owner[part], number[part] - low] = 1
             shared += x[:len(a_tokens)] @ x[len(a_tokens):].T
+    return shared
+
+
+def compare(a_tokens: list[np.ndarray], b_tokens: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets have at least this Jaccard similarity, as a matrix; by counts of shared shingles."""
+    sizes_a = np.array([len(t) for t in a_tokens], dtype=np.float64)
+    sizes_b = np.array([len(t) for t in b_tokens], dtype=np.float64)
+    shared = shared_counts(a_tokens, b_tokens)
     union = sizes_a[:, None] + sizes_b[None, :] - shared
     return shared >= similarity * union - 1e-9
 
@@ -290,12 +356,14 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     Copies are one set from the start.  In each of ``runs_for(recall, similarity)``
     runs a set samples about one of its shingles and meets the sets that sampled it
     too; large buckets are split again (``split_buckets``) or compared block by block.
-    Sets without another of a similar size leave a small bucket (``comparable``).
+    Sets without another of a similar size leave a small bucket (``comparable``), which is then cut
+    into the parts that share several roots (``together``), and a bucket inside another is left out
+    (``uncovered``), so that a set visits few buckets with its shingles.
     Every met pair is verified on whole sets, and only its first bucket counts it, so
     no pair is written: a bucket gives a row per member.  Two different texts of the
     given similarity fail to meet with a probability of 1 - ``recall`` at most: the runs are so
     many that it holds for pairs all whose buckets are large and sparse, and are split
-    ``depth`` times.
+    ``depth`` times, and the roots asked of a pair in a small bucket are so few that it holds there.
 
     Words are lower-cased runs between ASCII blanks; a text of fewer than ``k`` words
     is one shingle.  A row without words (null, empty, blank) is its own class, has
@@ -307,21 +375,26 @@ def duplicate_classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, reca
     rows = profiles(docs, k, n_runs)
     sets_of = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("weight"))
     classes = materialise(sets_of, "classes")
-    reps = rows.join(classes.select(F.col("rep").alias("row"), "weight"), "row").select(F.col("row").alias("rep"), "doc_id", "th", "weight", "roots")
+    reps = materialise(rows.join(classes.select(F.col("rep").alias("row"), "weight"), "row").select(
+        F.col("row").alias("rep"), "doc_id", "th", "weight", "n", "roots"), "reps")
+    marks = reps.select("rep", F.transform("roots", mark).alias("marks"))
     found, twins = useful(reps.select("rep", F.explode("roots").alias("path")), small)
-    found = comparable(found, rows.select(F.col("row").alias("rep"), "n"), small, similarity)
-    asked = found.select("rep").distinct().join(reps.select("rep", "doc_id", "th", "weight"), "rep")
+    found = comparable(found, reps.select("rep", "n"), small, similarity)
+    found = together(found, marks, small, common_roots(recall, similarity, n_runs))
+    asked = found.groupBy("rep").agg(F.max(F.col("size") > small).alias("large")).join(reps.select("rep", "doc_id", "th", "weight"), "rep")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
             tokens = [narrow(shingle_set(press.decompress(z.as_buffer()).decode(), k)) for z in batch.column("z")]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array(tokens, pa.binary())], ["rep", "weight", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), batch.column("large"), pa.array(tokens, pa.binary())],
+                                             ["rep", "weight", "large", "tokens"])
     same = F.expr("d.th = a.th AND d.doc_id <=> a.doc_id")
-    joined = _pressed(keyed(docs)).alias("d").join(asked.alias("a"), same).select("a.rep", "a.weight", "d.z")
-    sets = materialise(joined.mapInArrow(shingles, "rep long, weight long, tokens binary"), "sets")
+    joined = _pressed(keyed(docs)).alias("d").join(asked.alias("a"), same).select("a.rep", "a.weight", "a.large", "d.z")
+    sets = materialise(joined.mapInArrow(shingles, "rep long, weight long, large boolean, tokens binary"), "sets")
 
-    buckets = materialise(split_buckets(found, twins, sets, small, dense, depth).distinct(), "compare")
+    split = split_buckets(found, twins, sets.where("large").select("rep", "tokens"), marks, n_runs, common_roots(recall, similarity, n_runs, depth), small, dense, depth)
+    buckets = materialise(uncovered(materialise(split.distinct(), "compare"), small), "uncovered")
     results = materialise(_compare_buckets(buckets, sets, block, similarity), "links")
     links = results.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(results.select(F.col("rep").alias("a"), F.col("low").alias("b")))
@@ -384,7 +457,7 @@ def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity
     placed = ranked.where(F.col("size") > block).join(blocks.select("path", "cover", "of").distinct(), ["path", "cover"]).withColumn(
         "nth", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int")).join(blocks.select("path", "cover", "nth", "block"), ["path", "cover", "nth"])
     little = ranked.where(F.col("size") <= block).select("path", F.lit(0).alias("block"), "rep", "earlier")
-    members = little.unionByName(placed.select("path", "block", "rep", "earlier")).join(sets, "rep").select("path", "block", "rep", "weight", "earlier", "tokens")
+    members = little.unionByName(placed.select("path", "block", "rep", "earlier")).join(sets.select("rep", "weight", "tokens"), "rep").select("path", "block", "rep", "weight", "earlier", "tokens")
     met = materialise(_met_or_packed(members, similarity), "met")
     links = met.where("z IS NULL").select("rep", "links", "low")
     if blocks.isEmpty():

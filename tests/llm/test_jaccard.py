@@ -166,3 +166,54 @@ def test_a_block_is_packed_not_copied_set_by_set(spark, monkeypatch):
         spark.createDataFrame(rows, "doc_id long, text string"), small=16, block=16).collect()}
     assert got == {doc: (class_id, links) for doc, class_id, _, links in brute(rows)}
     assert packs and all(p < m / 4 for m, p in packs)
+
+
+def test_a_small_bucket_is_cut_into_the_parts_that_share_several_roots(spark):
+    """Sets that met by one common root part; equal parts of several buckets are one, larger buckets stay."""
+    marks = spark.createDataFrame([(1, [1, 2, 3, 9]), (2, [1, 2, 3, 9]), (3, [9, 11, 12, 13]), (4, [9, 11, 12, 13]), (5, [9, 20])],
+                                  "rep long, marks array<int>")
+    held = {10: [1, 2, 3, 4, 5], 11: [1, 2, 5], 12: [1, 3, 5], 13: [1, 2, 3, 4, 5, 6]}
+    found = spark.createDataFrame([(p, r, len(m)) for p, m in held.items() for r in m], "path long, rep long, size long")
+    got = {}
+    for r in jaccard.together(found, marks, 5, 3).collect():
+        got.setdefault(r["path"], set()).add((r["rep"], r["size"]))
+    assert got.pop(13) == {(r, 6) for r in held[13]}
+    assert sorted(map(sorted, got.values())) == [[(1, 2), (2, 2)], [(3, 2), (4, 2)]]
+
+
+def test_a_bucket_inside_another_is_left_out(spark):
+    held = {10: [1, 2, 3], 11: [1, 2], 12: [2, 3, 4], 13: [4, 5], 14: [4, 5], 15: [1, 2, 3, 4, 6], 16: [2, 3, 4, 6, 7, 8]}
+    found = spark.createDataFrame([(p, r, len(m)) for p, m in held.items() for r in m], "path long, rep long, size long")
+    got = {}
+    for r in jaccard.uncovered(found, 4).collect():
+        got.setdefault(r["path"], set()).add(r["rep"])
+    assert got == {p: set(held[p]) for p in (13, 15, 16)}
+
+
+def test_a_pair_shares_the_roots_that_are_asked():
+    import numpy as np
+
+    from netlens.llm.common import mixed
+    assert jaccard.common_roots(0.999999, 0.8, 20) == 3 and jaccard.common_roots(0.999999, 0.8, 20, 2) == 2
+    assert jaccard.common_roots(0.999999, 0.8, jaccard.runs_for(0.999999, 0.8, 0)) == 1
+    least = jaccard.common_roots(0.99, 0.8, 20)
+    shared = [len(np.intersect1d(jaccard.root_paths(x, 20), jaccard.root_paths(x[:len(x) * 4 // 5], 20)))
+              for x in (np.unique(mixed(np.arange(n, dtype=np.uint64) + np.uint64(s << 20), 3)) for s in range(1000) for n in (5, 100, 1000))]
+    assert sum(x >= least for x in shared) >= 0.99 * len(shared)
+
+
+def test_sets_that_meet_by_chance_are_not_compared(spark, monkeypatch):
+    """Texts around common passages, and three near copies in many buckets: a set visits one bucket, or none."""
+    rng = random.Random(11)
+    passages = [" ".join(f"p{j}w{i}" for i in range(9)) for j in range(12)]
+    rows = [(i, passages[i % 12] + " " + " ".join(f"q{rng.randrange(10 ** 6)}" for _ in range(300))) for i in range(60)]
+    base = [f"w{i}" for i in range(400)]
+    rows += [(100 + i, edited(base, rng, 4)) for i in range(3)]
+    visits, step = [], jaccard._compare_buckets
+
+    def counted(buckets, *others):
+        visits.append(buckets.count())
+        return step(buckets, *others)
+    monkeypatch.setattr(jaccard, "_compare_buckets", counted)
+    assert result(spark, rows) == brute(rows)
+    assert visits == [3]
