@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -63,6 +64,14 @@ def in_batches(make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordB
     return run
 
 
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the system; a worker lives on from task to task, whatever the stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], key: list[str], max_rows: int) -> Iterator[pa.Table]:
     """Whole runs of equal keys from sorted batches, many runs to a table.
 

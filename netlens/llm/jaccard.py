@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import grouped, materialise, mixed, runs, settled
+from netlens.llm.common import give_back, grouped, materialise, mixed, runs, settled
 from netlens.llm.shingles import shingle_set
 from netlens.operators.mining import connected_components
 
@@ -476,6 +476,8 @@ def _compare_buckets(buckets: DataFrame, sets: DataFrame, block: int, similarity
                     tables.append(t.append_column("side", pa.array(np.full(len(t), side, dtype=np.int32))))
                 if r := block_links(pa.concat_tables(tables).combine_chunks(), similarity):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in r], ["rep", "links", "low"])
+        held = tables = None
+        give_back()
     return links.unionByName(work.repartition(*key).sortWithinPartitions(*key).mapInArrow(run_pairs, "rep long, links long, low long"))
 
 
@@ -519,4 +521,6 @@ def _met_or_packed(members: DataFrame, similarity: float) -> DataFrame:
                     out.append(r)
             if out:
                 yield rows(dict(zip(("rep", "links", "low"), (np.concatenate(x) for x in zip(*out)))))
+        held = sets = alike = None
+        give_back()
     return members.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(run, "rep long, links long, low long, path long, block int, part int, z binary")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netlens.llm.common import filesystem, materialise, mixed, new_folder
+from netlens.llm.common import filesystem, give_back, materialise, mixed, new_folder
 
 #: Sequences in a record batch; every batch of a file but the last has as many, so sequence k is in batch k // ROWS.
 ROWS = 256
@@ -35,13 +35,19 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file: its words are remembered from task to task."""
+    """The worker's encoder for a tokenizer file: its words are remembered until the task has written its file."""
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """The worker goes on to other stages, which need the memory of the words."""
+    _encoders.clear()
+    give_back()
+
+
 class Words:
     """Remembered words: ids by the 128-bit hash of a word's bytes, in flat arrays of a bounded size.
 
@@ -325,7 +331,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             writer.close()
             for s in sinks:
                 s.close()
-            pa.default_memory_pool().release_unused()
+            encode = texts = batch = None
+            forget_encoders()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [names[0]], "index_file": [names[1]],
                                               "n_docs": [writer.docs], "n_ids": [writer.total]},
                                              schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("index_file", pa.string()),
@@ -388,6 +395,8 @@ def read_token_files(spark: SparkSession, files: DataFrame) -> DataFrame:
                     [pa.array(ids, pa.int64()), pa.array(np.array(start, np.int64) + r["base"]), pa.array(size, pa.int64()),
                      pa.array(crc, pa.int64()), pa.array([r["shard"]] * len(rows), pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+        rows = ids = start = size = crc = None
+        give_back()
     columns = files.select("shard", "folder", "file", "index_file", "base")
     readers = min(READERS, max(1, 1 + (files.agg(F.max("shard")).first()[0] or 0)))
     return columns.repartitionById(readers, F.pmod("shard", F.lit(readers)).cast("int")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")

@@ -94,3 +94,18 @@ def test_long_texts_in_pieces(monkeypatch):
         got = list(tokens.Encoder(tokenizer_file()).encode(["short", text, "b c"]))
         for g, s in zip(got, ("short", text, "b c")):
             assert np.frombuffer(g, "<u2").tolist() == t.encode(s, add_special_tokens=False).ids
+
+
+def test_a_worker_keeps_no_words_after_its_file(spark, monkeypatch):
+    """Later tasks of the worker find no encoder with remembered words, whatever stage they belong to."""
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(40)], "doc_id long, text string")
+    files = tokens.write_token_files(docs.repartition(4), tokenizer_file())
+    assert files.agg({"n_docs": "sum"}).first()[0] == 40
+
+    def held(batches):
+        import pyarrow as pa
+
+        from netlens.llm import tokens as T
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(T._encoders)]})
+    assert {r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()} == {0}
