@@ -11,8 +11,6 @@ from netlens.llm.common import materialise, settled
 
 #: Primes that step through a source's draws; no number of draws below their product is divisible by all.
 STRIDES = (7_368_787, 9_999_991, 12_582_917, 15_485_863)
-#: Cuts are searched in steps of this many shards, then within a step.
-STEP = 256
 #: Cells in which the outcomes of a hypergeometric draw are listed.
 POINTS = 1024
 
@@ -203,11 +201,12 @@ def mix_sources(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: f
     last = F.least("b", (F.col("block") + 1) * block_words)
     stride = F.coalesce(*[F.when(F.col("quota") % p != 0, F.lit(p)) for p in STRIDES])
     draw = F.pmod(F.col("block") * F.pmod(stride, F.col("quota")) + F.pmod(F.xxhash64(F.lit(seed), "sid"), F.col("quota")), F.col("quota"))
-    coarse = F.size(F.filter(F.sequence(F.lit(1), F.expr(f"size(cuts) div {STEP}")) if 2 ** depth >= STEP else F.array().cast("array<int>"),
-                             lambda i: F.element_at("cuts", i * STEP) <= F.col("draw")))
-    fine = F.size(F.filter(F.slice("cuts", F.col("coarse") * STEP + 1, F.lit(STEP)), lambda c: c <= F.col("draw")))
+    # cuts are searched in steps of about the root of their number, then within a step
+    step = 2 ** (depth // 2)
+    coarse = F.size(F.filter(F.sequence(F.lit(1), F.lit(2 ** depth // step)), lambda i: F.element_at("cuts", i * F.lit(step)) <= F.col("draw")))
+    fine = F.size(F.filter(F.slice("cuts", F.col("coarse") * step + 1, F.lit(step)), lambda c: c <= F.col("draw")))
     drawn = blocks.withColumn("draw", draw).withColumn("coarse", coarse).select(
-        (F.col("coarse") * STEP + fine).alias("shard"), F.xxhash64(F.lit(seed + 1), "sid", "block").alias("mixed"), "sid", "block",
+        (F.col("coarse") * step + fine).alias("shard"), F.xxhash64(F.lit(seed + 1), "sid", "block").alias("mixed"), "sid", "block",
         "row", "doc_id", "pass", (first - F.col("a")).alias("first_word"), (last - first).alias("n_words"))
     local = Window.partitionBy("shard").orderBy("mixed", "sid", "block", "first_word", "row")
     mix = drawn.withColumn("position", F.row_number().over(local)).select(

@@ -71,6 +71,25 @@ def test_blocks_are_disjoint_and_shards_equal(mixed):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values()) and len(places) > 4
 
 
+def test_many_shards(spark):
+    """Every source gives every shard its quota, also in a mix of as many shards as a large input has."""
+    df = spark.createDataFrame([(i, f"w{i} " * (i % 90), "abc"[i % 3]) for i in range(900)], "doc_id long, text string, source string")
+    sized = mixing.size_documents(df)
+    for depth, shard_blocks in ((1, 600), (9, 2)):
+        t, mix = mixing.mix_sources(sized, shard_blocks=shard_blocks)
+        given = [(r.sid, round(r.target), math.ceil(round(r.target) / 64)) for r in t.collect()]
+        assert math.ceil(math.log2(sum(q for *_, q in given) / shard_blocks)) == depth
+        leaves = mixing.shard_quotas(spark.createDataFrame([(s, q) for s, _, q in given], "sid int, quota long"), depth).collect()
+        want = defaultdict(int)
+        for leaf in leaves:
+            want[leaf.shard] += leaf.quota
+        # the last block of a source may be short, all others are full
+        got = {r.shard: r.words for r in mix.groupBy("shard").agg(F.sum("n_words").alias("words")).collect()}
+        assert sum(got.values()) == sum(w for _, w, _ in given)
+        assert all(64 * (n - 3) < got.get(s, 0) <= 64 * n or n == got.get(s, 0) == 0 for s, n in want.items()) and set(got) <= set(want)
+        assert sum(64 * n - got.get(s, 0) for s, n in want.items()) < 64 * 3
+
+
 def test_tree_is_exact(spark):
     q = spark.createDataFrame([(i, 37 * i * i) for i in range(9)], "sid int, quota long")
     got = mixing.shard_quotas(q, 3, seed=5).collect()
