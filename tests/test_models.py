@@ -239,6 +239,26 @@ def test_combined_classifier(spark, fitted):
     assert got["combined_0"]["recall"] > 0.9 and got["combined_1"]["recall"] > 0.9
 
 
+def test_combined_model_learns_from_all_rows(spark, fitted, monkeypatch):
+    many = [spark.range(1_100_000).withColumnRenamed("id", "rid") for _ in range(2)]
+    assert L.combined_training_rows(many, "rid").count() == 2_200_000
+    rows, _ = fitted
+    seen, small = [], L.train_classifier
+    def train(df, *args, **options):
+        seen.append(df.count())
+        return small(df, *args, **options)
+    monkeypatch.setattr(L, "train_classifier", train)
+    asked, union = [], L.combined_training_rows
+    def combined(frames, row_id, cap=None):
+        asked.append(cap)
+        return union(frames, row_id, cap)
+    monkeypatch.setattr(L, "combined_training_rows", combined)
+    parts = [rows.where("l_suppkey % 4 > 0"), rows.where("l_suppkey % 4 = 0")]
+    L.train_combined(parts, V.FEATURES, "rid", k=4, trees=1, depth=1)
+    held = sum(int(r["count"] * 0.2 + 0.5) for p in parts for r in p.where("label IS NOT NULL").groupBy("label").count().collect())
+    assert asked == [None] and seen == [rows.where("label IS NOT NULL").count() - held]
+
+
 def test_retrain_gate(spark, fitted, tmp_path):
     rows, strong = fitted
     from netlens.operators.cleaning import mistakes
