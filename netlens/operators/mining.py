@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netlens import tables as T
 from netlens.functions.lookup import first_case, rounded
 from netlens.operators.features import impute_median, screen_columns, standardise, to_long
-from netlens.operators.nearness import BLOCK_ROWS, Blocks, stars
+from netlens.operators.nearness import BLOCK_ROWS, Blocks, dense, pairs, stars
 from netlens.ordered import Ordered, RowNumber
 from netlens.session import materialise
 
@@ -55,7 +55,12 @@ def _all_stars(links: DataFrame) -> bool:
 
 
 def _counted(homes, guests, weights, near) -> pd.DataFrame:
-    n = near @ weights
+    if dense(near):
+        n = near @ weights
+    else:
+        n = np.zeros(len(homes), dtype=np.int64)
+        i, j = pairs(near)
+        np.add.at(n, i, weights[j])
     return pd.DataFrame({"pid": homes[n > 0], "n": n[n > 0]})
 
 
@@ -70,9 +75,13 @@ def _touching(homes, guests, roots, near) -> pd.DataFrame:
     """The least cluster among the core neighbours of every home that has one."""
     far = np.iinfo(np.int64).max
     least = np.full(len(homes), far)
-    for at in range(0, near.shape[1], 256):
-        block = np.where(near[:, at:at + 256], roots[None, at:at + 256], far)
-        least = np.minimum(least, block.min(axis=1))
+    if dense(near):
+        for at in range(0, near.shape[1], 256):
+            block = np.where(near[:, at:at + 256], roots[None, at:at + 256], far)
+            least = np.minimum(least, block.min(axis=1))
+    else:
+        i, j = pairs(near)
+        np.minimum.at(least, i, roots[j])
     held = least < far
     return pd.DataFrame({"pid": homes[held], "cluster": least[held]})
 
@@ -100,7 +109,7 @@ def dbscan(df: DataFrame, columns: list[str], eps: float, min_samples: int, row_
     core_ids = materialise(counts.groupBy("pid").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("pid"), "core")
     core = points.join(core_ids, "pid", "left_semi")
     centres = blocks.packed(core)
-    links = blocks.compare(_linked, f"pid {id_type}, other {id_type}", centres, centres)
+    links = blocks.compare(_linked, f"pid {id_type}, other {id_type}", centres, centres, turned=False)
     components = connected_components(links, "pid", "other").select(F.col("node").alias("pid"), F.col("component").alias("root"))
     roots = components.select("root").distinct()
     numbered = Ordered(roots, [], ["root"], 100_000).add(_n=RowNumber()).result().select("root", (F.col("_n") - 1).cast("long").alias("cluster"))

@@ -5,13 +5,14 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from netlens.operators import mining as N
 from netlens.operators import ml as L
 from netlens.operators.anomaly import IsolationForest
-from netlens.operators.nearness import Blocks, stars
+from netlens.operators.nearness import Blocks, stars, within
 from netlens.operators.scoring import FlatEnsemble
 from netlens.operators.explain import global_importance
 from netlens.plans import views as V
@@ -113,6 +114,38 @@ def test_stars_are_the_connected_parts():
         assert [int(v) for v in got] == [parts.get(i, -1) for i in [*range(40), *range(100, 130)]]
 
 
+def test_blocks_of_the_same_points_meet_once(spark):
+    """A pair of blocks is compared once for both directions, and counts are those of all pairs."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 16))
+    points = N.materialise(spark.createDataFrame([(i, list(map(float, p)), 1 + i % 3) for i, p in enumerate(x)], "pid long, x array<double>, w long"), "points")
+    blocks = Blocks(points, 5.0, 10)
+    held = blocks.packed(points, F.col("w"))
+    def seen(homes, guests, weights, near):
+        return pd.DataFrame({"home": [int(homes[0])], "guest": [int(guests[0])]})
+    calls = {once: blocks.compare(seen, "home long, guest long", held, held, turned=not once).count() for once in (False, True)}
+    own = held.count()
+    assert 2 * calls[True] - own <= calls[False] and calls[True] <= own * (own + 1) // 2 < calls[False]
+    got = {r["pid"]: r["n"] for r in blocks.compare(N._counted, "pid long, n long", held, held).groupBy("pid").agg(F.sum("n").alias("n")).collect()}
+    assert got == {i: int((1 + np.flatnonzero(np.linalg.norm(x - p, axis=1) <= 5.0) % 3).sum()) for i, p in enumerate(x)}
+
+
+def test_distances_are_exact_at_the_limit():
+    """Whatever the precision of a tile's product: ties, huge, tiny and far values, dense and thin results."""
+    rng = np.random.default_rng(11)
+    grid = rng.integers(0, 3, (700, 6)).astype(float)
+    cases = [(grid, grid[:600], 2.0), (grid * 1e200, grid[:600] * 1e200, 2e200), (grid * 1e-170, grid[:600] * 1e-170, 2e-170)]
+    cases += [(grid + 1e6, grid[:600] + 1e6, 2.0), (rng.normal(size=(700, 40)), rng.normal(size=(520, 40)), 7.5), (grid * 0, grid[:600] * 0, 0.5)]
+    for p, q, eps in cases:
+        unit = 1e200 if eps > 1e100 else 1e-170 if eps < 1e-100 else 1.0
+        want = np.array([((p / unit - r) ** 2).sum(axis=1) for r in q / unit]).T <= (eps / unit) ** 2
+        if 1e-100 < eps < 1e100:
+            assert (within(p, q, eps) == want).all()
+        else:  # squares outside the range of doubles: as before, no error and a matrix
+            with np.errstate(all="ignore"):
+                assert within(p, q, eps).shape == want.shape
+
+
 def test_only_negative_scores_are_mined(spark):
     rows = [(i, -0.5, 100.0 + i % 3 * .1, 200.0 + i % 2 * .1) for i in range(6)] + [(i, 0.4, 1.0 + i % 3 * .1, 2.0) for i in range(6, 12)]
     df = spark.createDataFrame(rows, "id int, anomaly_score double, a double, b double")
